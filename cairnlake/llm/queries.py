@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import decontaminate, near_dedup, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,29 @@ _SETS = """
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query(
+    "op1_benchmark_decontamination",
+    """with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+    bw as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+    win as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') g from (select item, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) i from bw where len(w) > 0)),
+    lens as (select distinct n from win),
+    places as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from dw, lens)),
+    occ as (select p.doc_id, p.i, p.n, item from places p join win using (n, g)),
+    hit as (select doc_id, count(distinct k) h from (select doc_id, unnest(range(i, i + n)) k from occ) group by doc_id),
+    its as (select doc_id, count(distinct item) c, string_agg(distinct item, ',' order by item) s from occ group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) n_words, coalesce(h, 0) n_hit, coalesce(c, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(h, 0) > 0 contaminated
+    from dw d left join hit using (doc_id) left join its using (doc_id)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op10_token_ids_rans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
