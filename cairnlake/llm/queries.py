@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, tokens
+from . import decontaminate, near_dedup, substring_dedup, tokens, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op3_winnowing_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compared(table(spark, sf_dir, "documents"))
+
+    def digest(column: str):
+        """Distinct hashes in ascending order, 8 hexadecimal digits each, comma-joined."""
+        return F.array_join(F.transform(F.array_sort(F.array_distinct(column)), lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ",")
+
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), digest("hashes").alias("fingerprint"), digest("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query(
+    "op6_sentence_span_dedup",
+    """with toks as (select doc_id, unnest(l) t, unnest(range(1, len(l) + 1)) i from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+|\\n') l from documents)),
+    after as (select *, lead(t) over (partition by doc_id order by i) nx from toks),
+    word as (select doc_id, t, i, regexp_matches(t, '[.!?]$') or coalesce(nx, chr(10)) = chr(10) e from after where t <> chr(10)),
+    coarse as (select *, coalesce(sum(cast(e as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) c from word),
+    long as (select *, e or (count(*) over (partition by doc_id, c) > 24 and strlen(t) >= 9) f from coarse),
+    fine as (select *, coalesce(sum(cast(f as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint s from long),
+    sent as (select doc_id, s, string_agg(t, ' ' order by i) x from fine group by doc_id, s),
+    near as (select doc_id, s, x, count(*) over (partition by doc_id) n, lead(x, 1) over w x1, lead(x, 2) over w x2 from sent window w as (partition by doc_id order by s)),
+    runs as (select doc_id, s p, n, case when n = 1 then x when n = 2 then x || ' ' || x1 else x || ' ' || x1 || ' ' || x2 end r from near where s + 3 <= n or (s = 0 and n < 3)),
+    firsts as (select r, min((doc_id, p)) q from runs group by r having count(*) > 1),
+    gone as (select distinct doc_id, s from (select r.doc_id, unnest(range(p, p + least(3, n))) s from runs r join firsts using (r) where (r.doc_id, r.p) <> q)),
+    kept as (select doc_id, count(*) n, count(g.s) k, string_agg(x, ' ' order by s) filter (g.s is null) y from sent left join (select doc_id, s from gone) g using (doc_id, s) group by doc_id)
+    select d.doc_id, coalesce(n, 0) n_sentences, coalesce(k, 0) n_removed, sha256(coalesce(y, '')) kept_sha256 from documents d left join kept using (doc_id)""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "kept_sha256")
