@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, substring_dedup, tokens, winnowing
+from . import decontaminate, language_id, licenses, mixing, near_dedup, pii, substring_dedup, tokens, toxicity, winnowing
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    found = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, ids=False)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -103,3 +103,43 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "kept_sha256")
+
+
+@query("op5_language_id_ecoc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold(3)
+    model = language_id.fit(docs.where(held != 1).select("doc_id", "text", F.col("lang").alias("label")))
+    return language_id.identified(docs, model).select("doc_id", F.coalesce(held == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the rows outside the held-out fold; documents that are missing from labels, or labelled twice over, add nothing."""
+    learn = docs.where(language_id.fold(4) != 2)
+    marks = labels.where(language_id.fold(4) != 2).select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("label")).groupBy("_doc").agg(F.max("label").alias("label"), F.min("label").alias("low")).where("label = low").select("_doc", "label")
+    languages = language_id.fit(learn.select("doc_id", "text", F.col("lang").alias("label")))
+    return toxicity.fit(learn.join(marks, learn["doc_id"] == marks["_doc"]).select("doc_id", "text", "label"), languages)
+
+
+@query("op7_toxicity_cnn")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(language_id.fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op2_pii_information_theoretic")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op8_license_set_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query("op9_pfair_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
