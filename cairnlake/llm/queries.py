@@ -134,12 +134,50 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-@query("op8_license_set_join")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_STATEMENTS = ", ".join(f"('{label}', regexp_extract_all('{text}', {_WORDS}))" for label, text in licenses.TEMPLATES)
+_PHRASES = ", ".join(f"('{label}', {text.split()!r})" for text, label in licenses.PHRASES.items())
+
+
+@query(
+    "op8_license_set_join",
+    f"""with dw as (select doc_id, regexp_extract_all({_LOWER}, {_WORDS}) w, string_split({_LOWER}, chr(10)) lines from documents),
+    phrases(label, p) as (values {_PHRASES}),
+    places as (select doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) i from dw, phrases),
+    base as (select doc_id, count(*) n, min(i) f, max(i) l, string_agg(distinct label, ',' order by label) b from places group by doc_id),
+    templates(label, t) as (select label, list_distinct(t) from (values {_STATEMENTS}) v(label, t)),
+    lines as (select doc_id, list_distinct(regexp_extract_all(unnest(lines), {_WORDS})) x from dw),
+    met as (select doc_id, label, len(list_intersect(x, t)) / len(t) c from lines, templates where len(list_intersect(x, t)) >= ceil(0.8 * len(t) - 1e-9)),
+    every as (select doc_id, label from met union select doc_id, label from places),
+    named as (select doc_id, string_agg(label, ',' order by label) a from every group by doc_id),
+    best as (select doc_id, max(c) c from met group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_base, f first_word, l last_word, coalesce(b, '') base_labels, coalesce(a, '') labels, case when n > 0 then 1.0::double else coalesce(c, 0.0)::double end score
+    from dw d left join base using (doc_id) left join named using (doc_id) left join best using (doc_id)""",
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
-@query("op9_pfair_mixing")
+@query(
+    "op9_pfair_mixing",
+    """with recursive cnt as (select source, count(*) n from documents group by source),
+    lim as (select greatest(1000, 2 * count(*)) p, count(*) k, sum(round(1000000 * sqrt(n))::bigint)::bigint w from cnt),
+    part as (select source, n, row_number() over (order by source) s, ((round(1000000 * sqrt(n))::bigint * (p - k)) // w)::bigint base, ((round(1000000 * sqrt(n))::bigint * (p - k)) % w)::bigint rem from cnt, lim),
+    share as (select source, n, s, 1 + base + case when row_number() over (order by rem desc, source) <= (select p - k from lim) - (select sum(base) from part) then 1 else 0 end a from part),
+    arr as (select list(a order by s) a, list(n order by s) n from share),
+    sim(t, served, pick) as (
+        select 0::bigint, list_transform(a, lambda x: 0::bigint), 0::bigint from arr
+        union all
+        select t + 1, list_transform(served, lambda v, j: v + case when j = pk then 1 else 0 end), pk from
+            (select t, served, (list_min(list_filter(list_transform(range(1, len(a) + 1), lambda j: case when served[j] * p // a[j] <= t then {'due': ((served[j] + 1) * p + a[j] - 1) // a[j], 'j': j} end), lambda x: x is not null))).j pk from sim, arr, lim where t < p)),
+    slots as (select x.t - 1 slot, x.pick s, b.served, b.served[x.pick] nth from sim x join sim b on b.t = x.t - 1 where x.t > 0),
+    ranked as (select doc_id, d.source, s, a, row_number() over (partition by d.source order by doc_id) - 1 r from documents d join share using (source)),
+    turned as (select *, r // 32 block, (r // 32) // a turn, (r // 32) % a nth from ranked)
+    select doc_id, source, block, turn * p + slot slot,
+        list_sum(list_transform(range(1, len(arr.a) + 1), lambda j: least(arr.n[j], 32 * (turn * arr.a[j] + served[j]))))::bigint + r % 32 position
+    from turned join slots using (s, nth), arr, lim""",
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
