@@ -5,6 +5,534 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codecs, hashing, paths
+from ..functions.pathfilter import PathFilter
+from ..functions.sizes import byte_size
+from ..operators import chunking, diff, listing, readpath, seed, store, transfer
+from ..schema import ChunkParams
+from ..sources import listing_files
+from . import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: SQL for what trees.py makes: files of documents, v1 and v2, their chunks (fixed size), links and directories.
+_FILES = "select doc_id, concat(source, '/', lang, '/', doc_id, '.txt') path, 420::bigint mode, doc_id + 1700000000 mtime_secs, {text} t from documents where {where}"
+_T = "text"
+_CTE = f"""
+ files as ({_FILES.format(text=_T, where='true')}),
+ files1 as ({_FILES.format(text=_T, where='doc_id % 11 <> 0')}),
+ files2 as (select * replace (mtime_secs + case when doc_id % 5 = 0 then 1 else 0 end as mtime_secs) from ({_FILES.format(text="case when doc_id % 7 = 0 then text || ' v2' else text end", where='doc_id % 13 <> 0')})),
+ {{more}}"""
+
+
+def _blobs(name: str, files: str) -> str:
+    return f"{name} as (select doc_id, path, mode, mtime_secs, strlen(t)::bigint size, sha256(t) blob_id, hex(encode(t)) h from {files})"
+
+
+def _refs(name: str, blobs: str) -> str:
+    return f"""{name} as (select doc_id, path, (o // 1024)::int ord, o start_offset, least(o + 1024, size) end_offset, least(o + 1024, size) - o length, sha256(unhex(substr(h, o * 2 + 1, 2048))) chunk_id, substr(h, o * 2 + 1, 2048) payload
+        from (select *, unnest(range(0, size, 1024)) o from {blobs}))"""
+
+
+def _sql(body: str, *more: str, recursive: bool = False) -> str:
+    return f"with {'recursive ' if recursive else ''}{_CTE.format(more=', '.join(more)).rstrip().rstrip(',')} {body}"
+
+
+_B, _R = _blobs("blobs", "files"), _refs("refs", "blobs")
+_B1, _R1 = _blobs("blobs1", "files1"), _refs("refs1", "blobs1")
+_B2, _R2 = _blobs("blobs2", "files2"), _refs("refs2", "blobs2")
+_ENTRIES = """entries as (select path, 'file' kind, 420::bigint mode, size, null::varchar target from blobs
+    union all select concat('links/', doc_id, '.lnk'), 'symlink', 511, null, concat('../', path) from blobs where doc_id % 50 = 0
+    union all select distinct split_part(path, '/', 1), 'dir', 493, null::bigint, null from blobs
+    union all select unnest(['empty', 'links']), 'dir', 493, null, null)"""
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return register
+
+
+# chunk tables
+
+
+@query("chunk_manifest", _sql("select path, ord, start_offset, length, chunk_id from refs", _B, _R))
+def chunk_manifest(spark, sf):
+    return chunking.chunk_refs(trees.listing(trees.tree(spark, sf))).select("path", "ord", "start_offset", "length", "chunk_id")
+
+
+@query("chunk_id_of_file", _sql("select start_offset, length, chunk_id from refs where doc_id = 7", _B, _R))
+def chunk_id_of_file(spark, sf):
+    one = trees.blobs(trees.documents(spark, sf).where("doc_id = 7"))
+    return chunking.chunk_refs(trees.listing(one)).select("start_offset", "length", "chunk_id").orderBy("start_offset")
+
+
+@query("chunk_lengths", _sql("select path, ord, end_offset, end_offset - lag(end_offset, 1, 0) over (partition by path order by ord) length from refs", _B, _R))
+def chunk_lengths(spark, sf):
+    ends = chunking.chunk_refs(trees.listing(trees.tree(spark, sf))).select("path", "ord", "end_offset")
+    return chunking.lengths(ends).select("path", "ord", "end_offset", "length")
+
+
+@query("chunk_contiguity", _sql("select path, ord, start_offset, expected from (select *, lag(end_offset, 1, 0) over (partition by path order by ord) expected from (select * from refs where not (doc_id % 17 = 0 and ord = 1))) where start_offset <> expected", _B, _R))
+def chunk_contiguity(spark, sf):
+    """Every 17th file has lost its second chunk."""
+    refs = chunking.chunk_refs(trees.listing(trees.tree(spark, sf)), "path", "doc_id").where("not (doc_id % 17 = 0 and ord = 1)")
+    return chunking.breaks(refs).select("path", "ord", "start_offset", "expected")
+
+
+@query("dedup_counters", _sql("select count(*)::bigint chunks, count(distinct chunk_id) \"new\", count(*) - count(distinct chunk_id) reused, sum(length)::bigint bytes, (select sum(length) from (select chunk_id, max(length) length from refs group by chunk_id))::bigint unique_bytes, (sum(length) - (select sum(length) from (select chunk_id, max(length) length from refs group by chunk_id)))::bigint saved_bytes from refs", _B, _R))
+def dedup_counters(spark, sf):
+    return chunking.dedup_counters(chunking.chunk_refs(trees.listing(trees.tree(spark, sf))))
+
+
+@query("ingest_counters", _sql(", ids as (select chunk_id, count(*) n, max(length) length, chunk_id in (select chunk_id from refs1) has from refs2 group by chunk_id) select sum(n)::bigint chunks, count(*) filter (not has) \"new\", (sum(n) - count(*) filter (not has))::bigint reused, sum(n * length)::bigint bytes, coalesce(sum(length) filter (not has), 0)::bigint unique_bytes, (sum(n * length) - coalesce(sum(length) filter (not has), 0))::bigint saved_bytes from ids", _B1, _R1, _B2, _R2))
+def ingest_counters(spark, sf):
+    """What archiving v2 into a store that holds v1 writes and reuses."""
+    refs = chunking.chunk_refs(trees.listing(trees.v2(spark, sf)))
+    return chunking.dedup_counters(refs, trees.store(trees.v1(spark, sf)))
+
+
+@query("cross_file_dedup", _sql("select chunk_id, count(*) refs, count(distinct path) files, (count(*) - 1) * max(length) saved_bytes from refs group by chunk_id having count(distinct path) > 1", _B, _R))
+def cross_file_dedup(spark, sf):
+    refs = chunking.chunk_refs(trees.listing(trees.tree(spark, sf)))
+    by_file = refs.groupBy("chunk_id", "path").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    return by_file.groupBy("chunk_id").agg(F.sum("n").alias("refs"), F.count("*").alias("files"), ((F.sum("n") - 1) * F.max("length")).alias("saved_bytes")).where("files > 1")
+
+
+@query("chunk_ref_counts", _sql("select chunk_id, count(*) n, max(length) length from refs group by chunk_id", _B, _R))
+def chunk_ref_counts(spark, sf):
+    return chunking.chunk_refs(trees.listing(trees.tree(spark, sf))).groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+
+
+# path scopes and directory views
+
+_SCOPE = PathFilter(("src1", "src2/en", "links"), ("src1/de/", "*5.txt", "src2/en/1*", "src1/fr/21.txt"))
+_ALLOWED = "(path = 'src1' or path like 'src1/%' or path = 'src2/en' or path like 'src2/en/%' or path = 'links' or path like 'links/%') and not (path = 'src1/de' or path like 'src1/de/%' or path like '%5.txt' or path like 'src2/en/1%' or path = 'src1/fr/21.txt')"
+
+
+def _entries(spark, sf):
+    return trees.with_links(trees.listing(trees.tree(spark, sf)))
+
+
+@query("path_include", _sql("select path from files where path = 'src3' or path like 'src3/%' or path like 'src4/en/%'"))
+def path_include(spark, sf):
+    return trees.tree(spark, sf).where(PathFilter(("src3", "src4/en")).allows(F.col("path"))).select("path")
+
+
+@query("path_exclude", _sql("select path from files where not (path like 'src3/%' or path like '%7.txt' or path like 'src1%')"))
+def path_exclude(spark, sf):
+    return trees.tree(spark, sf).where(PathFilter((), ("src3/", "*7.txt", "src1*")).allows(F.col("path"))).select("path")
+
+
+@query("path_scope", _sql(f"select path from files where {_ALLOWED}"))
+def path_scope(spark, sf):
+    return trees.tree(spark, sf).where(_SCOPE.allows(F.col("path"))).select("path")
+
+
+@query("filter_with_ancestors", _sql(f", leaves as (select * from entries where kind <> 'dir' and {_ALLOWED}) select path, kind from leaves union all select path, kind from entries e where kind = 'dir' and (({_ALLOWED}) or exists (select 1 from leaves l where starts_with(l.path, e.path || '/')))", _B, _ENTRIES))
+def filter_with_ancestors(spark, sf):
+    return listing.filtered(_entries(spark, sf), _SCOPE).select("path", "kind")
+
+
+@query("filter_report", _sql(f", leaves as (select * from entries where kind <> 'dir' and {_ALLOWED}), kept as (select path, kind from leaves union all select path, kind from entries e where kind = 'dir' and (({_ALLOWED}) or exists (select 1 from leaves l where starts_with(l.path, e.path || '/')))) select count(*) filter (kind = 'file') files, count(*) filter (kind = 'dir') dirs, count(*) filter (kind = 'symlink') symlinks, (select count(*) from entries where kind <> 'dir' and not ({_ALLOWED})) excluded from kept", _B, _ENTRIES))
+def filter_report(spark, sf):
+    return listing.scope_counts(_entries(spark, sf), _SCOPE)
+
+
+@query("ls", _sql("select kind, path, case when kind = 'file' then size end size, target, (select string_agg(chunk_id, ',' order by ord) from refs r where r.path = e.path) chunks from entries e where path = 'src1' or path like 'src1/%' or path like 'links/%' or path = 'links'", _B, _R, _ENTRIES))
+def ls(spark, sf):
+    return listing.ls(_entries(spark, sf), PathFilter(("src1", "links")), chunks=True).withColumn("chunks", F.array_join("chunks", ","))
+
+
+@query("readdir", _sql("select distinct split_part(path, '/', 2) as name, 'dir' kind, 365::bigint mode, null::bigint size from files where path like 'src5/%'"))
+def readdir(spark, sf):
+    return listing.readdir(_entries(spark, sf), "src5")
+
+
+@query("parent_dirs", _sql("select path, 365::bigint mode from (select distinct concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) path from files union select '')"))
+def parent_dirs(spark, sf):
+    """Directories that paths imply and the listing doesn't hold."""
+    return listing.tree(_entries(spark, sf)).where((F.col("kind") == "dir") & (F.col("mode") == 0o555)).select("path", "mode")
+
+
+@query("readlink", _sql("select target from entries where path = 'links/50.lnk'", _B, _ENTRIES))
+def readlink(spark, sf):
+    return listing.readlink(_entries(spark, sf), "links/50.lnk")
+
+
+@query("kind_counts", _sql("select kind, count(*) n from entries group by kind", _B, _ENTRIES))
+def kind_counts(spark, sf):
+    return listing.kind_counts(_entries(spark, sf))
+
+
+@query("statfs", _sql("select sum(size)::bigint bytes, count(*) files from blobs", _B))
+def statfs(spark, sf):
+    return listing.statfs(_entries(spark, sf))
+
+
+@query("blob_names", _sql("select path, replace(split_part(path, '/', 3), '.txt', '') as name from files"))
+def blob_names(spark, sf):
+    return trees.tree(spark, sf).select("path", paths.blob_name(F.regexp_replace("path", "[.]txt$", ".cfidx")).alias("name"))
+
+
+# differences
+
+_DIFF = """, cats as (select coalesce(l.path, r.path) path, case when l.path is null then 'added' when r.path is null then 'removed' when l.blob_id <> r.blob_id or l.size <> r.size then 'changed' when l.mode <> r.mode or l.mtime_secs <> r.mtime_secs then 'meta_changed' else 'same' end category from blobs1 l full join blobs2 r on l.path = r.path)"""
+_ONLY = ", marks as (select chunk_id, max(l) l, max(r) r from (select chunk_id, 1 l, 0 r from refs1 union all select chunk_id, 0, 1 from refs2) group by chunk_id)"
+
+
+def _two(spark, sf):
+    return trees.listing(trees.v1(spark, sf)), trees.listing(trees.v2(spark, sf))
+
+
+@query("diff_paths", _sql(_DIFF + " select path, category from cats", _B1, _B2))
+def diff_paths(spark, sf):
+    return diff.diff_paths(*_two(spark, sf))
+
+
+@query("diff_summary", _sql(_DIFF + _ONLY + """ select count(*) filter (category = 'added') added, count(*) filter (category = 'removed') removed, count(*) filter (category = 'changed') changed, count(*) filter (category = 'meta_changed') meta_changed, count(*) filter (category = 'same') same,
+    (select count(*) from marks where l = 1 and r = 1) chunks_shared, (select count(*) from marks where r = 0) chunks_only_left, (select count(*) from marks where l = 0) chunks_only_right, true differs from cats""", _B1, _B2, _R1, _R2))
+def diff_summary(spark, sf):
+    return diff.summary(*_two(spark, sf))
+
+
+@query("chunk_overlap", _sql(_ONLY + " select count(*) filter (l = 1 and r = 1) chunks_shared, count(*) filter (r = 0) chunks_only_left, count(*) filter (l = 0) chunks_only_right from marks", _B1, _B2, _R1, _R2))
+def chunk_overlap(spark, sf):
+    return diff.chunk_overlap(*_two(spark, sf))
+
+
+@query("diff_top_n", _sql(_DIFF + " select category, path, total from (select category, path, row_number() over (partition by category order by path) k, count(*) over (partition by category) total from cats where category <> 'same') where k <= 5", _B1, _B2))
+def diff_top_n(spark, sf):
+    return listing.first_rows(diff.diff_paths(*_two(spark, sf)).where("category <> 'same'"), "category", 5).select("category", "path", "total")
+
+
+@query("diff_tree", _sql(_DIFF + " select path, case category when 'added' then 'removed' when 'removed' then 'added' when 'meta_changed' then 'same' else category end category from cats", _B1, _B2))
+def diff_tree(spark, sf):
+    """The live tree v2 against the listing of v1: mode and mtime never count."""
+    return diff.diff_paths(diff.tree_as_listing(trees.listing(trees.v2(spark, sf)), trees.listing(trees.v1(spark, sf))), trees.listing(trees.v1(spark, sf)))
+
+
+@query("path_union_count", _sql("select count(*) n from (select path from files1 union select path from files2)"))
+def path_union_count(spark, sf):
+    a, b = trees.v1(spark, sf), trees.v2(spark, sf)
+    return a.select("path").unionByName(b.select("path")).distinct().agg(F.count("*").alias("n"))
+
+
+# stores: the chunks of v1, with holes where needed
+
+_HOLES = ", held as (select distinct chunk_id, length from refs1 where chunk_id < 'f0')"
+
+
+@query("gc_candidates", _sql("select distinct chunk_id from refs1 where chunk_id not in (select chunk_id from refs2)", _B1, _B2, _R1, _R2))
+def gc_candidates(spark, sf):
+    return store.unreferenced(trees.store(trees.v1(spark, sf)), chunking.chunk_refs(trees.listing(trees.v2(spark, sf))))
+
+
+@query("gc_report", _sql(" select (select count(distinct chunk_id) from refs2) referenced, count(distinct chunk_id) unreferenced from refs1 where chunk_id not in (select chunk_id from refs2)", _B1, _B2, _R1, _R2))
+def gc_report(spark, sf):
+    refs = chunking.chunk_refs(trees.listing(trees.v2(spark, sf))).select("chunk_id").distinct()
+    loose = store.unreferenced(trees.store(trees.v1(spark, sf)), refs).agg(F.count("*").alias("unreferenced"))
+    return refs.agg(F.count("*").alias("referenced")).crossJoin(F.broadcast(loose))  # one row each
+
+
+@query("doctor_missing", _sql(_HOLES + " select distinct chunk_id from refs2 where chunk_id not in (select chunk_id from held)", _B1, _B2, _R1, _R2))
+def doctor_missing(spark, sf):
+    return store.missing(chunking.chunk_refs(trees.listing(trees.v2(spark, sf))), trees.holes(trees.store(trees.v1(spark, sf))))
+
+
+@query("doctor_summary", _sql(_HOLES + ", every as (select chunk_id from refs1 union all select chunk_id from refs2) select 2::bigint listings, count(*) checked, count(distinct chunk_id) filter (chunk_id not in (select chunk_id from held)) missing, count(distinct chunk_id) filter (chunk_id not in (select chunk_id from held)) = 0 ok from every", _B1, _B2, _R1, _R2))
+def doctor_summary(spark, sf):
+    both = [chunking.chunk_refs(e) for e in _two(spark, sf)]
+    return store.doctor(both, trees.holes(trees.store(trees.v1(spark, sf))))
+
+
+@query("union_refs", _sql("select chunk_id from refs1 union select chunk_id from refs2", _B1, _B2, _R1, _R2))
+def union_refs(spark, sf):
+    return listing.union_refs(list(_two(spark, sf)))
+
+
+@query("filtered_refs", _sql(f"select path, ord, chunk_id from refs where {_ALLOWED}", _B, _R))
+def filtered_refs(spark, sf):
+    return listing.refs_in_scope(_entries(spark, sf), _SCOPE).select("path", "ord", "chunk_id")
+
+
+@query("store_list", _sql("select distinct chunk_id, chunk_id[1:2] prefix from refs1", _B1, _R1))
+def store_list(spark, sf):
+    return trees.store(trees.v1(spark, sf)).select("chunk_id", hashing.prefix(F.col("chunk_id")).alias("prefix")).orderBy("chunk_id")
+
+
+@query("store_has", _sql(_HOLES + " select chunk_id, chunk_id in (select chunk_id from held) present from (select distinct chunk_id from refs2 where doc_id % 20 = 1)", _B1, _B2, _R1, _R2))
+def store_has(spark, sf):
+    """Which chunks of some files a store with holes has."""
+    asked = chunking.chunk_refs(trees.listing(trees.v2(spark, sf)), "path", "doc_id").where("doc_id % 20 = 1").select("chunk_id").distinct()
+    held = trees.holes(trees.store(trees.v1(spark, sf)))
+    return asked.join(held.select("chunk_id", F.lit(True).alias("present")), "chunk_id", "left").select("chunk_id", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+@query("store_stats", _sql(_HOLES + " select count(*) chunks, sum(length)::bigint bytes_on_disk, sum(length)::bigint bytes_plaintext, 'none' compression from held", _B1, _R1))
+def store_stats(spark, sf):
+    held = trees.holes(trees.store(trees.v1(spark, sf))).select("chunk_id", F.col("length").alias("len_disk"))
+    return store.store_stats(held, F.sum("len_disk"), "none")
+
+
+def _damaged(spark, sf):
+    """The distinct chunks of v1 below f0; those first seen in files divisible by 17 have changed bytes."""
+    made = trees.v1(spark, sf)
+    refs = chunking.chunk_refs(trees.listing(made), "path", "doc_id")
+    owner = refs.groupBy("chunk_id").agg(F.min("doc_id").alias("owner"))
+    payload = chunking.blob_payloads(made, trees.CHUNK).groupBy("chunk_id").agg(F.first("payload").alias("payload"))
+    bad = F.concat(F.col("payload"), F.lit("!").cast("binary"))
+    return payload.join(owner, "chunk_id").where("chunk_id < 'f0'").select("chunk_id", F.when(F.col("owner") % 17 == 0, bad).otherwise(F.col("payload")).alias("payload"))
+
+
+@query("scrub_status", _sql(", own as (select chunk_id, min(doc_id) o from refs1 group by chunk_id), wanted as (select distinct chunk_id from refs2) select w.chunk_id, case when o.chunk_id is null or w.chunk_id >= 'f0' then 'unreadable' when o % 17 = 0 then 'corrupt' else 'ok' end status from wanted w left join own o using (chunk_id)", _B1, _B2, _R1, _R2))
+def scrub_status(spark, sf):
+    """The chunks that v2 refers to, in a store of v1 with holes and damage."""
+    return store.scrub_status(_damaged(spark, sf), chunking.chunk_refs(trees.listing(trees.v2(spark, sf))))
+
+
+@query("scrub_report", _sql(", own as (select chunk_id, min(doc_id) o from refs1 group by chunk_id having chunk_id < 'f0') select count(*) checked, count(*) filter (o % 17 <> 0) ok_count, count(*) filter (o % 17 = 0) corrupt, 0::bigint unreadable, count(*) filter (o % 17 = 0) = 0 ok from own", _B1, _R1))
+def scrub_report(spark, sf):
+    return store.scrub_report(store.scrub_status(_damaged(spark, sf)))
+
+
+# reading back
+
+
+def _payloads(made: DataFrame) -> DataFrame:
+    return chunking.blob_payloads(made, trees.CHUNK).groupBy("chunk_id").agg(F.first("payload").alias("payload"))
+
+
+@query("verify_files", _sql(_HOLES + " select path, 'file' kind, count(*) chunks, case when count(*) filter (chunk_id not in (select chunk_id from held)) > 0 then min(ord) filter (chunk_id not in (select chunk_id from held)) || ': missing chunk' end fault from refs1 group by path", _B1, _R1))
+def verify_files(spark, sf):
+    made = trees.v1(spark, sf)
+    return readpath.verify(trees.listing(made), trees.holes(_payloads(made)))
+
+
+@query("verify_report", _sql("select count(distinct path) files, count(*) chunks, 0::bigint symlinks, 0::bigint faults, null::varchar first_fault, true ok from refs1", _B1, _R1))
+def verify_report(spark, sf):
+    made = trees.v1(spark, sf)
+    return readpath.verify_report(readpath.verify(trees.listing(made), _payloads(made)))
+
+
+@query("cat_file", _sql("select size bytes, blob_id from blobs1 where doc_id = 7", _B1))
+def cat_file(spark, sf):
+    """A file put together from the store's chunks: its size and hash."""
+    made = trees.v1(spark, sf)
+    path = trees.blobs(trees.documents(spark, sf).where("doc_id = 7")).select("path").first().path
+    one = readpath.lookup_file(trees.listing(made), "./" + path)
+    got = readpath.folded(readpath.pieces(one, _payloads(made)))
+    return got.select(F.col("size").alias("bytes"), "blob_id")
+
+
+@query("read_range", _sql("select path, sha256(unhex(substr(h, 1500 * 2 + 1, 2000 * 2))) sha256, least(size, 3500) - 1500 n from blobs1 where size > 1500", _B1))
+def read_range(spark, sf):
+    """Bytes 1500 to 3499 of each file."""
+    made = trees.v1(spark, sf)
+    parts = readpath.read_range(trees.listing(made), _payloads(made), 1500, 2000)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start_offset", F.hex("payload").alias("h")))), lambda x: x["h"])
+    whole = parts.groupBy("path").agg(F.unhex(F.array_join(ordered, "")).alias("b"))  # at most 2000 bytes
+    return whole.select("path", F.sha2("b", 256).alias("sha256"), F.octet_length("b").cast("long").alias("n"))
+
+
+@query("reassembly", _sql("select path, count(*) n_chunks, sum(length)::bigint size, sha256(unhex(string_agg(payload, '' order by ord))) blob_id from refs group by path", _B, _R))
+def reassembly(spark, sf):
+    made = trees.tree(spark, sf)
+    return readpath.folded(readpath.pieces(trees.listing(made), _payloads(made))).select("path", "n_chunks", "size", "blob_id")
+
+
+_DEST = """, dest as (select path, case when doc_id % 19 = 0 then 'dir' else 'file' end kind, size, mtime_secs, blob_id from blobs2)"""
+
+
+def _inventory(spark, sf):
+    """What lies at the destination: v2, where every 19th file is a directory."""
+    at = trees.listing(trees.v2(spark, sf))
+    return at.select("path", F.when(F.col("doc_id") % 19 == 0, "dir").otherwise(F.col("kind")).alias("kind"), "size", "mtime_secs", "blob_id", "target")
+
+
+@query("unchanged_verdict", _sql(_DEST + " select l.path, case when d.path is null then 'missing' when d.kind <> 'file' then 'type_mismatch' when d.size <> l.size then 'size_mismatch' when d.mtime_secs = l.mtime_secs then 'unchanged' when d.blob_id = l.blob_id then 'unchanged' else 'content_mismatch' end verdict from blobs1 l left join dest d using (path)", _B1, _B2))
+def unchanged_verdict(spark, sf):
+    return readpath.unchanged_verdict(trees.listing(trees.v1(spark, sf)), _inventory(spark, sf), trust_mtime=True)
+
+
+@query("extract_plan", _sql(_DEST + " select l.path, 'file' kind, case when d.path is null then 'write' when d.kind = 'dir' then 'fail' when d.size = l.size and d.blob_id = l.blob_id then 'skip' else 'fail' end \"action\" from blobs1 l left join dest d using (path)", _B1, _B2))
+def extract_plan(spark, sf):
+    return readpath.extract_plan(trees.listing(trees.v1(spark, sf)), _inventory(spark, sf), skip_unchanged=True)
+
+
+@query("extract_report", _sql(_DEST + " select count(*) filter (d.kind = 'file' and d.size = l.size and d.blob_id = l.blob_id) would_skip, count(*) filter (d.path is null or (d.kind = 'file' and (d.size <> l.size or d.blob_id <> l.blob_id))) would_write, 0::bigint would_dirs, count(*) filter (d.kind = 'dir') would_fail, 0::bigint would_symlinks from blobs1 l left join dest d using (path)", _B1, _B2))
+def extract_report(spark, sf):
+    return readpath.plan_report(readpath.extract_plan(trees.listing(trees.v1(spark, sf)), _inventory(spark, sf), force=True, skip_unchanged=True))
+
+
+# seeds
+
+
+@query("seed_decision", _sql("select s.path, case when p.path is null or p.size <> s.size then 'rechunk' when p.mtime_secs = s.mtime_secs then 'reuse' when p.blob_id = s.blob_id then 'reuse' else 'rechunk' end decision from blobs2 s left join blobs1 p using (path)", _B1, _B2))
+def seed_decision(spark, sf):
+    return seed.decisions(trees.listing(trees.v2(spark, sf)), trees.listing(trees.v1(spark, sf)), trust_mtime=True)
+
+
+@query("seed_reusable", _sql(_HOLES + ", dec as (select s.path, case when p.blob_id = s.blob_id and p.size = s.size then 'reuse' else 'rechunk' end d from blobs2 s left join blobs1 p using (path)), lack as (select distinct path from refs1 join dec using (path) where d = 'reuse' and chunk_id not in (select chunk_id from held)) select dec.path, case when lack.path is not null then 'rechunk' else d end decision, lack.path is not null seed_missing from dec left join lack using (path)", _B1, _B2, _R1))
+def seed_reusable(spark, sf):
+    source, prior = trees.listing(trees.v2(spark, sf)), trees.listing(trees.v1(spark, sf))
+    return seed.reusable(seed.decisions(source, prior), prior, trees.holes(trees.store(trees.v1(spark, sf))))
+
+
+@query("seed_plan", _sql("select chunk_id, path, ord, start_offset \"offset\", length from refs1 where chunk_id in (select chunk_id from refs2)", _B1, _B2, _R1, _R2))
+def seed_plan(spark, sf):
+    return seed.seed_plan(trees.listing(trees.v1(spark, sf)), chunking.chunk_refs(trees.listing(trees.v2(spark, sf))))
+
+
+@query("seed_first_valid", _sql(", good as (select r.chunk_id, r.path, r.start_offset \"offset\", r.length from refs1 r join blobs2 b using (path) where sha256(unhex(substr(b.h, r.start_offset * 2 + 1, r.length * 2))) = r.chunk_id) select chunk_id, path, \"offset\", length from (select *, row_number() over (partition by chunk_id order by path, \"offset\") k from good) where k = 1", _B1, _B2, _R1))
+def seed_first_valid(spark, sf):
+    """Chunks of v1 read from the tree as it is now, v2: the first place that still holds them."""
+    reads = seed.seed_reads(seed.seed_plan(trees.listing(trees.v1(spark, sf))), trees.v2(spark, sf))
+    return reads.select("chunk_id", "path", "offset", F.octet_length("payload").cast("long").alias("length"))
+
+
+@query("seed_stats", _sql(", good as (select distinct r.chunk_id, r.length from refs1 r join blobs2 b using (path) where sha256(unhex(substr(b.h, r.start_offset * 2 + 1, r.length * 2))) = r.chunk_id), wanted as (select distinct chunk_id from refs) select count(*) filter (w.chunk_id in (select chunk_id from good)) hits, count(*) filter (w.chunk_id in (select chunk_id from refs1) and w.chunk_id not in (select chunk_id from good)) stale, count(*) filter (w.chunk_id not in (select chunk_id from refs1)) misses, (select sum(length) from good)::bigint bytes from wanted w", _B, _R, _B1, _B2, _R1))
+def seed_stats(spark, sf):
+    wanted = chunking.chunk_refs(trees.listing(trees.tree(spark, sf)))
+    plan = seed.seed_plan(trees.listing(trees.v1(spark, sf)))
+    return seed.seed_stats(wanted, plan, seed.seed_reads(plan, trees.v2(spark, sf)))
+
+
+# transfers: local lacks ids from f0 on, the remote has ids below 40, ids that begin with 7 fail
+
+_MOVE = ", ids as (select distinct chunk_id from refs1)"
+
+
+def _move(spark, sf):
+    every = trees.store(trees.v1(spark, sf))
+    first = F.substring("chunk_id", 1, 1)
+    failures = every.where(first == "7").select("chunk_id", F.when(F.substring("chunk_id", 2, 1) < "8", "transient").otherwise("corrupt").alias("error_class"))
+    return chunking.chunk_refs(trees.listing(trees.v1(spark, sf))), trees.holes(every), every.where("chunk_id < '40'"), failures
+
+
+@query("push_outcomes", _sql(_MOVE + " select chunk_id, case when chunk_id >= 'f0' then 'failed_permanent' when chunk_id < '40' then 'skipped' when chunk_id[1:1] = '7' then case when chunk_id[2:2] < '8' then 'failed_transient' else 'failed_permanent' end else 'uploaded' end outcome from ids", _B1, _R1))
+def push_outcomes(spark, sf):
+    return transfer.push_outcomes(*_move(spark, sf))
+
+
+@query("push_report", _sql(_MOVE + ", o as (select case when chunk_id >= 'f0' then 'failed_permanent' when chunk_id < '40' then 'skipped' when chunk_id[1:1] = '7' then case when chunk_id[2:2] < '8' then 'failed_transient' else 'failed_permanent' end else 'uploaded' end outcome from ids) select count(*) filter (outcome = 'skipped') skipped, count(*) filter (outcome = 'uploaded') uploaded, count(*) filter (outcome = 'failed_transient') failed_transient, count(*) filter (outcome = 'failed_permanent') failed_permanent, count(*) unique_chunks, count(*) filter (outcome like 'failed%') failed, 1::bigint listings, false dry_run, count(*) filter (outcome like 'failed%') = 0 ok from o", _B1, _R1))
+def push_report(spark, sf):
+    return transfer.outcome_report(transfer.push_outcomes(*_move(spark, sf)), "uploaded", 1)
+
+
+@query("pull_outcomes", _sql(_MOVE + " select chunk_id, case when chunk_id < '40' then 'skipped' when chunk_id >= 'f0' then 'failed_permanent' when chunk_id[1:1] = '7' then case when chunk_id[2:2] < '8' then 'failed_transient' else 'failed_permanent' end else 'fetched' end outcome from ids", _B1, _R1))
+def pull_outcomes(spark, sf):
+    refs, remote, local, failures = _move(spark, sf)
+    return transfer.pull_outcomes(refs, local, remote, failures)
+
+
+@query("fallback_pick", _sql(_MOVE + " select chunk_id, (case when chunk_id < '40' then 0 when chunk_id < 'a0' then 1 else 2 end)::int origin from ids", _B1, _R1))
+def fallback_pick(spark, sf):
+    every = _payloads(trees.v1(spark, sf))
+    return transfer.fallback([every.where("chunk_id < '40'"), every.where("chunk_id < 'a0'"), every], every).select("chunk_id", "origin")
+
+
+@query("cache_outcomes", _sql(", asked as (select chunk_id, row_number() over (order by path, ord) - 1 k from refs1), t as (select chunk_id, count(*) n, min(k) k from asked group by chunk_id) select sum(case when chunk_id < '40' then n else n - 1 end)::bigint cache_hits, count(*) filter (chunk_id >= '40') cache_miss_fills, 0::bigint cache_miss_refused from t", _B1, _R1))
+def cache_outcomes(spark, sf):
+    """All references of v1, in the order of their hash, read through a cache that holds ids below 40."""
+    every = trees.store(trees.v1(spark, sf))
+    asked = chunking.chunk_refs(trees.listing(trees.v1(spark, sf))).select("chunk_id", F.xxhash64("path", "ord").alias("ord"))
+    return transfer.cache_report(transfer.cached_reads(asked, every.where("chunk_id < '40'"), every))
+
+
+@query("chunk_url", _sql("select distinct chunk_id, concat('http://store/base/chunks/', chunk_id[1:2], '/', chunk_id[3:64], '.cnk') url from refs", _B, _R))
+def chunk_url(spark, sf):
+    ids = chunking.chunk_refs(trees.listing(trees.tree(spark, sf))).select("chunk_id").distinct()
+    return ids.select("chunk_id", transfer.chunk_url(F.lit("http://store/base/"), F.col("chunk_id")).alias("url"))
+
+
+@query("status_class", "select code, case when code between 200 and 299 then null when code in (404, 410) then 'missing' when code in (408, 429) or code between 500 and 504 or code between 520 and 524 then 'transient' else 'permanent' end error_class, case when code between 200 and 299 then null when code in (408, 429) or code between 500 and 504 or code between 520 and 524 then 'failed_transient' else 'failed_permanent' end bucket from (select (100 + l_orderkey % 500)::int code from lineitem group by 1)")
+def status_class(spark, sf):
+    codes = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") % 500 + 100).cast("int").alias("code")).distinct()
+    at = codes.withColumn("error_class", transfer.status_class(transfer.status_of_message(F.concat(F.lit("GET x: HTTP "), F.col("code"), F.lit(" y")))))
+    return at.select("code", "error_class", F.when(F.col("error_class").isNotNull(), transfer.bucket(F.col("error_class"))).alias("bucket"))
+
+
+_UNITS = "['', 'K', 'Ki', 'M', 'Mi', 'G', 'Gi', 'B', 'KB', '.5', ' k']"
+
+
+@query("byte_size_parse", f"select distinct input, case u when '' then n when 'K' then n * 1024 when 'Ki' then n * 1024 when 'M' then n * 1048576 when 'Mi' then n * 1048576 when 'G' then n * 1073741824 when 'Gi' then n * 1073741824 end bytes from (select c_custkey n, {_UNITS}[(c_custkey % 11 + 1)::int] u, concat(c_custkey, u) input from customer)")
+def byte_size_parse(spark, sf):
+    units = F.array(*map(F.lit, ["", "K", "Ki", "M", "Mi", "G", "Gi", "B", "KB", ".5", " k"]))
+    inputs = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.col("c_custkey"), F.element_at(units, (F.col("c_custkey") % 11 + 1).cast("int"))).alias("input")).distinct()
+    return inputs.select("input", byte_size(F.col("input")).alias("bytes"))
+
+
+# validation
+
+
+def _broken(spark, sf):
+    """The listing of the tree with a fault in every 23rd file, of a kind that depends on its id."""
+    made = trees.listing(trees.tree(spark, sf))
+    kind = F.when(F.col("doc_id") % 23 == 0, F.floor(F.col("doc_id") / 23) % 6).otherwise(-1)
+    at = made.withColumn("k", kind)
+    path = F.when(F.col("k") == 0, F.concat(F.lit("../"), F.col("path"))).when(F.col("k") == 1, F.concat(F.lit("/"), F.col("path"))).otherwise(F.col("path"))
+    at = at.withColumn("path", path).withColumn("size", F.when(F.col("k") == 2, F.col("size") + 1).when(F.col("k") == 3, 0).otherwise(F.col("size")))
+    at = at.withColumn("chunks", F.when(F.col("k") == 4, F.array().cast("array<struct<end_offset:long,chunk_id:string>>")).otherwise(F.col("chunks")))
+    return at.drop("k").unionByName(at.where("k = 5").drop("k"))
+
+
+@query("validate_listing", _sql(""", k as (select *, case when doc_id % 23 = 0 then (doc_id // 23) % 6 else -1 end k from blobs where size > 0)
+    select '../' || path path, 'path: dot segment' fault from k where k = 0 union all select '/' || path, 'path: absolute' from k where k = 1 union all select path, 'last end differs from size' from k where k in (2, 3)
+    union all select path, 'chunks in an empty file' from k where k = 3 union all select path, 'no chunks' from k where k = 4 union all select path, 'duplicate path' from k where k = 5""", _B))
+def validate_listing(spark, sf):
+    return listing.violations(_broken(spark, sf))
+
+
+@query("validate_paths", _sql(", p as (select case doc_id % 8 when 1 then '/' || path when 2 then replace(path, '/', '//') when 3 then path || '/..' when 4 then './' || path when 5 then 'C:' || path when 6 then replace(path, '/', chr(92)) when 7 then path || '/' else path end path from files) select path, not (path like '/%' or path like '%//%' or path like '%/..' or path like './%' or path like 'C:%' or contains(path, chr(92)) or path like '%/') legal from p"))
+def validate_paths(spark, sf):
+    p = F.col("path")
+    n = F.col("doc_id") % 8
+    made = F.when(n == 1, F.concat(F.lit("/"), p)).when(n == 2, F.replace(p, F.lit("/"), F.lit("//"))).when(n == 3, F.concat(p, F.lit("/.."))).when(n == 4, F.concat(F.lit("./"), p)).when(n == 5, F.concat(F.lit("C:"), p)).when(n == 6, F.replace(p, F.lit("/"), F.lit("\\"))).when(n == 7, F.concat(p, F.lit("/"))).otherwise(p)
+    return trees.tree(spark, sf).select(made.alias("path")).select("path", paths.is_legal(p).alias("legal"))
+
+
+@query("id_parse", _sql(", p as (select case doc_id % 4 when 1 then upper(sha256(t)) when 2 then substr(sha256(t), 1, 63) when 3 then substr(sha256(t), 1, 63) || 'g' else sha256(t) end id from files) select id, regexp_full_match(id, '[0-9a-f]{64}') valid from p"))
+def id_parse(spark, sf):
+    made = trees.tree(spark, sf).select("doc_id", F.sha2("content", 256).alias("h"))
+    n = F.col("doc_id") % 4
+    ids = made.select(F.when(n == 1, F.upper("h")).when(n == 2, F.substring("h", 1, 63)).when(n == 3, F.concat(F.substring("h", 1, 63), F.lit("g"))).otherwise(F.col("h")).alias("id"))
+    return ids.select("id", hashing.is_id(F.col("id")).alias("valid"))
+
+
+# content-defined chunks, BLAKE3, codecs: SQL has none of them
+
+
+@query("cdc_chunks")
+def cdc_chunks(spark, sf):
+    made = chunking.with_chunks(trees.tree(spark, sf), params=ChunkParams(512, 1024, 4096), algorithm="blake3")
+    return chunking.chunk_refs(made).select("path", "ord", "start_offset", "length", "chunk_id")
+
+
+@query("blake3_ids")
+def blake3_ids(spark, sf):
+    return trees.tree(spark, sf).select("path", hashing.content_id(F.col("content"), "blake3").alias("blob_id"))
+
+
+@query("zstd_roundtrip", _sql("select path, size, true same from blobs", _B))
+def zstd_roundtrip(spark, sf):
+    made = trees.tree(spark, sf).select("path", "size", "content", codecs.encoded(F.col("content"), "zstd").alias("packed"))
+    return made.select("path", "size", (codecs.decoded(F.col("packed"), "zstd") == F.col("content")).alias("same"))
+
+
+@query("codec_roundtrip", _sql(", every as (select kind, path, size from entries) select kind, count(*) n, sum(size)::bigint size from every group by kind", _B, _ENTRIES))
+def codec_roundtrip(spark, sf):
+    """A directory listing written in its binary format and read back."""
+    made = _entries(spark, sf).drop("doc_id")
+    data = listing_files.encode_dir(made)
+    back = listing_files.decode_dir_frame(spark, data)
+    return back.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "file", F.col("size"))).alias("size"))
+
+
