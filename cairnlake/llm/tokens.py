@@ -1,7 +1,7 @@
 """Token ids of a corpus as rANS-coded block files, written and read back in parallel.
 
 encode_corpus tokenises every whole text (null: empty) with a tokenizers file, appends an end id, orders documents by doc_id
-(null ids first; equal ids by text), and writes blocks of whole documents, about BLOCK tokens each, coded with one frequency
+(null ids first; equal ids by text) or as rows stand in their files, and writes blocks of whole documents, about BLOCK tokens each, coded with one frequency
 table counted over the whole corpus. The folder holds `blocks` (shard, block, place: ids before it in its shard, tokens, image:
 see rans.py), `shards` (shard, start: ids before it) and `table` (symbol, freq); a block decodes without any other, so a reader
 starts at every block. decode_corpus reads them back and checks every checksum.
@@ -22,24 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import flat, id_text, shards, shared_dir, written
+from .common import id_text, shards, shared_dir, written
 from .rans import Codec, image, parsed, quantised
 
 BLOCK = 1 << 16
-#: Words whose ids a worker keeps; beyond it starts anew.
-KEPT_WORDS = 400_000
+#: New words after which a worker forgets those it hasn't met since as many ago.
+KEPT_WORDS = 500_000
 #: Blocks coded together.
 TOGETHER = 32
 _BLOCKS = "shard long, block long, place long, tokens long, image binary"
 
 
 class _Encoder:
-    """One worker's tokenizer and the ids of the words it has met, as little-endian 32-bit integers."""
+    """One worker's tokenizer and the ids of words it has met: of the last KEPT_WORDS new ones, and of as many before them."""
 
     made: dict[tuple[str, bool], _Encoder] = {}
 
@@ -47,8 +48,10 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.kept = Tokenizer.from_file(path), whole, {}
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     @classmethod
     def of(cls, path: str, whole: bool) -> _Encoder:
@@ -56,63 +59,97 @@ class _Encoder:
             cls.made[path, whole] = cls(path, whole)
         return cls.made[path, whole]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        kind = "<u2" if self.small else "<u4"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, col: pa.Array) -> list[bytes]:
-        buf, off = flat(col)
-        data, off = buf.tobytes(), off.tolist()
+    def _learn(self, words: list[str]) -> None:
+        """The ids of words, encoded many at once with spaces between and told apart by their offsets."""
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum([len(w) + 1 for w in group])
+            cuts = (np.concatenate([[0], np.searchsorted(at, ends)]) * self.kind.itemsize).tolist()
+            data = np.array(ids, self.kind).tobytes()
+            self.new.update(zip(group, (data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        if len(self.new) > KEPT_WORDS:
+            self.old, self.new = self.new, {}
+        got = list(map(self.new.get, words))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if self.old and missing:
+            old = self.old
+            for i in missing:
+                got[i] = old.get(words[i])
+            self.new.update((words[i], got[i]) for i in missing if got[i] is not None)
+            missing = [i for i in missing if got[i] is None]
+        if missing:
+            self._learn([words[i] for i in missing])
+            for i in missing:
+                got[i] = self.new[words[i]]
+        return got
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, bounds): the ids of row r are symbols[bounds[r]:bounds[r + 1]]."""
+        col = pc.fill_null(col, "")
         if self.whole:
-            return self.ids([data[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)])
-        texts = [data[a:b].split() for a, b in zip(off[:-1], off[1:], strict=True)]
-        new = set().union(*texts).difference(self.kept)
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = set().union(*texts)
-        if new:
-            new = list(new)
-            self.kept.update(zip(new, self.ids([w.decode("utf-8", "replace") for w in new]), strict=True))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, t)) for t in texts]
+            each = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(col.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.kind), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
+        split = pc.ascii_split_whitespace(col)
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._known(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        _, off, data = ids.buffers()
+        off = np.frombuffer(off, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        first = np.asarray(split.offsets) - np.asarray(split.offsets)[0]
+        symbols = np.frombuffer(data, self.kind)[off[0] // self.kind.itemsize : off[-1] // self.kind.itemsize] if data and len(ids) else np.zeros(0, self.kind)
+        return symbols, (off[first] - off[0]) // self.kind.itemsize
 
 
 _TOKENS = "shard long, block long, place long, tokens long, counts array<long>, ids array<long>, symbols binary"
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, whole: bool = False, block: int = BLOCK) -> DataFrame:
-    """Blocks of documents in ascending doc_id order: shard, block, place (ids before it in the shard), tokens, counts, ids, symbols."""
+def _in_order(docs: DataFrame, order: str) -> DataFrame:
+    """doc_id and text, range-partitioned and sorted: by doc_id, or as the rows of the Parquet files that docs reads follow each other."""
+    if order == "id":
+        return id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    where = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return id_text(where.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row"))
+
+
+def tokenised(docs: DataFrame, path: str, end_id: int, whole: bool = False, block: int = BLOCK, order: str = "id") -> DataFrame:
+    """Blocks of documents in order: shard, block, place (ids before it in the shard), tokens, counts, ids, symbols."""
+
+    schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("tokens", pa.int64()), ("counts", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _Encoder.of(path, whole), TaskContext.get().partitionId()
-        kind = np.dtype("<u2" if encoder.small else "<u4")
-        end = np.array([end_id], kind).tobytes()
-        place = number = size = 0
-        ids: list = []
-        parts: list[bytes] = []
-        counts: list[int] = []
-
-        def out() -> pa.RecordBatch:
-            symbols = b"".join(parts)
-            row = {"shard": shard, "block": number, "place": place, "tokens": size, "counts": counts, "ids": ids, "symbols": symbols}
+        place = number = 0
+        left = np.zeros(0, encoder.kind)
+        left_counts: list[int] = []
+        left_ids: list = []
+
+        def made(n: int) -> pa.RecordBatch:
+            """A block of the first n documents that are left."""
+            nonlocal left, left_counts, left_ids, place, number
+            size = sum(left_counts[:n])
+            row = {"shard": shard, "block": number, "place": place, "tokens": size, "counts": left_counts[:n], "ids": left_ids[:n], "symbols": left[:size].tobytes()}
+            left, left_counts, left_ids = left[size:], left_counts[n:], left_ids[n:]
+            place, number = place + size, number + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("place", pa.int64()), ("tokens", pa.int64()), ("counts", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("symbols", pa.binary())])
-        for b in shards(batches):
-            for doc, x in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text")), strict=True):
-                ids.append(doc)
-                parts += [x, end]
-                counts.append(len(x) // kind.itemsize + 1)
-                size += counts[-1]
-                if size >= block:
-                    yield out()
-                    place, number = place + size, number + 1
-                    ids, parts, counts, size = [], [], [], 0
-        if ids:
-            yield out()
+        for b in shards(batches, most=8 << 20, rows=1 << 16):
+            symbols, bounds = encoder.encode(b.column("text"))
+            symbols = np.insert(symbols, bounds[1:], end_id)
+            left = np.concatenate([left, symbols])
+            left_counts += (np.diff(bounds) + 1).tolist()
+            left_ids += b.column("doc_id").to_pylist()
+            while True:
+                full = np.flatnonzero(np.cumsum(left_counts) >= block)
+                if not len(full):
+                    break
+                yield made(int(full[0]) + 1)
+        if left_counts:
+            yield made(len(left_counts))
 
-    ordered = id_text(docs).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, _TOKENS)
+    return _in_order(docs, order).mapInArrow(run, _TOKENS)
 
 
 def _symbols(data: bytes, tokens: int) -> np.ndarray:
@@ -135,10 +172,10 @@ def symbol_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("tokens", "symbols").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def encode_corpus(docs: DataFrame, folder: str, path: str, end_id: int, whole: bool = False, block: int = BLOCK) -> str:
-    """Writes blocks, shards and table to the folder (which Spark can write to) and returns it."""
+def encode_corpus(docs: DataFrame, folder: str, path: str, end_id: int, whole: bool = False, block: int = BLOCK, order: str = "id") -> str:
+    """Writes blocks, shards and table to the folder (which Spark can write to) and returns it. order: "id", or "rows" of Parquet files."""
     spark = docs.sparkSession
-    tokens = written(tokenised(docs, path, end_id, whole, block))
+    tokens = written(tokenised(docs, path, end_id, whole, block, order))
     seen = symbol_counts(tokens).collect()  # as many rows as the vocabulary has ids, at most
     counts = np.zeros(max([r.symbol for r in seen], default=0) + 1, np.int64)
     for r in seen:
@@ -167,8 +204,8 @@ def encode_corpus(docs: DataFrame, folder: str, path: str, end_id: int, whole: b
     return folder
 
 
-def decode_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (uint32 little-endian), ids_crc32."""
+def decode_corpus(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (uint32 little-endian; null if not asked for), ids_crc32."""
     rows = spark.read.parquet(f"{folder}/table").collect()  # one row per symbol
     freq = np.zeros(max(r.symbol for r in rows) + 1, np.int64)
     for r in rows:
@@ -183,12 +220,12 @@ def decode_corpus(spark: SparkSession, folder: str) -> DataFrame:
                 images = [parsed(x.as_py()) for x in b.column("image")]
                 places, which = b.column("place").to_pylist(), b.column("shard").to_pylist()
                 symbols = coder.decode([(s, w, int(c.sum())) for s, w, c, _, _ in images])
-                for (_, _, counts, ids, null), place, shard, got in zip(images, places, which, symbols, strict=True):
+                for (_, _, counts, doc, null), place, shard, got in zip(images, places, which, symbols, strict=True):
                     ends = np.cumsum(counts)
                     data = memoryview(got.astype("<u4").tobytes())
                     each = [data[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(np.full(len(ids), shard)), pa.array(place + ends - counts), pa.array(counts), pa.array([bytes(x) for x in each], pa.binary()), pa.array([zlib.crc32(x) for x in each], pa.int64())],
+                        [pa.array(doc, pa.int64(), mask=null.astype(bool)), pa.array(np.full(len(doc), shard)), pa.array(place + ends - counts), pa.array(counts), pa.array([bytes(x) if ids else None for x in each], pa.binary()), pa.array([zlib.crc32(x) for x in each], pa.int64())],
                         names=["doc_id", "shard", "start", "n_tokens", "ids", "ids_crc32"],
                     )
 
@@ -198,7 +235,7 @@ def decode_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, path: str, end_id: int, whole: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end_id: int, whole: bool = False, ids: bool = True, order: str = "id") -> DataFrame:
     """decode_corpus(encode_corpus(docs)) through a new folder beside the other written tables."""
     folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return decode_corpus(docs.sparkSession, encode_corpus(docs, folder, path, end_id, whole))
+    return decode_corpus(docs.sparkSession, encode_corpus(docs, folder, path, end_id, whole, order=order), ids)
