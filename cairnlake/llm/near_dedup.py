@@ -6,8 +6,8 @@ sequence; none: the empty set, linked with nothing). Two documents are linked if
 Steps: (1) one Python pass makes, per document, a hash of the set, a signature of 256 bins and its band keys; (2) equal sets
 become one class, found by partial aggregation, so a group of copies of any size costs one row; (3) classes that share a band
 form a bucket, whose hub is the member with most bucket companions; hub-member edges are confirmed on full sets; (4) members
-that their hub didn't confirm are compared by signature with the rest of the bucket, in blocks of bounded size, and pairs that
-may reach the threshold (five standard deviations of slack) are confirmed on full sets; (5) components of confirmed edges.
+that their hub didn't confirm are compared by size and signatures with the rest of the bucket, in blocks of bounded size, and pairs
+that may reach the threshold (five standard deviations of slack) are confirmed on full sets; (5) components of confirmed edges.
 
 Cases: null ids are linked with nothing (component_id null, kept); rows that repeat an id give one result row each; ties take
 the smallest id; extra columns are ignored.
@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from .common import ODD, SPACED, U64, flat, id_text, in_memory, list_column, mix
 from .graph import components
 
 BINS = 256
+#: Bins of the signature that pairs are compared by before their full sets are: 2^WIDE_BITS, none filled from another.
+WIDE_BITS = 10
 #: Members of a bucket that one task compares with one another.
 BLOCK = 2048
 #: Edges of one hub that one task confirms.
@@ -119,48 +120,62 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles: all hashes of the set) of each document."""
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles: all hashes of the set, wide: its wide signature) of the documents in nodes; the text of no other is used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shards(batches):
             s, bounds = shingle_sets(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(s.view(np.int64), bounds, pa.int64())], names=["node", "shingles"])
+            d = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            bin_ = (s >> U64(64 - WIDE_BITS)).astype(np.int64)
+            head = np.ones(len(s), bool)
+            head[1:] = (bin_[1:] != bin_[:-1]) | (d[1:] != d[:-1])
+            wide = np.zeros((b.num_rows, 1 << WIDE_BITS), np.uint8)
+            wide[d[head], bin_[head]] = np.maximum(s[head].astype(np.uint8), 1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(s.view(np.int64), bounds, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary())], names=["node", "shingles", "wide"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    wanted = docs.join(F.broadcast(nodes) if in_memory(nodes.count()) else nodes, "doc_id", "left_semi")
+    return written(wanted.mapInArrow(run, "node long, shingles array<long>, wide binary")).dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) linked on full sets. Only documents in pairs are read again; a hot first document is salted."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = docs.where("doc_id is not null").join(F.broadcast(nodes) if in_memory(nodes.count()) else nodes, "doc_id", "left_semi")
-    sets = written(full_sets(wanted)).dropDuplicates(["node"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) linked on full sets; a document with many pairs is salted."""
+    sets = sets.select("node", "shingles")
     parts = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {SALT}) as int)").alias("parts"))
-    salted = pairs.withColumn("part", F.expr(f"cast(pmod(xxhash64(b), 1000003) as int)"))
+    salted = pairs.withColumn("part", F.expr("cast(pmod(xxhash64(b), 1000003) as int)"))
     left = sets.join(parts, sets.node == parts.a).select("a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sa"))
     right = salted.join(sets, salted.b == sets.node).select("a", "b", "part", F.col("shingles").alias("sb")).join(parts, "a").withColumn("part", F.col("part") % F.col("parts")).drop("parts")
     both = right.join(left, ["a", "part"]).withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b")
 
 
-def _unlike(percent: int):
-    least = int(BINS * percent / 100 - 5.5 * math.sqrt(BINS * percent / 100 * (1 - percent / 100)))
+def _alike(percent: int):
+    """Pairs of a block that may reach the threshold: by size, by the 256 bins, then by the wide signature, five standard deviations of slack each."""
+    p = percent / 100
+    least = int(BINS * p - 5.5 * math.sqrt(BINS * p * (1 - p)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = pdf[pdf["chunk"] == i], pdf[pdf["chunk"] == j]
-        sx, sy = (np.stack([np.frombuffer(s, np.uint8) for s in p["sig"]]) if len(p) else np.zeros((0, BINS), np.uint8) for p in (x, y))
-        ax, ay, ox, oy = x["node"].to_numpy(), y["node"].to_numpy(), x["near"].to_numpy(), y["near"].to_numpy()
+    def run(t: pa.Table) -> pa.Table:
+        chunk, node, near, n = (t.column(c).to_numpy() for c in ("chunk", "node", "near", "n"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sig, wide = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("sig", "wide"))
+        x, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         out_a, out_b = [], []
-        for k in range(len(x)):
-            like = (sy == sx[k]).sum(1) >= least
-            like &= ~(oy & ox[k])  # both already hang at the hub
-            like &= (ay > ax[k]) if i == j else (ay != ax[k])
-            hit = np.flatnonzero(like)
-            out_a += [ax[k]] * len(hit)
-            out_b += ay[hit].tolist()
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for k in x:
+            maybe = y[(node[y] > node[k]) if i == j else (node[y] != node[k])]
+            maybe = maybe[~(near[maybe] & near[k]) & (np.minimum(n[maybe], n[k]) >= p * np.maximum(n[maybe], n[k]) - 1e-9)]
+            maybe = maybe[(sig[maybe] == sig[k]).sum(1) >= least] if len(maybe) else maybe
+            if not len(maybe):
+                continue
+            w = wide[maybe]
+            either = ((w | wide[k]) != 0).sum(1)
+            same = ((w == wide[k]) & (w != 0)).sum(1)
+            part = np.minimum(1, either / np.maximum(1, (n[maybe] + n[k]) / (1 + p)))
+            slack = 5 * np.sqrt(p * (1 - p) / np.maximum(either, 1) * (1 - part)) + 0.01
+            hit = maybe[same >= (p - slack) * either]
+            out_a.append(np.minimum(node[hit], node[k]))
+            out_b.append(np.maximum(node[hit], node[k]))
+        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": join(out_a), "b": join(out_b)})
 
     return run
 
@@ -169,27 +184,32 @@ def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(members, edges): every row's doc_id, n_shingles and class (smallest doc_id with an equal set), and confirmed edges between classes."""
     docs = id_text(docs)
     made = written(sketches(docs, percent))
-    classes = made.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class"))
-    same = F.coalesce(F.col("class"), F.col("doc_id"))
-    members = made.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, same).otherwise(F.col("doc_id"))).alias("class"))
+    of_set = ["h1", "h2", "n_shingles"]
+    classes = written(made.where("doc_id is not null and n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
+    # sets that hold over 1/1000 of all rows, so fewer than 1000, are broadcast; the others are joined
+    total = made.count()
+    hot = made.select("doc_id", *of_set).join(F.broadcast(classes.where(F.col("copies") * 1000 > total).drop("copies")), of_set, "left")
+    cold = hot.where("class is null").drop("class").join(classes.where(F.col("copies") * 1000 <= total).drop("copies"), of_set, "left")
+    members = hot.where("class is not null").unionByName(cold).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class"))
     heads = made.where("n_shingles > 0").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = heads.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     crowd = keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     at = written(keys.join(crowd, ["band", "key"]))
-    degree = at.groupBy("node").agg(F.sum("size").alias("degree"))
+    degree = written(at.groupBy("node").agg(F.sum("size").alias("degree")))
     hubs = at.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     placed = written(at.join(hubs, ["band", "key"]))
+    sets = full_sets(docs.where("doc_id is not null"), degree.select(F.col("node").alias("doc_id")))
     first = written(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    star = written(confirmed(first, docs, percent))
+    star = written(confirmed(first, sets, percent))
     # what the hub didn't confirm meets the rest of its bucket, block by block
     near = placed.join(star.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("ok")), ["hub", "node"], "left")
     near = near.withColumn("near", F.coalesce("ok", F.col("node") == F.col("hub"))).drop("ok")
     mixed = near.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0 and n > 2").select("band", "key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("chunks"))
-    sig = heads.select(F.col("doc_id").alias("node"), "sig")
-    rest = near.join(mixed, ["band", "key"]).join(sig, "node").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    blocks = rest.select("band", "key", "node", "near", "sig", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
-    more = written(blocks.groupBy("band", "key", "i", "j").applyInPandas(_unlike(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return members, star.unionByName(confirmed(more, docs, percent))
+    sig = heads.select(F.col("doc_id").alias("node"), "sig", F.col("n_shingles").alias("n")).join(sets.select("node", "wide"), "node")
+    rest = near.select("band", "key", "node", "near").join(mixed, ["band", "key"]).join(sig, "node").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    blocks = rest.select("band", "key", "node", "near", "n", "sig", "wide", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+    more = written(blocks.groupBy("band", "key", "i", "j").applyInArrow(_alike(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    return members, star.unionByName(confirmed(more, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
