@@ -81,6 +81,7 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, per
     """docs range-partitioned and sorted by mixed position, so that written files hold them in that order; all columns stay.
 
     doc_id says which row is which: of rows that repeat one, each takes the first of their positions, in any order."""
-    places = mixed(docs, weights, period, block).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("position").alias("_position"))
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(places["_doc"]), "left").drop("_doc")
+    places = written(mixed(docs, weights, period, block).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("position").alias("_position")))
+    places = F.broadcast(places) if in_memory(places.count()) else places
+    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     return placed.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")

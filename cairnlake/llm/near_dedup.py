@@ -221,5 +221,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the documents that a smaller id of their component stands for; all columns stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if in_memory(gone.count()) else gone
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
