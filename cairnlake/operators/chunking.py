@@ -47,7 +47,7 @@ def cdc_udf(params: ChunkParams | None, algorithm: str = "sha256", fixed: int =
                 ends.append(None)
                 continue
             ends.append(cdc.cuts(x, params) if params else [*range(fixed, len(x), fixed), *([len(x)] if x else [])])
-            parts += [x[a:b] for a, b in zip([0, *ends[-1][:-1]], ends[-1], strict=True)]
+            parts += [x[a:b] for a, b in zip([0, *ends[-1]], ends[-1], strict=False)]
             size += len(x)
             if size >= 4 << 20:  # many small chunks are hashed together
                 flush()
