@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
 
 Texts are lower-cased (A-Z) and split into words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`); a block is a line. A block meets a
-template if it holds at least ceil(threshold x |T|) of the template's |T| distinct words. The join orders words by how many blocks
-hold them, over the whole corpus, and takes of each template only its prefix, the |T| - ceil(threshold x |T|) + 1 rarest words: a
+template if it holds at least ceil(threshold x |T|) of the template's |T| distinct words. The join orders words by how often they
+occur in the whole corpus, and takes of each template only its prefix, the |T| - ceil(threshold x |T|) + 1 rarest words: a
 block without any of them can't meet it. A block must also have enough words (length filter), and the first prefix word that it
 holds must leave enough words behind it in the order (positional filter). What is left is verified on full sets.
 
@@ -25,7 +25,8 @@ from .common import id_text, in_memory, written
 
 THRESHOLD = 0.8
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_IN, _OUT = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same for texts that aren't lower-cased.
+_IN, _OUT = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Statements by which texts are put under a license.
 TEMPLATES = [
@@ -50,17 +51,20 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """(h: of id and text, block, words: distinct) of every line that has words."""
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.posexplode(F.split(lowered(F.col("text")), "\n", -1)).alias("block", "line"))
-    return lines.select("h", "block", "line")
+def global_order(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(word, n: times that it occurs in the corpus), for the words of templates; a row per word and task is shuffled.
 
+    Texts are split as they are; a word that full lower-casing turns into one of the vocabulary is it only if it has as many bytes."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _OUT, -1)).alias("raw"))
+    same = words.withColumn("word", F.lower("raw")).where(F.col("word").isin(vocabulary) & (F.octet_length("word") == F.octet_length("raw")))
+    return same.groupBy("word").agg(F.count("*").alias("n"))
 
-def global_order(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(word, n: lines of the corpus that hold it), for the words of templates; a row per word and task is shuffled."""
-    lines = blocks_of(docs).where(F.greatest(*[F.col("line").contains(w) for w in vocabulary]) if len(vocabulary) > 1 else F.col("line").contains(vocabulary[0]))
-    held = lines.select(F.explode(F.array_intersect(word_list(F.col("line")), F.array(*map(F.lit, vocabulary)))).alias("word"))
-    return held.groupBy("word").agg(F.count("*").alias("n"))
+
+def blocks_with(docs: DataFrame, rare: list[str]) -> DataFrame:
+    """(h: of id and text, block, words: distinct) of every line of the texts that hold one of the rare words."""
+    held = F.arrays_overlap(F.split(F.lower("text"), _OUT, -1), F.array(*map(F.lit, rare)))
+    lines = docs.where(F.col("text").isNotNull() & held).select(F.xxhash64("doc_id", "text").alias("h"), F.posexplode(F.split(lowered(F.col("text")), "\n", -1)).alias("block", "line"))
+    return lines.select("h", "block", F.array_distinct(word_list(F.col("line"))).alias("words"))
 
 
 def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,12 +78,7 @@ def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("label", "words").orderBy("n", "word")) - 1)
     prefix = written(ranked.where(F.col("place") <= F.size("words") - F.col("need")).select("label", F.col("words").alias("template"), "need", "word", "place"))
     rare = [r.word for r in prefix.select("word").distinct().collect()]  # at most the templates' words
-    held = F.array(*map(F.lit, sorted(rare)))
-    some = F.col("line").contains(sorted(rare)[0])
-    for w in sorted(rare)[1:]:
-        some = some | F.col("line").contains(w)
-    blocks = blocks_of(docs).where(some).select("h", "block", F.array_distinct(word_list(F.col("line"))).alias("words"))
-    blocks = blocks.withColumn("word", F.explode(F.array_intersect("words", held)))
+    blocks = blocks_with(docs, sorted(rare)).withColumn("word", F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted(rare))))))
     prefix = F.broadcast(prefix) if in_memory(len(rare) * len(templates)) else prefix
     near = blocks.join(prefix, "word").where((F.size("words") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need")))
     found = near.withColumn("both", F.size(F.array_intersect("template", "words"))).where("both >= need")
@@ -87,21 +86,23 @@ def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
 
 
 def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{_IN}){_OUT.join(phrase.split())}(?!{_IN})"
+    return f"(?<!{_IN})" + _OUT.join(f"(?i:{w})" for w in phrase.split()) + f"(?!{_IN})"
 
 
 def based(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, h, n_words, n_base, first_word, last_word, base (labels) by consecutive phrases."""
+    """One row per row of docs: doc_id, h, n_words, n_base, first_word, last_word, base (labels) by consecutive phrases.
+
+    Only texts that hold every word of a phrase, however cased, are searched for it."""
     t = F.col("t")
-    src = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), lowered(F.col("text")).alias("t"))
-    count = lambda c: F.regexp_count(c, F.lit(WORD)).cast("long")
-    src = src.withColumn("n_words", count(t))
+    src = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("t"))
+    count = lambda c: F.regexp_count(c, F.lit(_IN + "+")).cast("long")
+    src = src.withColumn("n_words", count(t)).withColumn("low", F.lower("t"))
     total, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
     for i, (phrase, label) in enumerate(PHRASES.items()):
-        words = phrase.split()
-        here = t.contains(words[0])
+        words = sorted(phrase.split(), key=lambda w: (-len(w), w))
+        here = F.col("low").contains(words[0])
         for w in words[1:]:
-            here = here & t.contains(w)
+            here = here & F.col("low").contains(w)
         pieces = f"pieces{i}"
         src = src.withColumn(pieces, F.when(here, F.split(t, phrase_pattern(phrase), -1)))
         p = F.col(pieces)
