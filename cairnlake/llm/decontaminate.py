@@ -1,8 +1,8 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each shard of documents gets a suffix array over its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased), sorted as
-deep as the longest benchmark item. Every suffix of every item is looked up by binary search, one more word at a time, which
-gives its longest verbatim match and all its places. A window is 10 consecutive words of an item; a shorter item is one window.
+deep as the longest benchmark item. Every suffix of every item is looked up by binary search, one more word at a time, until its
+window's places are known; from there each match is followed as far as it goes. A window is 10 consecutive words of an item; a shorter item is one window.
 A document word inside any occurrence of a window is hit; a document with a hit is contaminated.
 
 Documents never leave their shard, so nothing is shuffled. The benchmark is broadcast in blocks of a checked size: items beyond
@@ -83,12 +83,13 @@ class Suffixes:
         self.need = np.where(self.left >= need, need, 0)
         self.depth = int(sizes.max(initial=1))
 
-    def search(self, h: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(longest, lo, hi, at): of each suffix the longest match in words, the range of sa that holds its window, a place of the longest match."""
+    def search(self, h: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, place) of every occurrence in h of the window that starts with suffix `which`."""
         n, q = len(h), len(self.words)
-        longest, lo, hi, place = (np.zeros(q, np.int64) for _ in range(4))
+        lo, hi = np.zeros(q, np.int64), np.zeros(q, np.int64)
         padded = np.append(h, np.zeros(self.depth + 1, U64))
-        live, a, b = np.arange(q), np.zeros(q, np.int64), np.full(q, n, np.int64)
+        live = np.flatnonzero(self.need)
+        a, b = np.zeros(len(live), np.int64), np.full(len(live), n, np.int64)
         for d in range(self.depth):
             keep = self.left[live] > d
             live, a, b = live[keep], a[keep], b[keep]
@@ -99,11 +100,29 @@ class Suffixes:
             y = _bound(padded, sa, x, b, want, d, True)
             keep = y > x
             live, a, b = live[keep], x[keep], y[keep]
-            longest[live] = d + 1
-            place[live] = sa[a]
             full = self.need[live] == d + 1
             lo[live[full]], hi[live[full]] = a[full], b[full]
-        return longest, lo, hi, place
+            live, a, b = live[~full], a[~full], b[~full]
+        count = hi - lo
+        hits = np.flatnonzero(count)
+        which = np.repeat(hits, count[hits])
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(count[hits]) - count[hits], count[hits])
+        return which, sa[lo[which] + inner]
+
+    def extended(self, h: np.ndarray, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, place, length) of the longest verbatim matches: occurrences that no word before continues, with all words after that do."""
+        begins = (place == 0) | (np.arange(len(self.words))[which] == 0)
+        before = np.where(begins, U64(1), h[place - 1] ^ self.words[which - 1])
+        begins |= (before != 0) | (self.item[which] != self.item[which - 1])
+        which, place = which[begins], place[begins]
+        length = self.need[which].copy()
+        padded = np.append(h, np.zeros(self.depth + 1, U64))
+        live = np.arange(len(which))
+        while len(live):
+            live = live[self.left[which[live]] > length[live]]
+            live = live[padded[place[live] + length[live]] == self.words[which[live] + length[live]]]
+            length[live] += 1
+        return which, place, length
 
 
 def _bound(h: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, d: int, above: bool) -> np.ndarray:
@@ -118,42 +137,36 @@ def _bound(h: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, want:
     return lo
 
 
-def _search_shard(col: pa.Array, query: Suffixes) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], np.ndarray]:
-    """(words, merged hit spans, items, longest match) of each row."""
+def _search_shard(col: pa.Array, query: Suffixes) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], list[list[dict]]]:
+    """(words, merged hit spans, items, longest matches) of each row."""
     low, starts, ends, first = words(*flat(col), ALNUM)
     rows, n = len(first) - 1, np.diff(first)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
     items: list[set[str]] = [set() for _ in range(rows)]
-    longest = np.zeros(rows, np.int64)
+    matches: list[list[dict]] = [[] for _ in range(rows)]
     if not len(starts) or not len(query.words):
-        return n, spans, items, longest
+        return n, spans, items, matches
     # a separator after each document keeps matches inside it
     of = np.repeat(np.arange(rows), n)
     h = np.full(len(starts) + rows, _END, U64)
     h[np.arange(len(starts)) + of] = span_hash(low, starts, ends) | U64(1)
     row = np.repeat(np.arange(rows), n + 1)
     begin = first[:-1] + np.arange(rows)
-    sa = suffix_array(h, query.depth)
-    length, lo, hi, place = query.search(h, sa)
-    some = length > 0
-    np.maximum.at(longest, row[place[some]], length[some])
-    cover = np.zeros(len(h) + 1, np.int64)
-    count = hi - lo
-    hits = np.flatnonzero(count)
-    if len(hits):
-        which = np.repeat(hits, count[hits])
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(count[hits]) - count[hits], count[hits])
-        pos = sa[lo[which] + inner]
-        np.add.at(cover, pos, 1)
-        np.add.at(cover, pos + query.need[which], -1)
-        for r, i in set(zip(row[pos].tolist(), query.item[which].tolist(), strict=True)):
+    which, place = query.search(h, suffix_array(h, query.depth))
+    if len(which):
+        cover = np.zeros(len(h) + 1, np.int64)
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + query.need[which], -1)
+        for r, i in set(zip(row[place].tolist(), query.item[which].tolist(), strict=True)):
             items[r].add(query.names[i])
         inside = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
         edge = np.diff(np.concatenate([[0], inside, [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             r = row[a]
             spans[r].append((a - int(begin[r]), b - int(begin[r])))
-    return n, spans, items, longest
+        for q, p, k in zip(*(x.tolist() for x in query.extended(h, which, place)), strict=True):
+            matches[row[p]].append({"item": query.names[query.item[q]], "start": p - int(begin[row[p]]), "words": k})
+    return n, spans, items, matches
 
 
 def _merged(a: list, b: list) -> list[tuple[int, int]]:
@@ -166,9 +179,10 @@ def _merged(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = pa.struct([("n_words", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64())))])
+_FOUND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("matches", pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("words", pa.int64())])))])
 
-_FOUND_SQL = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("longest", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+_MATCH = T.StructType([T.StructField("item", T.StringType()), T.StructField("start", T.LongType()), T.StructField("words", T.LongType())])
+_FOUND_SQL = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("matches", T.ArrayType(_MATCH))])
 
 
 def _blocks(benchmark: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -178,8 +192,8 @@ def _blocks(benchmark: DataFrame, most: int) -> list[tuple[int, int]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """doc_id and found: n_words, longest (words of the longest verbatim match with any item), items (sorted ids of items with
-    occurring windows), spans (hit words, merged [start, end)). carry: keep the columns of docs instead of doc_id."""
+    """doc_id and _found: n_words, items (sorted ids of items with occurring windows), spans (hit words, merged [start, end)),
+    matches (item, start, words of each verbatim match of a window or more, as long as it goes). carry: keep the columns of docs instead of doc_id."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     src = docs.withColumn("_text", F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
@@ -196,11 +210,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
         def run(batches: Iterator[pa.RecordBatch], query=query, again=again, more=more) -> Iterator[pa.RecordBatch]:
             for b in shards(batches, "_text"):
-                n_words, spans, items, longest = _search_shard(b.column("_text"), query.value)
-                found = [{"n_words": int(n_words[r]), "longest": int(longest[r]), "items": sorted(items[r]), "spans": spans[r]} for r in range(b.num_rows)]
+                n_words, spans, items, matches = _search_shard(b.column("_text"), query.value)
+                found = [{"n_words": int(n_words[r]), "items": sorted(items[r]), "spans": spans[r], "matches": matches[r]} for r in range(b.num_rows)]
                 if again:
                     for x, y in zip(found, b.column("_found").to_pylist(), strict=True):
-                        x |= {"longest": max(x["longest"], y["longest"]), "items": sorted({*x["items"], *y["items"]}), "spans": _merged(y["spans"], x["spans"])}
+                        x |= {"items": sorted({*x["items"], *y["items"]}), "spans": _merged(y["spans"], x["spans"]), "matches": y["matches"] + x["matches"]}
                 names = [*kept, *(["_text"] if more else [])]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, _FOUND)], names=[*names, "_found"])
 
@@ -211,11 +225,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, longest, spans, contaminated."""
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, longest (words of the longest match, 0 if none), spans, matches, contaminated."""
     f = F.col("_found")
     hit = F.aggregate(f["spans"], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     found = contaminated(docs, benchmark, window, block_bytes)
-    return found.select("doc_id", f["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), f["items"].alias("items"), f["longest"].alias("longest"), f["spans"].alias("spans"), (F.size(f["spans"]) > 0).alias("contaminated"))
+    return found.select("doc_id", f["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), f["items"].alias("items"), F.coalesce(F.array_max(f["matches"]["words"]), F.lit(0).cast("long")).alias("longest"), f["spans"].alias("spans"), f["matches"].alias("matches"), (F.size(f["spans"]) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
