@@ -123,7 +123,7 @@ def report(docs: DataFrame, **levels) -> DataFrame:
     base, added = found(docs, **levels)
     both = base.join(added, "h", "left").withColumn("all", F.array_sort(F.concat(F.expr("transform(base, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))"), F.expr("coalesce(transform(added, x -> named_struct('s', x.s, 'e', x.e, 'k', 4)), cast(array() as array<struct<s:int,e:int,k:int>>))"))))
     both = both.withColumn("all", F.expr("transform(array_sort(transform(`all`, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))), x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))"))
-    counts = [F.size(F.filter("all", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(`all`, x -> x.k = {i})) as long)").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     ordered = F.expr("transform(array_sort(transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))), x -> x)")
     return both.select("doc_id", *counts, _listed(ordered).alias("base"), _listed(F.col("all")).alias("spans"))
 
