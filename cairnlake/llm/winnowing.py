@@ -24,18 +24,14 @@ _BASE = 0x9E3779B97F4A7C15
 
 def _grams(codes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of codes[i:i + k]: polynomial hashes of 2^j codes are joined in pairs."""
-    out, done, at = None, 0, codes.astype(U64) + U64(1)
-    size = 1
+    n, out, done, size, at = len(codes), None, 0, 1, codes.astype(U64) + U64(1)
     while size <= k:
         if k & size:
-            out = at if out is None else out[: len(at)] * U64(pow(_BASE, size, 1 << 64)) + at[done : done + len(out)] if len(at) > done else at[:0]
-            if out is not None and done:
-                out = out[: max(0, len(codes) - done - size + 1)]
+            m = max(0, n - done - size + 1)
+            out = at[:m] if out is None else out[:m] * U64(pow(_BASE, size, 1 << 64)) + at[done : done + m]
             done += size
+        at = at[:-size] * U64(pow(_BASE, size, 1 << 64)) + at[size:] if len(at) > size else at[:0]
         size *= 2
-        if size <= k:
-            half = size // 2
-            at = at[:-half] * U64(pow(_BASE, half, 1 << 64)) + at[half:] if len(at) > half else at[:0]
     return out
 
 
@@ -117,7 +113,7 @@ def in_rows(docs: DataFrame, parts: int) -> DataFrame:
     bounds = sorted(set(src.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     lower = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<long>")
     # range 0 holds the largest ids; null ids come after all
-    range_ = F.coalesce(F.size(F.filter(lower, lambda x: x > F.col("doc_id"))), F.lit(len(bounds) + 1))
+    range_ = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(lower, lambda x: x > F.col("doc_id"))))
     heads = sorted(tuple(r) for r in src.select("doc_id", range_.alias("r")).groupBy("r").agg(F.max("doc_id")).collect())
     number = {r: i for i, (r, _) in enumerate(heads)}
     of = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), range_) if number else F.lit(0)
