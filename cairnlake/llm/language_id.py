@@ -37,13 +37,14 @@ def code_matrix(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     if n == 1:
         return np.ones((1, bits))
-    best, score = None, (-1, -1)
+    best, least = None, -1
     for _ in range(2000):
         code = rng.choice([-1.0, 1.0], (n, bits))
-        apart = [int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)]
-        split = int((np.abs(code.sum(0)) < n).sum())
-        if (split, min(apart)) > score:
-            best, score = code, (split, min(apart))
+        same = np.flatnonzero(np.abs(code.sum(0)) == n)  # such a bit would tell nothing
+        code[rng.integers(0, n, len(same)), same] *= -1
+        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        if apart > least:
+            best, least = code, apart
     return best
 
 
@@ -143,20 +144,24 @@ def train(texts: list[bytes], labels: list[str], bits: int = BITS, rounds: int =
     return Model(languages, code, w, b, trust / trust.sum() * 5)
 
 
-def sample(labelled: DataFrame, most: int = MOST) -> list[tuple[bytes, str]]:
-    """At most `most` rows of each label (columns doc_id, text, label), those with the least hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST) -> list[tuple[bytes, str]]:
+    """(text, label) of at most `most` documents of each label, those with the least hash of the id.
 
-    Every task keeps its own few first, so that a label which most rows have stays small."""
-    at = labelled.where("text is not null and label is not null").select("text", F.col("label").cast("string").alias("label"), F.xxhash64(F.lit(5), "doc_id").alias("h")).withColumn("task", F.spark_partition_id())
-    own = at.select("label", "h", "task").withColumn("k", F.row_number().over(Window.partitionBy("label", "task").orderBy("h"))).where(F.col("k") <= most)
-    edge = own.groupBy("label").agg(F.expr(f"element_at(slice(array_sort(collect_list(h)), 1, {most}), -1)").alias("edge"))
-    rows = at.join(F.broadcast(edge), "label").where("h <= edge").select("text", "label", "h").collect()
-    return [(r.text.encode(), r.label) for r in sorted(rows, key=lambda r: (r.h, r.label))]
+    labels: doc_id, label. Ids are chosen first, those with small hashes only, about four times as many as needed; texts are read
+    for the chosen ones alone."""
+    there = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = there.join(labels.where("label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label")), "doc_id").withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
+    sizes = marked.groupBy("label").agg(F.count("*").alias("n"))  # a row per label
+    near = marked.join(F.broadcast(sizes), "label").where(F.col("h") / 2.0**64 + 0.5 <= F.lit(4.0 * most) / F.col("n"))
+    chosen = near.select("label", "doc_id", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "h").collect()
+    return [(r.text.encode(), r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))]
 
 
-def fit(labelled: DataFrame, most: int = MOST) -> Model:
-    """labelled: doc_id, text, label."""
-    rows = sample(labelled, most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
+    """docs: doc_id, text. labels: doc_id, label."""
+    rows = sample(docs, labels, most)
     return train([t for t, _ in rows], [label for _, label in rows])
 
 

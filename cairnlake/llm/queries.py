@@ -109,16 +109,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.fold(3)
-    model = language_id.fit(docs.where(held != 1).select("doc_id", "text", F.col("lang").alias("label")))
+    model = language_id.fit(docs, docs.where(held != 1).select("doc_id", F.col("lang").alias("label")))
     return language_id.identified(docs, model).select("doc_id", F.coalesce(held == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the rows outside the held-out fold; documents that are missing from labels, or labelled twice over, add nothing."""
-    learn = docs.where(language_id.fold(4) != 2)
-    marks = labels.where(language_id.fold(4) != 2).select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("label")).groupBy("_doc").agg(F.max("label").alias("label"), F.min("label").alias("low")).where("label = low").select("_doc", "label")
-    languages = language_id.fit(learn.select("doc_id", "text", F.col("lang").alias("label")))
-    return toxicity.fit(learn.join(marks, learn["doc_id"] == marks["_doc"]).select("doc_id", "text", "label"), languages)
+    learn = language_id.fold(4) != 2
+    marks = labels.where(learn).select("doc_id", F.col("toxic").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("low")).where("label = low").select("doc_id", "label")
+    languages = language_id.fit(docs, docs.where(learn).select("doc_id", F.col("lang").alias("label")))
+    return toxicity.fit(docs, marks, languages)
 
 
 @query("op7_toxicity_cnn")
