@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,9 @@ def report(docs: DataFrame, run: int = RUN) -> DataFrame:
         for b in shards(batches, "_text"):
             texts, counts, gone, digests = _cut(b, run)
             removed = [sum(y - x for x, y in g) for g in gone]
+            left = pc.if_else(b.column("_text").is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(digests, pa.string())],
+                [b.column("doc_id"), left, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64()))), pa.array(digests, pa.string())],
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed", "kept_sha256"],
             )
 
@@ -140,7 +142,7 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shards(batches, "_text"):
             texts = pa.array(_cut(b, run)[0], pa.string())
-            texts = pa.compute.if_else(b.column("_text").is_null(), pa.scalar(None, pa.string()), texts)
+            texts = pc.if_else(b.column("_text").is_null(), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in columns], names=columns)
 
     return src.mapInArrow(make, docs.schema)

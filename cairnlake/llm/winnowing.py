@@ -8,6 +8,7 @@ text has none. Likeness is the Jaccard similarity of two fingerprints' sets of h
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,20 @@ def winnow(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     return id_text(docs).mapInArrow(make, "doc_id long, hashes array<long>, places array<long>")
 
 
+def _bounds_above(bounds, n: int):
+    """How many of n ascending bounds are greater than doc_id, by binary search."""
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))  # bounds before lo are at most doc_id, those from hi on are greater
+
+    def step(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        more = F.element_at(bounds, F.least(mid, F.lit(n - 1)) + 1) > F.col("doc_id")
+        stop = s["lo"] >= s["hi"]
+        return F.struct(F.when(stop | more, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~stop & more, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.lit(n) - F.aggregate(steps, start, step)["lo"]
+
+
 def in_rows(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, own) dealt into `parts` ranges of descending doc_id, each sorted; a range ends with a copy (own = false) of
     the document that follows its last, so that each task sees every document beside its successor. After the last comes the first.
@@ -111,13 +126,14 @@ def in_rows(docs: DataFrame, parts: int) -> DataFrame:
     """
     src = id_text(docs)
     bounds = sorted(set(src.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    lower = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<long>")
+    constant = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<long>")
     # range 0 holds the largest ids; null ids come after all
-    range_ = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(lower, lambda x: x > F.col("doc_id"))))
-    heads = sorted(tuple(r) for r in src.select("doc_id", range_.alias("r")).groupBy("r").agg(F.max("doc_id")).collect())
+    range_ = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.lit(0) if not bounds else _bounds_above(constant([int(x) for x in bounds]), len(bounds)))
+    heads = sorted(tuple(r) for r in src.select("doc_id", range_.cast("int").alias("r")).groupBy("r").agg(F.max("doc_id")).collect())
+    # ranges without documents are left out
     number = {r: i for i, (r, _) in enumerate(heads)}
-    of = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), range_) if number else F.lit(0)
-    head = F.element_at(F.create_map(*[F.lit(x) for i, (_, h) in enumerate(heads) if h is not None for x in (i, int(h))]), F.col("r")) if any(h is not None for _, h in heads) else F.lit(None).cast("long")
+    of = F.element_at(constant([number.get(r, 0) for r in range(len(bounds) + 2)]), range_.cast("int") + 1).cast("int")
+    head = F.element_at(constant([h for _, h in heads] or [None]), F.col("r") + 1)
     placed = src.withColumn("r", of).withColumn("first", F.col("doc_id").eqNullSafe(head))
     n = max(1, len(heads))
     copies = F.when(F.col("first"), F.array(F.struct(F.col("r").alias("p"), F.lit(True).alias("own")), F.struct(F.pmod(F.col("r") - 1, F.lit(n)).alias("p"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("r").alias("p"), F.lit(True).alias("own"))))
