@@ -104,6 +104,7 @@ def test_other_tokenizer_whole(spark):
 
 def test_empty_table_and_row_order(spark):
     assert tokens.round_trip(spark.createDataFrame([], SCHEMA), PATH, 1).count() == 0
+    assert tokens._Encoder(PATH, False)._ids([])[0].size == 0
     docs = written(spark.createDataFrame([(3, "c"), (1, "a b"), (2, "d"), (None, "e")], SCHEMA + "").withColumn("start", F.lit("clash")).coalesce(1))
     rows = tokens.round_trip(docs, PATH, 1, order="rows").orderBy("start").collect()
     assert [r.doc_id for r in rows] == [3, 1, 2, None] and [r.start for r in rows] == [0, 2, 5, 7]
