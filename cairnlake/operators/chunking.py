@@ -70,12 +70,17 @@ def with_chunks(blobs: DataFrame, size: int | None = None, params: ChunkParams |
     return blobs.withColumn("blob_id", content_id(content, algorithm)).withColumn("chunks", F.when(content.isNotNull(), array)).drop("content")
 
 
+def _spans(chunks: Column) -> Column:
+    """A chunk array with start_offset and length in each element, so that unfolding it needs nothing but the element."""
+    start = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(chunks, F.greatest(i, F.lit(1)))["end_offset"])
+    return F.transform(chunks, lambda c, i: F.struct(start(i).alias("start_offset"), c["end_offset"].alias("end_offset"), (c["end_offset"] - start(i)).alias("length"), c["chunk_id"].alias("chunk_id")))
+
+
 def chunk_refs(entries: DataFrame, *keys: str) -> DataFrame:
     """One row per chunk reference in listing order, repeats included: keys (path), ord, start_offset, end_offset, length, chunk_id."""
     keys = keys or ("path",)
-    at = entries.where("chunks is not null").select(*keys, "chunks", F.posexplode("chunks").alias("ord", "c"))
-    start = F.when(F.col("ord") == 0, F.lit(0).cast("long")).otherwise(F.col("chunks")[F.col("ord") - 1]["end_offset"])
-    return at.select(*keys, "ord", start.alias("start_offset"), F.col("c.end_offset").alias("end_offset"), (F.col("c.end_offset") - start).alias("length"), F.col("c.chunk_id").alias("chunk_id"))
+    at = entries.where("chunks is not null").select(*keys, F.posexplode(_spans(F.col("chunks"))).alias("ord", "c"))
+    return at.select(*keys, "ord", "c.start_offset", "c.end_offset", "c.length", "c.chunk_id")
 
 
 def lengths(refs: DataFrame, *keys: str) -> DataFrame:
@@ -101,9 +106,8 @@ def blob_payloads(blobs: DataFrame, size: int | None = None, params: ChunkParams
     """(chunk_id, payload) of every chunk of blobs, cut where they lie: no join, no shuffle."""
     files = blobs.where(F.octet_length("content") > 0) if "kind" not in blobs.columns else blobs.where((F.col("kind") == "file") & (F.octet_length("content") > 0))
     array = fixed_chunk_array(F.col("content"), size, algorithm) if size else cdc_chunk_array(F.col("content"), params, algorithm)
-    at = files.select("content", array.alias("chunks")).select("content", "chunks", F.posexplode("chunks").alias("ord", "c"))
-    start = F.when(F.col("ord") == 0, F.lit(0).cast("long")).otherwise(F.col("chunks")[F.col("ord") - 1]["end_offset"])
-    return at.select(F.col("c.chunk_id").alias("chunk_id"), F.substring(F.col("content"), (start + 1).cast("int"), (F.col("c.end_offset") - start).cast("int")).alias("payload"))
+    cut = F.transform(_spans(F.col("chunks")), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.substring(F.col("content"), (c["start_offset"] + 1).cast("int"), c["length"].cast("int")).alias("payload")))
+    return files.select("content", array.alias("chunks")).select(F.explode(cut).alias("c")).select("c.*")
 
 
 def dedup_counters(refs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
