@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 #: Rows and text bytes handled at once by a Python worker; one longer text is handled alone.
 SHARD_BYTES = 2 << 20
@@ -38,10 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all tables that written() has made in this session; call it when no result that reads them is needed any more."""
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,8 +72,23 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def shards(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SHARD_BYTES, rows: int = SHARD_ROWS) -> Iterator[pa.RecordBatch]:
+#: What workers keep from task to task, by operator, and how to drop it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    _HELD[name] = drop
+
+
+def release(but: str = "") -> None:
+    """Drops what other operators have left in this worker, which outlives its tasks."""
+    for name in [n for n in _HELD if n != but]:
+        _HELD.pop(name)()
+
+
+def shards(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SHARD_BYTES, rows: int = SHARD_ROWS, keep: str = "") -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most so many text bytes and rows (or one row)."""
+    release(keep)
     for b in batches:
         _, off = flat(b.column(column))
         at = 0

@@ -87,8 +87,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
         three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
         h = np.concatenate([one, two, three]) >> np.uint32(32 - 13)
-        x[i] = np.sqrt(np.bincount(h, minlength=FEATURES))
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+        n = np.bincount(h, minlength=FEATURES)
+        x[i] = np.sqrt(n / n.sum())
     return x, letters
 
 

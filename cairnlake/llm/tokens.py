@@ -28,19 +28,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, shards, shared_dir, written
+from .common import flat, hold, id_text, release, shards, shared_dir, span_hash, written
+from .common import words as split_words
 from .rans import Codec, image, parsed, quantised
 
 BLOCK = 1 << 16
-#: New words after which a worker forgets those it hasn't met since as many ago.
-KEPT_WORDS = 500_000
+#: Words whose ids a worker keeps, in about 50 bytes each; beyond it begins anew.
+KEPT_WORDS = 2_000_000
 #: Blocks coded together.
 TOGETHER = 32
 _BLOCKS = "shard long, block long, place long, tokens long, image binary"
 
 
+#: Words stand between ASCII white space; bytes are as they are (NUL stands as 255, which UTF-8 never has).
+_RAW = np.arange(256, dtype=np.uint8)
+_RAW[[9, 10, 11, 12, 13, 32]] = 0
+_RAW[0] = 255
+
+
 class _Encoder:
-    """One worker's tokenizer and the ids of words it has met: of the last KEPT_WORDS new ones, and of as many before them."""
+    """One worker's tokenizer and the ids of words it has met, as sorted arrays: 64-bit hashes, a check (length and byte sum), and places in a pool of ids."""
 
     made: dict[tuple[str, bool], _Encoder] = {}
 
@@ -49,43 +56,39 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.checks, self.sizes, self.starts = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, self.kind)
 
     @classmethod
     def of(cls, path: str, whole: bool) -> _Encoder:
         if (path, whole) not in cls.made:
             cls.made[path, whole] = cls(path, whole)
+            hold("tokens", cls.made.clear)
         return cls.made[path, whole]
 
-    def _learn(self, words: list[str]) -> None:
-        """The ids of words, encoded many at once with spaces between and told apart by their offsets."""
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, sizes): many are encoded at once with spaces between and told apart by their offsets."""
         groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = e.ids
             at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
             ends = np.cumsum([len(w) + 1 for w in group])
-            cuts = (np.concatenate([[0], np.searchsorted(at, ends)]) * self.kind.itemsize).tolist()
-            data = np.array(ids, self.kind).tobytes()
-            self.new.update(zip(group, (data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        if len(self.new) > KEPT_WORDS:
-            self.old, self.new = self.new, {}
-        got = list(map(self.new.get, words))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if self.old and missing:
-            old = self.old
-            for i in missing:
-                got[i] = old.get(words[i])
-            self.new.update((words[i], got[i]) for i in missing if got[i] is not None)
-            missing = [i for i in missing if got[i] is None]
-        if missing:
-            self._learn([words[i] for i in missing])
-            for i in missing:
-                got[i] = self.new[words[i]]
-        return got
+            ids.append(np.array(e.ids, self.kind))
+            sizes.append(np.diff(np.searchsorted(at, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        ids, sizes = self._ids(words)
+        order = np.argsort(np.concatenate([self.keys, keys]))
+        join = lambda a, b: np.concatenate([a, b])[order]
+        self.starts = join(self.starts, np.cumsum(sizes) - sizes + len(self.pool))
+        self.keys, self.checks, self.sizes = join(self.keys, keys), join(self.checks, checks), join(self.sizes, sizes)
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, bounds): the ids of row r are symbols[bounds[r]:bounds[r + 1]]."""
@@ -93,14 +96,32 @@ class _Encoder:
         if self.whole:
             each = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(col.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, self.kind), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
-        split = pc.ascii_split_whitespace(col)
-        words = split.flatten().dictionary_encode()
-        ids = pa.array(self._known(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
-        _, off, data = ids.buffers()
-        off = np.frombuffer(off, np.int64)[ids.offset : ids.offset + len(ids) + 1]
-        first = np.asarray(split.offsets) - np.asarray(split.offsets)[0]
-        symbols = np.frombuffer(data, self.kind)[off[0] // self.kind.itemsize : off[-1] // self.kind.itemsize] if data and len(ids) else np.zeros(0, self.kind)
-        return symbols, (off[first] - off[0]) // self.kind.itemsize
+        buf, off = flat(col)
+        low, starts, ends, first = split_words(buf, off, _RAW)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
+        keys, index, inverse = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
+        sums = np.concatenate([[0], np.cumsum(low, dtype=np.int64)])
+        a, b = starts[index], ends[index]
+        checks = (sums[b] - sums[a] << 20) + b - a
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.keys) + len(new) > KEPT_WORDS:
+                self._forget()
+                new = np.arange(len(keys))
+            data = buf.tobytes()
+            self._learn(keys[new], checks[new], [data[x:y].decode("utf-8", "replace") for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        if (self.checks[at] != checks).any():
+            raise ValueError("two words share a 64-bit hash")
+        slot = at[inverse]
+        sizes = self.sizes[slot]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        symbols = self.pool[np.repeat(self.starts[slot] - cuts[:-1], sizes) + np.arange(cuts[-1])]
+        return symbols, cuts[first]
 
 
 _TOKENS = "shard long, block long, place long, tokens long, counts array<long>, ids array<long>, symbols binary"
@@ -135,7 +156,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, whole: bool = False, bloc
             place, number = place + size, number + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for b in shards(batches, most=8 << 20, rows=1 << 16):
+        for b in shards(batches, keep="tokens"):
             symbols, bounds = encoder.encode(b.column("text"))
             symbols = np.insert(symbols, bounds[1:], end_id)
             left = np.concatenate([left, symbols])
@@ -160,6 +181,7 @@ def symbol_counts(tokens: DataFrame) -> DataFrame:
     """(symbol, n) over the whole corpus; at most one row per symbol and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(0, np.int64)
         for b in batches:
             for n, data in zip(b.column("tokens").to_pylist(), b.column("symbols"), strict=True):
@@ -184,6 +206,7 @@ def encode_corpus(docs: DataFrame, folder: str, path: str, end_id: int, whole: b
     codec = spark.sparkContext.broadcast((freq, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         coder = Codec(*codec.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
@@ -213,6 +236,7 @@ def decode_corpus(spark: SparkSession, folder: str, ids: bool = True) -> DataFra
     table = spark.sparkContext.broadcast((freq, int(freq.sum()).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         coder = Codec(*table.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
