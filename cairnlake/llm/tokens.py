@@ -83,11 +83,11 @@ class _Encoder:
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        """keys ascend, and are new."""
         ids, sizes = self._ids(words)
-        order = np.argsort(np.concatenate([self.keys, keys]))
-        join = lambda a, b: np.concatenate([a, b])[order]
-        self.starts = join(self.starts, np.cumsum(sizes) - sizes + len(self.pool))
-        self.keys, self.checks, self.sizes = join(self.keys, keys), join(self.checks, checks), join(self.sizes, sizes)
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, np.cumsum(sizes) - sizes + len(self.pool))
+        self.keys, self.checks, self.sizes = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks), np.insert(self.sizes, at, sizes)
         self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,12 @@ class _Encoder:
         low, starts, ends, first = split_words(buf, off, _RAW)
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
-        keys, index, inverse = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
+        h = span_hash(low, starts, ends)
+        order = np.argsort(h)
+        h = h[order]
+        head = np.append(True, h[1:] != h[:-1])
+        keys, index, inverse = h[head], order[head], np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(head) - 1
         sums = np.concatenate([[0], np.cumsum(low, dtype=np.int64)])
         a, b = starts[index], ends[index]
         checks = (sums[b] - sums[a] << 20) + b - a
