@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -22,6 +24,9 @@ _WRITTEN: list[str] = []
 #: Rows and text bytes handled at once by a Python worker; one longer text is handled alone.
 SHARD_BYTES = 2 << 20
 SHARD_ROWS = 4096
+#: Bytes of an Arrow batch between Spark and a worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on Arrow batches of its session hold at most about BATCH_BYTES, however long texts are."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
+    bounded(df)
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
@@ -57,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators read; whatever else the table holds is ignored."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +91,13 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _HELD: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as a worker waits between its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hold(name: str, drop: Callable[[], None]) -> None:
     _HELD[name] = drop
 
@@ -97,6 +119,7 @@ def shards(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = min(max(to, at + 1), at + rows, b.num_rows)
             yield b.slice(at, to - at)
             at = to
+    trim()
 
 
 def byte_table(word: bytes) -> np.ndarray:

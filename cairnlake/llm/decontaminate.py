@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, flat, id_text, shards, span_hash, words, written
+from .common import ALNUM, U64, bounded, flat, id_text, shards, span_hash, words, written
 
 WINDOW = 10
 #: Text bytes of the benchmark that are broadcast at once.
@@ -196,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     matches (item, start, words of each verbatim match of a window or more, as long as it goes). carry: keep the columns of docs instead of doc_id."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
-    src = docs.withColumn("_text", F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
+    src = bounded(docs).withColumn("_text", F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
     # passes carry the text along only while further blocks are to come
     blocks = _blocks(bench, block_bytes)
     kept = [c for c in src.columns if c != "_text"]

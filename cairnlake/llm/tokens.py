@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import flat, hold, id_text, release, shards, shared_dir, span_hash, written
+from .common import bounded, flat, hold, id_text, release, shards, shared_dir, span_hash, trim, written
 from .common import words as split_words
 from .rans import Codec, image, parsed, quantised
 
@@ -136,7 +136,7 @@ def _in_order(docs: DataFrame, order: str) -> DataFrame:
     """doc_id and text, range-partitioned and sorted: by doc_id, or as the rows of the Parquet files that docs reads follow each other."""
     if order == "id":
         return id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    where = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    where = bounded(docs).select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     return id_text(where.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row"))
 
 
@@ -174,6 +174,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, whole: bool = False, bloc
                 yield made(int(full[0]) + 1)
         if left_counts:
             yield made(len(left_counts))
+        trim()
 
     return _in_order(docs, order).mapInArrow(run, _TOKENS)
 
