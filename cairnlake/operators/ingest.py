@@ -40,7 +40,7 @@ def archive(blobs: DataFrame, store: Store | None, scope: PathFilter = PathFilte
     refs = chunk_refs(entries.where("kind = 'file'"))
     counters = dedup_counters(refs, stored).first()
     if store is not None and not dry_run:
-        store.put(blob_payloads(fresh, fixed, params, algorithm), verify=False)
+        store.put(blob_payloads(fresh, fixed, params, algorithm), verify=False, counted=False)
     if old is not None:
         entries = entries.unionByName(old.select(*entries.columns))
     kinds = {r.kind: r.n for r in entries.groupBy("kind").agg(F.count("*").alias("n")).collect()}
@@ -78,7 +78,7 @@ def make(blob: DataFrame, store: Store | None, params: ChunkParams | None = None
             return prior, {"ok": True, "bytes": now["size"], "chunks": total, names[0]: 0, names[1]: total, "seed_reused": True}
     counters = dedup_counters(chunk_refs(entry), store.ids() if store else None).first()
     if store is not None and not dry_run:
-        store.put(blob_payloads(blob, fixed, params, algorithm), verify=False)
+        store.put(blob_payloads(blob, fixed, params, algorithm), verify=False, counted=False)
     counts = {"ok": True, "bytes": counters.bytes, "chunks": counters.chunks, names[0]: counters.new, names[1]: counters.reused}
     return entry, counts | ({"seed_reused": False} if same is not None else {}) | ({"dry_run": True} if dry_run else {})
 
@@ -93,7 +93,7 @@ def push(listings: list[DataFrame], local: Store, remote: Store, scope: PathFilt
     report = transfer.outcome_report(outcomes, "uploaded", len(listings), dry_run).first().asDict()
     if not dry_run:
         todo = outcomes.where("outcome = 'uploaded'").select("chunk_id")
-        remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"))
+        remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
     return report
 
 
@@ -107,5 +107,5 @@ def pull(listings: list[DataFrame], local: Store, remote: Store, scope: PathFilt
     report = transfer.outcome_report(outcomes, "fetched", len(listings), dry_run).first().asDict()
     if not dry_run:
         todo = outcomes.where("outcome = 'fetched'").select("chunk_id")
-        local.put(remote.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"))
+        local.put(remote.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
     return report

@@ -99,9 +99,11 @@ class Store:
         """chunk_id and plain payload (null where it can't be decoded)."""
         return self.table().select("chunk_id", "prefix", codecs.decoded(F.col("payload"), self.compression).alias("payload"))
 
-    def put(self, chunks: DataFrame, verify: bool = True) -> dict[str, int]:
+    def put(self, chunks: DataFrame, verify: bool = True, counted: bool = True) -> dict[str, int]:
         """Adds (chunk_id, payload) that the store lacks; {written, skipped}. Payloads that don't hash to their id: IdMismatch, nothing is added.
 
+        Each of verify and counted (without which skipped is left out) reads the chunks once more.
+
         References are made distinct and anti-joined by id before any payload is encoded."""
         if verify:
             wrong = chunks.where(~content_id(F.col("payload"), self.algorithm).eqNullSafe(F.col("chunk_id"))).select("chunk_id").limit(1).collect()
@@ -118,7 +120,7 @@ class Store:
         written = sum(r.n for r in added)
         if written:
             self._publish(self._manifest() | {generation: sorted(r.prefix for r in added)})
-        return {"written": written, "skipped": chunks.count() - written}
+        return {"written": written, "skipped": chunks.count() - written} if counted else {"written": written}
 
     def has(self, chunk_id: str) -> bool:
         parse_id(chunk_id)

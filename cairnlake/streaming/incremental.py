@@ -20,7 +20,7 @@ def watch(spark: SparkSession, folder: str, store: Store, entries_path: str, che
     blobs = found.select(F.col("path"), F.lit("file").alias("kind"), F.lit(0o644).cast("long").alias("mode"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime_secs"), F.lit(None).cast("string").alias("target"), "content")
 
     def batch(df: DataFrame, number: int) -> None:
-        store.put(blob_payloads(df, fixed, params, store.algorithm), verify=False)
+        store.put(blob_payloads(df, fixed, params, store.algorithm), verify=False, counted=False)
         with_chunks(df, fixed, params, store.algorithm).write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
 
     return blobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
