@@ -129,7 +129,47 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", F.coalesce(language_id.fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query("op2_pii_information_theoretic")
+_PII = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+",
+    "ip": "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)",
+    "card": "[0-9]([\\x20-]?[0-9])+",
+    "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+}
+_RUN = "[\\p{L}\\p{N}]+"
+
+
+def _placed(source: str, text: str, pattern: str, columns: str) -> str:
+    """SQL for the matches of a pattern: columns, v, s (code points before it)."""
+    return f"""select {columns}, m[i] v, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint s
+        from (select *, unnest(range(1, len(m) + 1)) i from (select *, regexp_extract_all({text}, '{pattern}') m, string_split_regex({text}, '{pattern}') p from {source} where regexp_matches({text}, '{pattern}')))"""
+
+
+_FOUND_PII = " union all ".join(f"select *, {k} k from ({_placed('d', 't', pattern, 'rid')})" for k, pattern in enumerate(_PII.values()))
+
+
+@query(
+    "op2_pii_information_theoretic",
+    f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+    found as ({_FOUND_PII}),
+    digits as (select *, regexp_replace(v, '[^0-9]', '', 'g') g from found),
+    base as (select rid, k, v, s, s + length(v) e from digits where case k when 0 then true
+        when 1 then list_bool_and(list_transform(string_split(v, '.'), lambda y: length(ltrim(y, '0')) < 3 or (length(ltrim(y, '0')) = 3 and ltrim(y, '0') <= '255')))
+        when 3 then length(g) between 9 and 15
+        else case when length(g) between 12 and 19 then list_sum(list_transform(range(0, length(g)), lambda i: case when i % 2 = 0 then g[length(g) - i]::int when g[length(g) - i]::int > 4 then 2 * g[length(g) - i]::int - 9 else 2 * g[length(g) - i]::int end)) % 10 = 0 else false end end),
+    sides as (select rid, k || ':' || v entity, e, greatest(s - 64, -1) f, substr(' ' || t || ' ', greatest(s - 64, -1) + 2, s - greatest(s - 64, -1)) l, substr(' ' || t || ' ', e + 2, least(e + 64, length(t) + 1) - e) r from base join d using (rid)),
+    lefts as (select rid, entity, f + s s, f + s + length(v) e, lower(v) t from ({_placed('sides', 'l', _RUN, 'rid, entity, f')}) where s > 0 and length(v) >= 4),
+    rights as (select rid, entity, e + s s, e + s + length(v) e, lower(v) t from ({_placed('sides', 'r', _RUN, 'rid, entity, e, r')}) where s + length(v) < length(r) and length(v) >= 4),
+    near as (select * from (select * from lefts union all select * from rights) n where not exists (select 1 from base b where b.rid = n.rid and n.s < b.e and b.s < n.e)),
+    df_e as (select k || ':' || v entity, count(distinct rid) df_e from base group by 1),
+    together as (select entity, t, count(distinct rid) co from near group by entity, t having count(distinct rid) >= 2),
+    df as (select t, count(*) df from (select distinct rid, unnest(list_filter(regexp_extract_all(lower(t), '{_RUN}'), lambda x: length(x) >= 4)) t from d) group by t),
+    n as (select count(*) n from d),
+    told as (select entity, t from together join df_e using (entity) join df using (t), n where df_e < n and ln(n * co / (df * df_e)) / ln(n / df_e) >= 0.85),
+    spans as (select rid, s, k, e from base union all select distinct rid, s, 4, e from near join told using (entity, t)),
+    lists as (select rid, count(*) filter (k = 0) n_email, count(*) filter (k = 1) n_ip, count(*) filter (k = 2) n_card, count(*) filter (k = 3) n_phone,
+        string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) filter (k < 4) b, string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) a from spans group by rid)
+    select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone, sha256(coalesce(b, '')) base_sha256, coalesce(a, '') spans from d left join lists using (rid)""",
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
