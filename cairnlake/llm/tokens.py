@@ -36,7 +36,7 @@ BLOCK = 1 << 16
 #: Words whose ids a worker keeps, in about 50 bytes each; beyond it begins anew.
 KEPT_WORDS = 2_000_000
 #: Blocks coded together.
-TOGETHER = 32
+TOGETHER = 64
 _BLOCKS = "shard long, block long, place long, tokens long, image binary"
 
 
@@ -76,7 +76,8 @@ class _Encoder:
         groups = [words[at : at + 500] for at in range(0, len(words), 500)]
         ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            offsets = e.offsets
+            at = np.fromiter((x for x, _ in offsets), np.int64, len(offsets))
             ends = np.cumsum([len(w) + 1 for w in group])
             ids.append(np.array(e.ids, self.kind))
             sizes.append(np.diff(np.searchsorted(at, ends), prepend=0))
