@@ -9,8 +9,9 @@ form a bucket, whose hub is the member with most bucket companions; hub-member e
 that their hub didn't confirm are compared by size and signatures with the rest of the bucket, in blocks of bounded size, and pairs
 that may reach the threshold (five standard deviations of slack) are confirmed on full sets; (5) components of confirmed edges.
 
-Cases: null ids are linked with nothing (component_id null, kept); rows that repeat an id give one result row each; ties take
-the smallest id; extra columns are ignored.
+Cases: null ids are linked with nothing (component_id null, kept); rows that repeat an id give one result row each, in the
+component of its own text; ties take the smallest id; extra columns are ignored. A class is named by its smallest id; if several
+classes have the same one, each is named by a hash of its set. near_dedup removes by id and text, and leaves one row of a component.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def band_shape(percent: int) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2: of the set, bands, sig) for every row; all from one pass over the text."""
+    """(doc_id, text_h: of the text, n_shingles, h1, h2: of the set, bands, sig) for every row; all from one pass over the text."""
     rows, bands = band_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +114,15 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
             n_keys = np.where(n > 0, bands, 0)
             low = mix(sig.copy()).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_column(keys[n > 0].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(n_keys)]), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+                [b.column("doc_id"), b.column("text_h"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_column(keys[n > 0].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(n_keys)]), pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())],
+                names=["doc_id", "text_h", "n_shingles", "h1", "h2", "bands", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
+    return docs.withColumn("text_h", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_h long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles: all hashes of the set, wide: its wide signature) of the documents in nodes; the text of no other is used."""
+    """(node, shingles: all hashes of the set, wide: its wide signature) of the rows in nodes (doc_id, text_h, node); the text of no other is used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shards(batches):
@@ -132,9 +133,9 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             head[1:] = (bin_[1:] != bin_[:-1]) | (d[1:] != d[:-1])
             wide = np.zeros((b.num_rows, 1 << WIDE_BITS), np.uint8)
             wide[d[head], bin_[head]] = np.maximum(s[head].astype(np.uint8), 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_column(s.view(np.int64), bounds, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary())], names=["node", "shingles", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), list_column(s.view(np.int64), bounds, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary())], names=["node", "shingles", "wide"])
 
-    wanted = docs.join(F.broadcast(nodes) if in_memory(nodes.count()) else nodes, "doc_id", "left_semi")
+    wanted = docs.withColumn("text_h", F.xxhash64("text")).join(F.broadcast(nodes) if in_memory(nodes.count()) else nodes, ["doc_id", "text_h"]).select("node", "text")
     return written(wanted.mapInArrow(run, "node long, shingles array<long>, wide binary")).dropDuplicates(["node"])
 
 
@@ -180,47 +181,78 @@ def _alike(percent: int):
     return run
 
 
-def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): every row's doc_id, n_shingles and class (smallest doc_id with an equal set), and confirmed edges between classes."""
+def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, edges, classes): every row's doc_id, text_h, n_shingles, class (smallest doc_id with an equal set, null without
+    words) and node (the key of its class); confirmed edges between nodes; the class of every node."""
     docs = id_text(docs)
     made = written(sketches(docs, percent))
     of_set = ["h1", "h2", "n_shingles"]
-    classes = written(made.where("doc_id is not null and n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
+    counted = written(made.where("doc_id is not null and n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
+    shared = written(counted.groupBy("class").agg(F.count("*").alias("k")).where("k > 1").select("class", F.lit(True).alias("shared")))
+    shared = F.broadcast(shared) if in_memory(shared.count()) else shared
+    classes = written(counted.join(shared, "class", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64(*of_set)).otherwise(F.col("class"))).drop("shared"))
     # sets that hold over 1/1000 of all rows, so fewer than 1000, are broadcast; the others are joined
     total = made.count()
-    hot = made.select("doc_id", *of_set).join(F.broadcast(classes.where(F.col("copies") * 1000 > total).drop("copies")), of_set, "left")
-    cold = hot.where("class is null").drop("class").join(classes.where(F.col("copies") * 1000 <= total).drop("copies"), of_set, "left")
-    members = hot.where("class is not null").unionByName(cold).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class"))
-    heads = made.where("n_shingles > 0").join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = heads.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    hot = made.select("doc_id", "text_h", *of_set).join(F.broadcast(classes.where(F.col("copies") * 1000 > total).drop("copies")), of_set, "left")
+    cold = hot.where("class is null").drop("class", "node").join(classes.where(F.col("copies") * 1000 <= total).drop("copies"), of_set, "left")
+    # null ids are in no class; rows without words have a key that is theirs, but no class
+    members = hot.where("class is not null").unionByName(cold).select("doc_id", "text_h", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    key = ["doc_id", *of_set]
+    heads = made.join(classes.select(F.col("class").alias("doc_id"), *of_set, "node"), key).dropDuplicates(key)
+    keys = heads.select("node", F.posexplode("bands").alias("band", "key"))
     crowd = keys.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     at = written(keys.join(crowd, ["band", "key"]))
     degree = written(at.groupBy("node").agg(F.sum("size").alias("degree")))
     hubs = at.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     placed = written(at.join(hubs, ["band", "key"]))
-    sets = full_sets(docs.where("doc_id is not null"), degree.select(F.col("node").alias("doc_id")))
+    sets = full_sets(docs.where("doc_id is not null"), written(heads.select("doc_id", "text_h", "node").join(degree.select("node"), "node", "left_semi")))
     first = written(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     star = written(confirmed(first, sets, percent))
     # what the hub didn't confirm meets the rest of its bucket, block by block
     near = placed.join(star.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("ok")), ["hub", "node"], "left")
     near = near.withColumn("near", F.coalesce("ok", F.col("node") == F.col("hub"))).drop("ok")
     mixed = near.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0 and n > 2").select("band", "key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("chunks"))
-    sig = heads.select(F.col("doc_id").alias("node"), "sig", F.col("n_shingles").alias("n")).join(sets.select("node", "wide"), "node")
+    sig = heads.select("node", "sig", F.col("n_shingles").alias("n")).join(sets.select("node", "wide"), "node")
     rest = near.select("band", "key", "node", "near").join(mixed, ["band", "key"]).join(sig, "node").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
     blocks = rest.select("band", "key", "node", "near", "n", "sig", "wide", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
     more = written(blocks.groupBy("band", "key", "i", "j").applyInArrow(_alike(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return members, star.unionByName(confirmed(more, sets, percent))
+    return members, star.unionByName(confirmed(more, sets, percent)), classes.select("node", "class")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """members of links() with component (its key), component_id (its smallest doc_id) and kept."""
+    members, edges, classes = links(docs, percent)
+    found = components(edges)
+    least = found.join(classes, "node").groupBy("component").agg(F.min("class").alias("least"))
+    placed = members.join(found.join(least, "component"), "node", "left")
+    own = F.col("class").isNotNull()
+    placed = placed.withColumn("component_id", F.coalesce(F.when(own, F.col("least")), "class", "doc_id")).withColumn("component", F.when(own, F.coalesce("component", "node")))
+    return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept (the one document of its component that stays)."""
-    members, edges = links(docs, percent)
-    found = components(edges).withColumnRenamed("node", "class")
-    return members.join(found, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (has the smallest id of its component, that of the one document that stays)."""
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the documents that a smaller id of their component stands for; all columns stay."""
-    gone = written(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if in_memory(gone.count()) else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each component, of its smallest id (of several, the least hash of text); all columns stay.
+
+    Rows without an id or words are in no component and stay."""
+    held = lambda df: F.broadcast(df) if in_memory(df.count()) else df
+    rows = written(_grouped(docs, percent).select("doc_id", "text_h", "component", "kept"))
+    first = rows.where("kept and component is not null")
+    repeats = written(first.groupBy("component").agg(F.count("*").alias("n"), F.min("text_h").alias("least")).where("n > 1").drop("n"))
+    again = first.join(held(repeats), "component")
+    gone = rows.where(~F.col("kept")).select("doc_id", "text_h").unionByName(again.where("text_h <> least").select("doc_id", "text_h"))
+    gone = written(gone.distinct().toDF("_gone", "_gone_h"))
+    equal = written(again.where("text_h = least").groupBy("doc_id", "text_h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone"), F.col("text_h").alias("_gone_h")))
+    same = (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_h"))
+    left = docs.join(held(gone), same, "left_anti")
+    if equal.isEmpty():
+        return left
+    # rows of equal id and text become one, the first by all its columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(held(equal), same, "left_semi").select(F.col("doc_id").alias("_gone"), F.xxhash64(F.col("text").cast("string")).alias("_gone_h"), whole.alias("_row"))
+    one = one.groupBy("_gone", "_gone_h").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    return left.join(held(equal), same, "left_anti").unionByName(one)

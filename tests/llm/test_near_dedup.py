@@ -101,6 +101,19 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_texts_that_share_an_id_are_judged_alone(spark):
+    """Id 5 has a copy of 3's text, a text of its own that 8 copies, and one that nearly equals 9's; 7 repeats itself, 6 is without words."""
+    long = [f"w{i}" for i in range(60)]
+    docs = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "own words of five"), (5, "OWN words of five"), (8, "own words of five"), (5, " ".join(long)), (9, " ".join([*long, "end"])), (7, "x y z"), (7, "x y z"), (5, ""), (6, ""), (None, "x y z"), (None, "x y z")]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in docs], SCHEMA + ", extra int").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(frame, 80).collect())
+    assert got == sorted([(3, 2, 3, True), (5, 2, 3, False), (5, 1, 5, True), (5, 1, 5, True), (8, 1, 5, False), (5, 56, 5, True), (9, 57, 5, False), (7, 1, 7, True), (7, 1, 7, True), (5, 0, 5, True), (6, 0, 6, True), (0, 1, 0, True), (0, 1, 0, True)])
+    kept = near_dedup.near_dedup(frame, 80)
+    assert kept.columns == frame.columns
+    left = sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect())
+    assert left == sorted([(3, "a b c d e f"), (5, "own words of five"), (5, " ".join(long)), (7, "x y z"), (5, ""), (6, ""), (0, "x y z"), (0, "x y z")])
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab \n", max_size=30), min_size=1, max_size=25))
 def test_random_small_texts(spark, texts):
