@@ -8,8 +8,8 @@ A document word inside any occurrence of a window is hit; a document with a hit
 Documents never leave their shard, so nothing is shuffled. The benchmark is broadcast in blocks of a checked size: items beyond
 one block are searched in further passes, whose input is the table that the last pass has written.
 
-Cases: a null or wordless text has no words and no hits; items with null id or without words are no windows; items that share an
-id count once; every row of documents gives one row, whatever it repeats; an empty benchmark hits nothing; extra columns are
+Cases: a null or wordless text has no words and no hits; items without words are no windows; items with null id hit, but stand in
+no list of items; items that share an id count once; every row of documents gives one row, whatever it repeats; an empty benchmark hits nothing; extra columns are
 ignored (contaminated) or kept (clean). Words are compared by 64-bit hashes.
 """
 
@@ -71,7 +71,7 @@ def suffix_array(h: np.ndarray, depth: int) -> np.ndarray:
 class Suffixes:
     """Every suffix of the items of one block, to be looked up together."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int = WINDOW):
         self.names = [name for name, _ in items]
         sizes = np.array([len(w) for _, w in items], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes)])
@@ -158,7 +158,8 @@ def _search_shard(col: pa.Array, query: Suffixes) -> tuple[np.ndarray, list[list
         np.add.at(cover, place, 1)
         np.add.at(cover, place + query.need[which], -1)
         for r, i in set(zip(row[place].tolist(), query.item[which].tolist(), strict=True)):
-            items[r].add(query.names[i])
+            if query.names[i] is not None:
+                items[r].add(query.names[i])
         inside = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
         edge = np.diff(np.concatenate([[0], inside, [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -193,9 +194,9 @@ def _blocks(benchmark: DataFrame, most: int) -> list[tuple[int, int]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """doc_id and _found: n_words, items (sorted ids of items with occurring windows), spans (hit words, merged [start, end)),
-    matches (item, start, words of each verbatim match of a window or more, as long as it goes). carry: keep the columns of docs instead of doc_id."""
+    matches (item, null where it has no id, start, words of each verbatim match of a window or more, as long as it goes). carry: keep the columns of docs instead of doc_id."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).distinct()
     src = bounded(docs).withColumn("_text", F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
     # passes carry the text along only while further blocks are to come
     blocks = _blocks(bench, block_bytes)

@@ -81,6 +81,15 @@ def test_decontamination_edge_cases(spark):
     assert [r.doc_id for r in decontaminate.clean(clash, bench, block_bytes=4).collect()] == [2]
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "before the passage after"), (2, "named item here"), (3, "neither")], SCHEMA)
+    bench = spark.createDataFrame([(None, "the passage"), ("a", "named item"), (None, None)], "item_id string, text string")
+    for block in (1 << 20, 4):
+        got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"]), r.longest, r.contaminated) for r in decontaminate.report(docs, bench, block_bytes=block).collect()}
+        assert got == {1: (2, 0, [], 2, True), 2: (2, 1, ["a"], 2, True), 3: (0, 0, [], 0, False)}
+        assert [r.doc_id for r in decontaminate.clean(docs, bench, block_bytes=block).collect()] == [3]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.integers(1, 12))
 def test_suffix_array_sorts_suffixes(values, depth):
