@@ -30,11 +30,12 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (only in local mode) a temporary one, else the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir; only in local mode, where it may be unset, a temporary one."""
     if path := spark.conf.get("spark.checkpoint.dir", ""):
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cairnlake"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="cairnlake-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -50,20 +51,39 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
-    bounded(df)
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, kind: str = "t") -> str:
+    """A path in the shared folder that nothing has used; drop_written() deletes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
+    return path
+
+
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder: lineage ends there and lost executors cost nothing. See discard()."""
+    path = new_folder(bounded(df).sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables that written() has returned, or folders of new_folder(), which nothing will read again."""
+    for t in tables:
+        path = t if isinstance(t, str) else t.written_path
+        _WRITTEN.remove(path)
+        _delete(spark, path)
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Deletes all tables that written() has made in this session; call it when no result that reads them is needed any more."""
+    """Deletes all that is left of this session's written() tables; call it when no result that reads them is needed any more."""
     while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,27 +184,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        m = max(n, SHARD_BYTES + 64)
-        _POWERS[:] = [np.cumprod(np.append(U64(1), np.full(m - 1, b, U64)), dtype=U64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def span_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of low[start:end]: differences of a rolling polynomial's prefix sums, independent of place."""
-    p, q = powers(len(low))
-    sums = np.empty(len(low) + 1, U64)
-    sums[0] = 0
-    np.cumsum(low.astype(U64) * p[: len(low)], out=sums[1:])
-    if not len(starts):
-        return np.zeros(0, U64)
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+#: What is left of eight bytes where a span has only so many; a step between the pieces of one span.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_STEP = U64(0x9E3779B97F4A7C15)
+
+
+def span_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool = False):
+    """64-bit hashes of low[start:end], independent of place; no byte of a span is 0.
+
+    Spans of up to 8 bytes are mixed as they are, so no two of them collide. Longer ones add up their 8-byte pieces, each mixed with
+    its number before, so no pattern of equal pieces cancels out. check: also a second sum of the pieces, not mixed, to tell collisions."""
+    data = np.zeros(len(low) + 8, np.uint8)
+    data[: len(low)] = low
+    eight = np.ndarray(len(low) + 1, "<u8", data, strides=(1,))  # at every byte
+    n = ends - starts
+    first = eight[starts] & _FIRST[np.minimum(n, 8)]
+    h = mix(first + _STEP)
+    plain = first
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        count = (n[long] + 7) >> 3
+        head = np.cumsum(count) - count
+        inner = np.arange(int(count.sum())) - np.repeat(head, count)
+        at = np.repeat(starts[long], count) + 8 * inner
+        piece = eight[at] & _FIRST[np.minimum(np.repeat(ends[long], count) - at, 8)]
+        number = inner.astype(U64)
+        h[long] = mix(np.add.reduceat(mix(piece + (number + U64(2)) * _STEP), head) + n[long].astype(U64))
+        if check:
+            plain[long] = np.add.reduceat(piece * (U64(2) * number + U64(1)), head) + (n[long].astype(U64) << U64(40))
+    return (h, plain) if check else h
 
 
 #: Odd multipliers for hashes of sequences.

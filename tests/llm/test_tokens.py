@@ -19,15 +19,20 @@ SCHEMA = "doc_id long, text string"
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 300), max_size=500), min_size=1, max_size=5), st.sampled_from([1, 3, 64]))
-def test_round_trip(blocks, lanes):
+@given(st.lists(st.lists(st.integers(0, 300), max_size=500), min_size=1, max_size=5), st.sampled_from([1, 3, 64]), st.sampled_from([7, 100, rans.PIECE]))
+def test_round_trip(blocks, lanes, piece):
     arrays = [np.array(b, np.uint16) for b in blocks if b] or [np.zeros(1, np.uint16)]
     coder = rans.Codec(*rans.quantised(np.bincount(np.concatenate(arrays))))
-    coded = coder.encode(arrays, lanes)
-    back = coder.decode([(s, w, len(b)) for (s, w), b in zip(coded, arrays)])
+    coded = coder.encode(arrays, lanes, piece)
+    sized = [[(s, w, len(b[k * piece : (k + 1) * piece])) for k, (s, w) in enumerate(p)] for p, b in zip(coded, arrays)]
+    back = coder.decode(sized)
     assert all((x == y).all() for x, y in zip(back, arrays))
-    for (s, w), b in zip(coded, arrays):  # each block alone
-        assert (coder.decode([(s, w, len(b))])[0] == b).all()
+    for pieces, b in zip(sized, arrays):  # each block alone, and each piece
+        assert (coder.decode([pieces])[0] == b).all()
+        assert (np.concatenate([coder.decode([[x]])[0] for x in pieces]) == b).all()
+        counts, ids = np.array([len(b)]), np.array([5])
+        parsed, *columns = rans.parsed(rans.image([(s, w) for s, w, _ in pieces], counts, ids, np.array([False]), piece))
+        assert (coder.decode([parsed])[0] == b).all() and [c.tolist() for c in columns] == [[len(b)], [5], [0]]
 
 
 def test_frequencies():
@@ -43,16 +48,16 @@ def test_size_is_near_the_entropy():
     n = np.bincount(x)
     p = n[n > 0] / n.sum()
     coder = rans.Codec(*rans.quantised(n))
-    _, w = coder.encode([x])[0]
-    assert len(w) * 32 < 1.01 * len(x) * -(p * np.log2(p)).sum() + 64 * 64
+    w = sum(len(w) for _, w in coder.encode([x])[0])
+    assert w * 32 < 1.01 * len(x) * -(p * np.log2(p)).sum() + 4 * 64 * 64
 
 
 def test_damaged_images():
     coder = rans.Codec(*rans.quantised(np.array([3, 4])))
-    (s, w), = coder.encode([np.array([0, 1, 1], np.uint16)])
-    data = rans.image(s, w, np.array([3]), np.array([9]), np.array([False]))
-    states, words_, counts, ids, null = rans.parsed(data)
-    assert (coder.decode([(states, words_, 3)])[0] == [0, 1, 1]).all() and ids[0] == 9 and not null[0]
+    pieces, = coder.encode([np.array([0, 1, 1], np.uint16)])
+    data = rans.image(pieces, np.array([3]), np.array([9]), np.array([False]))
+    parsed, counts, ids, null = rans.parsed(data)
+    assert (coder.decode([parsed])[0] == [0, 1, 1]).all() and ids[0] == 9 and not null[0]
     for bad in (data[:-1], b"XXXX" + data[4:], data[:10] + b"\x07" + data[11:], b""):
         with pytest.raises(ValueError):
             rans.parsed(bad)
@@ -93,6 +98,58 @@ def test_few_kept_words(spark, monkeypatch):
         assert symbols[: bounds[1]].tolist() == want == symbols[bounds[1] :].tolist()
 
 
+def thue_morse(n, a, b):
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    """Hashes that are polynomials modulo 2^64 take these two words for one, whatever the base."""
+    docs = [(1, thue_morse(12, "a", "b")), (2, thue_morse(12, "b", "a"))]
+    got = tokens.round_trip(spark.createDataFrame(docs, SCHEMA).coalesce(1), PATH, 1).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == plain(docs)
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    import pyarrow as pa
+
+    hashes = tokens.span_hash
+    monkeypatch.setattr(tokens, "span_hash", lambda *a, **b: (np.full(len(a[1]), 7, np.uint64), hashes(*a, **b)[1]))
+    encoder = tokens._Encoder(PATH, False)
+    symbols, _ = encoder.encode(pa.array(["two words share one hash"]))
+    assert symbols.tolist() == encoder.tokenizer.encode("two words share one hash", add_special_tokens=False).ids
+
+
+def test_a_very_long_document_takes_bounded_memory():
+    """2,000,000 words: its ids, and pieces of constant size beside them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    some = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 8))) for _ in range(1000)) for _ in range(20)]
+    text = " ".join(some[i % 20] for i in range(2000))
+    encoder = tokens._Encoder(PATH, False)
+    want = [i for i in range(20) for i in encoder.tokenizer.encode(some[i], add_special_tokens=False).ids]
+    column = pa.array([text, "short"])
+    tracemalloc.start()
+    symbols, bounds = encoder.encode(column)
+    assert symbols[: len(want)].tolist() == want and bounds[1] == 100 * len(want)
+    coder = rans.Codec(*rans.quantised(np.bincount(symbols)))
+    coded = coder.encode([symbols, symbols[:5]])
+    back = coder.decode([[(s, w, min(rans.PIECE, len(x) - k * rans.PIECE)) for k, (s, w) in enumerate(p)] for p, x in zip(coded, [symbols, symbols[:5]])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (back[0] == symbols).all() and (back[1] == symbols[:5]).all()
+    assert len(symbols) > 4_000_000 and peak < 40 * len(symbols) + (100 << 20)
+
+
+def test_tokenizers_whose_pieces_hold_white_space_need_whole_texts():
+    with pytest.raises(ValueError, match="whole=True"):
+        tokens._Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+
+
 def test_other_tokenizer_whole(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = [(i, x) for i, x in enumerate(ODD[1:8])]
