@@ -90,15 +90,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with raw as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') l from documents),
     toks as (select doc_id, unnest(l) raw, unnest(range(1, len(l) + 1)) i, len(l) m from raw),
     word as (select doc_id, raw, i, m, regexp_extract(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[^\\x20\\x09-\\x0D]+') t from toks),
-    ends as (select *, regexp_matches(t, '[.!?]$') or contains(raw, chr(10)) or i = m e from word),
-    coarse as (select *, coalesce(sum(cast(e as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) c from ends),
-    long as (select *, e or (count(*) over (partition by doc_id, c) > 24 and strlen(t) >= 9) f from coarse),
-    fine as (select *, coalesce(sum(cast(f as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint s from long),
+    keyed as (select *, ((list_sum(list_transform(range(0, strlen(t)), lambda j: ('0x' || substr(hex(t), 2 * j + 1, 2))::bigint)) * 40503 + strlen(t) * 10007) % 65536) k from word),
+    ends as (select *, regexp_matches(t, '[.!?]$') or contains(raw, chr(10)) or i = m or k <= min(k) over (partition by doc_id order by i rows between 2 preceding and 2 following) e from keyed),
+    fine as (select *, coalesce(sum(cast(e as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint s from ends),
     sent as (select doc_id, s, string_agg(t, ' ' order by i) x, string_agg(raw, '' order by i) z from fine group by doc_id, s),
-    near as (select doc_id, s, x, count(*) over (partition by doc_id) n, lead(x, 1) over w x1, lead(x, 2) over w x2 from sent window w as (partition by doc_id order by s)),
-    runs as (select doc_id, s p, n, case when n = 1 then x when n = 2 then x || ' ' || x1 else x || ' ' || x1 || ' ' || x2 end r from near where s + 3 <= n or (s = 0 and n < 3)),
+    near as (select doc_id, s, x, count(*) over (partition by doc_id) n, lead(x, 1) over w x1, lead(x, 2) over w x2, lead(x, 3) over w x3 from sent window w as (partition by doc_id order by s)),
+    runs as (select doc_id, s p, n, case when n < 4 then x || coalesce(chr(10) || x1, '') || coalesce(chr(10) || x2, '') else x || chr(10) || x1 || chr(10) || x2 || chr(10) || x3 end r from near where s + 4 <= n or (s = 0 and n < 4)),
     firsts as (select r, min((doc_id, p)) q from runs group by r having count(*) > 1),
-    gone as (select distinct doc_id, s from (select r.doc_id, unnest(range(p, p + least(3, n))) s from runs r join firsts using (r) where (r.doc_id, r.p) <> q)),
+    gone as (select distinct doc_id, s from (select r.doc_id, unnest(range(p, p + least(4, n))) s from runs r join firsts using (r) where (r.doc_id, r.p) <> q)),
     kept as (select doc_id, count(*) n, count(g.s) k, string_agg(z, '' order by s) filter (g.s is null) y from sent left join (select doc_id, s from gone) g using (doc_id, s) group by doc_id)
     select d.doc_id, case when text is not null then regexp_extract(text, '^[\\x20\\x09-\\x0D]*') || coalesce(y, '') end as text, coalesce(n, 0) n_sentences, coalesce(k, 0) n_removed from raw d left join kept using (doc_id)""",
 )

@@ -235,38 +235,29 @@ def test_one_document_and_none(spark):
 
 
 def plain_sentences(text):
-    out, cur = [], []
-    for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", (text or "").translate(UPPER)):
-        if m[0] == "\n":
-            if cur:
-                out.append(cur)
-            cur = []
-        else:
-            cur.append(m[0])
-            if m[0][-1] in ".!?":
-                out.append(cur)
-                cur = []
-    out += [cur] if cur else []
-    fine = []
-    for s in out:
-        part = []
-        for w in s:
-            part.append(w)
-            if len(s) > substring_dedup.LONG and len(w.encode()) >= substring_dedup.CUT:
-                fine.append(part)
-                part = []
-        fine += [part] if part else []
-    return [" ".join(s) for s in fine]
-
-
-def check_spans_removed(spark, docs, run=3):
+    tokens = re.findall(r"[^\x20\x09-\x0D]+|\n", (text or "").translate(UPPER))
+    ws = [t for t in tokens if t != "\n"]
+    key = [(sum(w.encode()) * 40503 + len(w.encode()) * 10007) % 65536 for w in ws]
+    out, cur, i = [], [], 0
+    for t in tokens:
+        if t == "\n":
+            out, cur = (out + [cur] if cur else out), []
+            continue
+        cur.append(t)
+        if t[-1] in ".!?" or key[i] == min(key[max(0, i - 2) : i + 3]):
+            out, cur = out + [cur], []
+        i += 1
+    return [" ".join(s) for s in out + ([cur] if cur else [])]
+
+
+def check_spans_removed(spark, docs, run=substring_dedup.RUN):
     got = {r.doc_id: r for r in substring_dedup.report(spark.createDataFrame(docs, SCHEMA), run).collect()}
     sents = {d: plain_sentences(t) for d, t in docs}
     first, gone = {}, {d: set() for d in sents}
     for d in sorted(sents):
         n = len(sents[d])
         for p in range(max(1, n - run + 1) if n else 0):
-            key = " ".join(sents[d][p : p + run])
+            key = tuple(sents[d][p : p + run])
             if key in first:
                 gone[d].update(range(p, min(p + run, n)))
             first.setdefault(key, (d, p))
@@ -277,6 +268,31 @@ def check_spans_removed(spark, docs, run=3):
         assert " ".join(re.findall(r"[^\x20\x09-\x0D]+", (got[d].text or "").translate(UPPER))) == left
 
 
+def test_a_passage_goes_wherever_it_stands(spark):
+    """51 words without punctuation, and 51 in sentences, at any place between other words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 11)))
+    plain = " ".join(word() for _ in range(51))
+    prose = ". ".join(" ".join(word() for _ in range(n)) for n in (13, 14, 12, 12)) + "."
+    docs = [(i, " ".join([*(word() for _ in range(rng.randrange(40))), (plain, prose)[i % 2], *(word() for _ in range(rng.randrange(40)))])) for i in range(60)]
+    docs += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)]
+    check_spans_removed(spark, docs)
+    for r in substring_dedup.report(spark.createDataFrame(docs, SCHEMA)).collect():
+        left = set((r.text or "").split())
+        if r.doc_id >= 100:
+            assert r.n_removed == 0
+        elif r.doc_id >= 2:
+            assert len(left & set((plain, prose)[r.doc_id % 2].split())) <= 24
+
+
+def test_sentences_that_cancel_out_in_polynomials(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    assert all(r.n_removed == 0 for r in substring_dedup.report(spark.createDataFrame([(1, a), (2, b), (3, " ".join(a)), (4, " ".join(b))], SCHEMA)).where("doc_id in (1, 2)").collect())
+    check_spans_removed(spark, [(1, a), (2, b), (3, " ".join(a)), (4, " ".join(b))])
+
+
 def test_repeated_passages_go(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12)))
@@ -288,14 +304,16 @@ def test_repeated_passages_go(spark):
 
 
 def test_substring_edge_cases(spark):
-    docs = [(d, t) for d, t in ODD if d is not None and d != 7] + [(20, "One. Two."), (21, "one.  two."), (22, "One. Two. Three."), (23, "a. a. a. a. a. a.")]
+    docs = [(d, t) for d, t in ODD if d is not None and d != 7] + [(20, "One. Two."), (21, "one.  two."), (22, "One. Two. Three."), (23, "a. a. a. a. a. a."), (24, "b. " * 100_000)]
     check_spans_removed(spark, docs)
     got = substring_dedup.report(spark.createDataFrame([(None, "x y."), (1, "x y."), (7, "same"), (7, "same")], SCHEMA)).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 1), (1, 0), (7, 0), (7, 0)]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 2), (1, 0), (7, 0), (7, 0)]
     assert substring_dedup.report(spark.createDataFrame([], SCHEMA)).count() == 0
-    wide = spark.createDataFrame([(1, "A. B. C.", 1), (2, "A. B. C. D.", 2), (3, None, 3)], SCHEMA + ", places int")
+    clash = "places int, _doc int, _places string, _text string, _row int, `a.b` int"
+    wide = spark.createDataFrame([(1, "A. B. C. D.", 1, 1, "p", "t", 4, 5), (2, "A. B. C. D. E.", 2, 2, "p", "t", 4, 5), (3, None, 3, None, None, None, None, None)], f"{SCHEMA}, {clash}")
     out = substring_dedup.deduplicated(wide)
-    assert out.columns == wide.columns and {r.doc_id: r.text for r in out.collect()} == {1: "A. B. C.", 2: "D.", 3: None}
+    assert out.columns == wide.columns and {r.doc_id: r.text for r in out.collect()} == {1: "A. B. C. D.", 2: "E.", 3: None}
+    assert {r["a.b"] for r in out.collect()} == {5, None}
 
 
 # licenses
