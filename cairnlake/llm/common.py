@@ -90,6 +90,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame, **more) -> DataFrame:
+    """All columns of docs, whatever they are called, in the struct `_row`, and the columns `more` beside it. See uncarried()."""
+    return bounded(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in more.items()])
+
+
+def uncarried(df: DataFrame, columns: list[str], **instead) -> DataFrame:
+    """The columns that carried() has put into `_row`, some of them replaced."""
+    return df.select(*[instead[c].alias(c) if c in instead else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators read; whatever else the table holds is ignored."""
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,16 +1,20 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each shard of documents gets a suffix array over its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased), sorted as
-deep as the longest benchmark item. Every suffix of every item is looked up by binary search, one more word at a time, until its
-window's places are known; from there each match is followed as far as it goes. A window is 10 consecutive words of an item; a shorter item is one window.
-A document word inside any occurrence of a window is hit; a document with a hit is contaminated.
+deep as the longest benchmark item. Suffixes of items are looked up by binary search, one more word at a time: equal beginnings are
+searched once, and what isn't found takes no further step. A window is 10 consecutive words of an item; a shorter item is one
+window. A document word inside any occurrence of a window is hit; a document with a hit is contaminated. Occurrences of a window are
+an interval of the suffix array, so a place is listed once for each length of window (10 at most), however often the benchmark
+repeats itself; longer matches are followed from a place along one path of beginnings.
 
-Documents never leave their shard, so nothing is shuffled. The benchmark is broadcast in blocks of a checked size: items beyond
-one block are searched in further passes, whose input is the table that the last pass has written.
+Documents never leave their shard, so nothing is shuffled. The benchmark is broadcast in blocks of at most BLOCK_BYTES of text (or
+one item, whose size the README's limits state): items beyond one block are searched in further passes, whose input is the table
+that the last pass has written.
 
 Cases: a null or wordless text has no words and no hits; items without words are no windows; items with null id hit, but stand in
-no list of items; items that share an id count once; every row of documents gives one row, whatever it repeats; an empty benchmark hits nothing; extra columns are
-ignored (contaminated) or kept (clean). Words are compared by 64-bit hashes.
+no list of items; items that share an id count once; every row of documents gives one row, whatever it repeats; an empty benchmark
+hits nothing, an empty table gives an empty result; texts of any length are searched whole, alone if they exceed a shard; extra
+columns, whatever their names, are ignored (report) or kept (clean). Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, bounded, flat, id_text, shards, span_hash, words, written
+from .common import ALNUM, U64, carried, flat, id_text, shards, span_hash, uncarried, words, written
 
 WINDOW = 10
 #: Text bytes of the benchmark that are broadcast at once.
@@ -69,60 +73,122 @@ def suffix_array(h: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Suffixes:
-    """Every suffix of the items of one block, to be looked up together."""
+    """Every suffix of the items of one block, sorted, to be looked up together."""
 
     def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int = WINDOW):
-        self.names = [name for name, _ in items]
+        self.names, self.window = [name for name, _ in items], window
         sizes = np.array([len(w) for _, w in items], np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        self.words = np.concatenate([w for _, w in items]) if items else np.zeros(0, U64)
-        self.item = np.repeat(np.arange(len(items)), sizes)
-        self.left = first[1:][self.item] - np.arange(len(self.words))
-        need = np.minimum(window, sizes)[self.item]
-        #: Words that a window starting here takes; 0 where none starts.
-        self.need = np.where(self.left >= need, need, 0)
         self.depth = int(sizes.max(initial=1))
-
-    def search(self, h: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which, place) of every occurrence in h of the window that starts with suffix `which`."""
-        n, q = len(h), len(self.words)
-        lo, hi = np.zeros(q, np.int64), np.zeros(q, np.int64)
+        # a separator after each item, which no document holds
+        words = np.concatenate([np.append(w, _END) for _, w in items]) if items else np.zeros(0, U64)
+        end = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1)
+        item = np.repeat(np.arange(len(items)), sizes + 1)
+        need = np.minimum(window, sizes)[item]
+        left = end - np.arange(len(words))
+        order = suffix_array(words, self.depth) if len(words) else np.zeros(0, np.int64)
+        order = order[left[order] >= need[order]]  # suffixes that begin a window
+        self.words, self.at, self.item, self.left, self.need = np.append(words, np.full(self.depth + 1, _END)), order, item[order], left[order], need[order]
+        self.before = np.where(order > 0, self.words[order - 1], _END)
+
+    def search(self, h: np.ndarray, sa: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cover, hit rows, hit items: each pair once, places of longest matches, their (item, words)): what the shard h holds.
+
+        cover: words hit, as +1 and -1 at the ends of windows. A place's longest match is left out where that of the place before goes on."""
+        n = len(h)
         padded = np.append(h, np.zeros(self.depth + 1, U64))
-        live = np.flatnonzero(self.need)
-        a, b = np.zeros(len(live), np.int64), np.full(len(live), n, np.int64)
-        for d in range(self.depth):
-            keep = self.left[live] > d
-            live, a, b = live[keep], a[keep], b[keep]
+        cover = np.zeros(n + 1, np.int64)
+        length, who = np.zeros(n, np.int64), np.full(n, -1)
+        follows = np.zeros(n, bool)  # every match here continues one of the place before
+        rows_hit, items_hit = [], []
+        live = np.arange(len(self.at))
+        group = np.zeros(len(live), np.int64)  # equal beginnings have the same number
+        lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+        for d in range(self.depth + 1):
+            full = np.flatnonzero(self.need[live] == d)
+            if len(full):  # windows that end here
+                done, first = np.unique(group[full], return_index=True)
+                places, of = _inside(sa, lo[done], hi[done])
+                np.add.at(cover, places, 1)
+                np.add.at(cover, places + d, -1)
+                longer = length[places] < d
+                length[places[longer]], who[places[longer]] = d, live[full[first]][of[longer]]
+                which = np.searchsorted(done, group[full])
+                self._hits(row, places, of, live[full], which, len(done), rows_hit, items_hit)
+                self._follow(padded, places, of, live[full], which, len(done), follows)
+                if d >= self.window:  # go on only where some match begins
+                    go = np.zeros(len(lo), bool)
+                    go[done[of[~follows[places]]]] = True
+                    live, group = live[go[group]], group[go[group]]
+            was, first = np.unique(group, return_index=True)
+            reps = live[first]
+            more = self.left[live] > d
+            live, group = live[more], group[more]
+            want = self.words[self.at[live] + d]
+            head = np.ones(len(live), bool)
+            head[1:] = (group[1:] != group[:-1]) | (want[1:] != want[:-1])
+            first = np.flatnonzero(head)
+            parent = group[first]
+            x = _bound(padded, sa, lo[parent], hi[parent], want[first], d, False)
+            y = _bound(padded, sa, x, hi[parent], want[first], d, True)
+            found = y > x
+            if d >= self.window:  # what no word continues: between the intervals of longer beginnings
+                opens, closes = np.sort(np.concatenate([lo[was], y[found]])), np.sort(np.concatenate([x[found], hi[was]]))
+                gaps = np.flatnonzero(closes > opens)
+                places, of = _inside(sa, opens[gaps], closes[gaps])
+                length[places], who[places] = d, reps[np.searchsorted(lo[was], opens[gaps], "right") - 1][of]
+            child = (np.cumsum(head) - 1).astype(np.int64)
+            keep = found[child] if len(live) else np.zeros(0, bool)
+            live, group = live[keep], (np.cumsum(found) - 1)[child[keep]]
+            lo, hi = x[found], y[found]
             if not len(live):
                 break
-            want = self.words[live + d]
-            x = _bound(padded, sa, a, b, want, d, False)
-            y = _bound(padded, sa, x, b, want, d, True)
-            keep = y > x
-            live, a, b = live[keep], x[keep], y[keep]
-            full = self.need[live] == d + 1
-            lo[live[full]], hi[live[full]] = a[full], b[full]
-            live, a, b = live[~full], a[~full], b[~full]
-        count = hi - lo
-        hits = np.flatnonzero(count)
-        which = np.repeat(hits, count[hits])
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(count[hits]) - count[hits], count[hits])
-        return which, sa[lo[which] + inner]
-
-    def extended(self, h: np.ndarray, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which, place, length) of the longest verbatim matches: occurrences that no word before continues, with all words after that do."""
-        begins = (place == 0) | (np.arange(len(self.words))[which] == 0)
-        before = np.where(begins, U64(1), h[place - 1] ^ self.words[which - 1])
-        begins |= (before != 0) | (self.item[which] != self.item[which - 1])
-        which, place = which[begins], place[begins]
-        length = self.need[which].copy()
-        padded = np.append(h, np.zeros(self.depth + 1, U64))
-        live = np.arange(len(which))
-        while len(live):
-            live = live[self.left[which[live]] > length[live]]
-            live = live[padded[place[live] + length[live]] == self.words[which[live] + length[live]]]
-            length[live] += 1
-        return which, place, length
+        return cover, *(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows_hit, items_hit)), *self._longest(length, who, follows)
+
+    def _hits(self, row, places, of, suffixes, group, n, rows_hit, items_hit) -> None:
+        """Adds (row, item) of windows that end here; groups with equal items are taken together."""
+        order = np.lexsort((self.item[suffixes], group))
+        items, group = self.item[suffixes][order], group[order]
+        bounds = np.searchsorted(group, np.arange(n + 1))
+        sets: dict[bytes, int] = {}
+        members: list[np.ndarray] = []
+        number = np.empty(n, np.int64)
+        for g in range(n):
+            own = np.unique(items[bounds[g] : bounds[g + 1]])
+            number[g] = sets.setdefault(own.tobytes(), len(members))
+            if number[g] == len(members):
+                members.append(own)
+        pairs = np.unique(row[places] * len(members) + number[of])
+        for r, m in zip((pairs // len(members)).tolist(), (pairs % len(members)).tolist(), strict=True):
+            rows_hit.append(np.full(len(members[m]), r))
+            items_hit.append(members[m])
+
+    def _follow(self, padded, places, of, suffixes, group, n, follows) -> None:
+        """Marks places before which the text goes on as before all suffixes of their group (where those have one word before)."""
+        low, high = np.full(n, ~U64(0)), np.zeros(n, U64)
+        np.minimum.at(low, group, self.before[suffixes])
+        np.maximum.at(high, group, self.before[suffixes])
+        one = np.where((low == high) & (low != _END), low, _END)
+        before = np.where(places > 0, padded[places - 1], _END)
+        follows[places] |= (one[of] != _END) & (one[of] == before)
+
+    def _longest(self, length: np.ndarray, who: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, items, words) of matches that no match of the place before holds."""
+        hit = np.flatnonzero(length)
+        # where all matches follow on, the length is what is left of the last place that has one of its own
+        own = hit[~follows[hit]]
+        last = np.append(own, -1)[np.searchsorted(own, hit, "right") - 1]
+        real = np.where(follows[hit], np.maximum(length[last] - (hit - last), 0), length[hit])
+        full = np.zeros(len(length) + 1, np.int64)
+        full[hit] = real
+        begins = own[(own == 0) | (full[own - 1] <= length[own])]
+        return begins, self.item[who[begins]], length[begins]
+
+
+def _inside(sa: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, which interval) of all intervals of the suffix array."""
+    count = hi - lo
+    of = np.repeat(np.arange(len(lo)), count)
+    return sa[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(of))], of
 
 
 def _bound(h: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, d: int, above: bool) -> np.ndarray:
@@ -144,7 +210,7 @@ def _search_shard(col: pa.Array, query: Suffixes) -> tuple[np.ndarray, list[list
     spans: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
     items: list[set[str]] = [set() for _ in range(rows)]
     matches: list[list[dict]] = [[] for _ in range(rows)]
-    if not len(starts) or not len(query.words):
+    if not len(starts) or not len(query.at):
         return n, spans, items, matches
     # a separator after each document keeps matches inside it
     of = np.repeat(np.arange(rows), n)
@@ -152,21 +218,17 @@ def _search_shard(col: pa.Array, query: Suffixes) -> tuple[np.ndarray, list[list
     h[np.arange(len(starts)) + of] = span_hash(low, starts, ends) | U64(1)
     row = np.repeat(np.arange(rows), n + 1)
     begin = first[:-1] + np.arange(rows)
-    which, place = query.search(h, suffix_array(h, query.depth))
-    if len(which):
-        cover = np.zeros(len(h) + 1, np.int64)
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + query.need[which], -1)
-        for r, i in set(zip(row[place].tolist(), query.item[which].tolist(), strict=True)):
-            if query.names[i] is not None:
-                items[r].add(query.names[i])
-        inside = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
-        edge = np.diff(np.concatenate([[0], inside, [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            r = row[a]
-            spans[r].append((a - int(begin[r]), b - int(begin[r])))
-        for q, p, k in zip(*(x.tolist() for x in query.extended(h, which, place)), strict=True):
-            matches[row[p]].append({"item": query.names[query.item[q]], "start": p - int(begin[row[p]]), "words": k})
+    cover, rows_hit, items_hit, places, which, length = query.search(h, suffix_array(h, query.depth), row)
+    for r, i in zip(rows_hit.tolist(), items_hit.tolist(), strict=True):
+        if query.names[i] is not None:
+            items[r].add(query.names[i])
+    inside = (np.cumsum(cover)[:-1] > 0).astype(np.int8)
+    edge = np.diff(np.concatenate([[0], inside, [0]]))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        r = row[a]
+        spans[r].append((a - int(begin[r]), b - int(begin[r])))
+    for p, q, k in zip(places.tolist(), which.tolist(), length.tolist(), strict=True):
+        matches[row[p]].append({"item": query.names[q], "start": p - int(begin[row[p]]), "words": k})
     return n, spans, items, matches
 
 
@@ -194,10 +256,10 @@ def _blocks(benchmark: DataFrame, most: int) -> list[tuple[int, int]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """doc_id and _found: n_words, items (sorted ids of items with occurring windows), spans (hit words, merged [start, end)),
-    matches (item, null where it has no id, start, words of each verbatim match of a window or more, as long as it goes). carry: keep the columns of docs instead of doc_id."""
+    matches (item, null where it has no id, start, words of each verbatim match of a window or more, as long as it goes). carry: `_row` with all columns of docs instead of doc_id."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).distinct()
-    src = bounded(docs).withColumn("_text", F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
+    src = carried(docs, _text=F.col("text").cast("string")) if carry else id_text(docs).withColumn("_text", F.col("text")).drop("text")
     # passes carry the text along only while further blocks are to come
     blocks = _blocks(bench, block_bytes)
     kept = [c for c in src.columns if c != "_text"]
@@ -235,6 +297,6 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents; all columns stay."""
-    return contaminated(docs, benchmark, window, block_bytes, carry=True).where(F.size("_found.spans") == 0).drop("_found")
+    return uncarried(contaminated(docs, benchmark, window, block_bytes, carry=True).where(F.size("_found.spans") == 0), docs.columns)
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, SPACED, U64, bounded, discard, flat, id_text, mix, shards, span_hash, words, written
+from .common import ODD, SPACED, U64, carried, discard, flat, id_text, mix, shards, span_hash, uncarried, words, written
 
 RUN = 4
 AROUND = 2
@@ -158,8 +158,7 @@ def report(docs: DataFrame, run: int = RUN) -> DataFrame:
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with the repeated sentences taken out of text; all columns stay."""
     places = repeated(docs, run).select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
-    # whatever the columns of docs are called: they travel in one
-    src = bounded(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"))
+    src = carried(docs, _text=F.col("text").cast("string"), _doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     src = src.join(places, "_doc", "left").select("_row", "_text", "_places")
     out = src.select("_row", F.col("_text").alias("_left")).schema
 
@@ -169,4 +168,4 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
             texts = pc.if_else(b.column("_text").is_null(), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays([b.column("_row"), texts], names=["_row", "_left"])
 
-    return src.mapInArrow(make, out).select(*[F.col("_left").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return uncarried(src.mapInArrow(make, out), docs.columns, text=F.col("_left"))

@@ -68,6 +68,63 @@ def test_decontamination_equals_brute_force(spark, seed, block):
             assert any(iw[i : i + m.words] == part and (i == 0 or m.start == 0 or iw[i - 1] != w[m.start - 1]) and (i + m.words == len(iw) or m.start + m.words == len(w) or iw[i + m.words] != w[m.start + m.words]) for i in range(len(iw)))
 
 
+def brute_matches(text, items, window=10):
+    """The longest match at each place, unless the one of the place before holds it."""
+    w, best = words(text), {}
+    for _, item in items:
+        iw = words(item)
+        for i in range(len(iw)):
+            for p in range(len(w)):
+                k = 0
+                while i + k < len(iw) and p + k < len(w) and iw[i + k] == w[p + k]:
+                    k += 1
+                if iw and k >= min(window, len(iw)):
+                    best[p] = max(best.get(p, 0), k)
+    return sorted((p, k) for p, k in best.items() if best.get(p - 1, 0) <= k)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_longest_matches_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs, items = contaminated_set(rng)
+    items += [("rep", "a " * 25), ("rep2", "b " * 4 + "a " * 12), ("two", "a b " * 9)]
+    docs += [(100, "a " * 40), (101, "c " + "a " * 30 + "b " + "a " * 11), (102, "b a " * 20), (103, "b b b b " + "a " * 14 + "d")]
+    got = decontaminate.report(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id string, text string")).collect()
+    for r in got:
+        assert sorted((m.start, m.words) for m in r.matches) == brute_matches(dict(docs)[r.doc_id], items)
+
+
+def test_repetitive_texts_take_bounded_work():
+    """100,000 equal words against an item of 1,000, and 2,000 items that share their windows."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    items = [("a", "x " * 1000), *((f"b{i}", "common words of every item one two three four five " + "x " * 20 + str(i)) for i in range(2000))]
+    query = decontaminate.Suffixes([(n, w) for (n, _), w in zip(items, decontaminate.item_words([t for _, t in items]))])
+    texts = pa.array(["x " * 100_000, "y " + "common words of every item one two three four five x x " * 300])
+    began = time.time()
+    tracemalloc.start()
+    n, spans, found, matches = decontaminate._search_shard(texts, query)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - began < 60 and peak < 300 << 20
+    assert n.tolist() == [100_000, 3601] and spans == [[(0, 100_000)], [(1, 3601)]]
+    assert len(found[0]) == 2001 and len(found[1]) == 2000
+    assert max(m["words"] for m in matches[0]) == 1000 and len(matches[0]) <= 100_000
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    """Thue-Morse words and their complements, which hashes modulo 2^64 take for one."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, a), (2, b)], SCHEMA)
+    bench = spark.createDataFrame([("x", a)], "item_id string, text string")
+    assert {r.doc_id: r.contaminated for r in decontaminate.report(docs, bench).collect()} == {1: True, 2: False}
+
+
 def test_decontamination_edge_cases(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     bench = spark.createDataFrame([("a", "same"), ("b", None), (None, "same"), ("c", ""), ("a", "null id")], "item_id string, text string")
@@ -75,7 +132,7 @@ def test_decontamination_edge_cases(spark):
     assert got == [(0, 2, 2, ("a",)), (1, 0, 0, ()), (2, 0, 0, ()), (3, 0, 0, ()), (4, 3, 0, ()), (5, 1, 0, ()), (6, 30_000, 0, ()), (7, 1, 1, ("a",)), (7, 1, 1, ("a",))]
     assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.report(docs.where("false"), bench).count() == 0
-    clash = spark.createDataFrame([(1, "same", 3), (2, "x", 4)], SCHEMA + ", item_id long")
+    clash = spark.createDataFrame([(1, "same", 3, "t", 1, 2), (2, "x", 4, None, 1, 2)], SCHEMA + ", item_id long, _text string, _found int, `a.b` int")
     kept = decontaminate.clean(clash, bench)
     assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [2]
     assert [r.doc_id for r in decontaminate.clean(clash, bench, block_bytes=4).collect()] == [2]
