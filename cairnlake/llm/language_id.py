@@ -5,14 +5,17 @@ per bit, linear over hashed character n-grams (1 to 3 lower-cased code points, l
 predicts the bit of a text's language; decoding takes the codeword with the least loss, each bit weighted by how well its
 classifier did in training. A text whose two nearest codewords are close is flagged ambiguous.
 
-Learning takes a bounded sample (MOST rows of each language, by a hash of the id) of texts with a language; everything is
-predicted on whole texts. Cases: a null text, or one without letters, is `und` with score 0; with no labelled rows every text is
-`und`; with one language that is every other text's; labels that tie take the smallest.
+Learning takes a bounded sample of texts with a language (MOST rows of each, by a hash of the id, of at most LONGEST code points,
+so what the driver collects is bounded in bytes); everything is predicted on whole texts. Cases: a null text, or one without letters
+(Unicode's, of all planes; emoji and digits aren't), is `und` with score 0; with no labelled rows every text is `und`; with one
+language that is every other text's; labels that tie take the smallest; rows that repeat get equal rows each; an empty table gives
+an empty result; a text of any length is handled whole, alone if it exceeds a shard; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,9 @@ from .common import flat, id_text, shards
 
 #: Labelled rows of each language that the classifiers learn from.
 MOST = 400
+#: Code points of the longest text that they learn from.
+LONGEST = 20_000
+#: Bits of a codeword, at least; many languages get more.
 BITS = 15
 FEATURES = 1 << 13
 #: Least score that isn't ambiguous.
@@ -33,30 +39,33 @@ CLEAR = 0.6
 
 
 def code_matrix(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
-    """n codewords of +1 and -1, chosen from random ones to be far apart, with both values in every bit."""
+    """n codewords of +1 and -1, the farthest apart of some random sets, with both values in every bit."""
     rng = np.random.default_rng(seed)
     if n == 1:
         return np.ones((1, bits))
     best, least = None, -1
-    for _ in range(2000):
+    for _ in range(max(20, 2000 // n)):
         code = rng.choice([-1.0, 1.0], (n, bits))
         same = np.flatnonzero(np.abs(code.sum(0)) == n)  # such a bit would tell nothing
         code[rng.integers(0, n, len(same)), same] *= -1
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        apart = int(((bits - code @ code.T) / 2 + np.eye(n) * bits).min())
         if apart > least:
             best, least = code, apart
     return best
 
 
-def _letter_table() -> np.ndarray:
-    """Code points below 2^16 to their lower-cased letter, 0 for whatever isn't a letter."""
-    t = np.zeros(1 << 16, np.uint32)
-    for c in range(1 << 16):
-        s = chr(c)
-        if s.isalpha():
-            low = s.lower()
-            t[c] = ord(low) if len(low) == 1 else c
-    return t
+def code_bits(n: int) -> int:
+    """Bits with which random codewords of n languages stay far enough apart that several wrong bits are corrected."""
+    return max(BITS, 6 * math.ceil(math.log2(max(n, 2))))
+
+
+def _letter(c: int) -> int:
+    """The lower-cased letter of a code point, 0 for whatever isn't a letter."""
+    s = chr(c)
+    if not s.isalpha():
+        return 0
+    low = s.lower()
+    return ord(low) if len(low) == 1 else c
 
 
 _LETTERS: list[np.ndarray] = []
@@ -65,9 +74,13 @@ _LETTERS: list[np.ndarray] = []
 def _codes(text: bytes) -> np.ndarray:
     """Lower-cased letters of a UTF-8 text, runs of other characters as one space."""
     if not _LETTERS:
-        _LETTERS.append(_letter_table())
+        _LETTERS.append(np.array([_letter(x) for x in range(1 << 16)], np.uint32))
     c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    c = np.where(c < (1 << 16), _LETTERS[0][np.minimum(c, (1 << 16) - 1)], c)  # beyond the table all count as letters
+    beyond = c >= 1 << 16
+    c = _LETTERS[0][np.where(beyond, 0, c)]
+    if beyond.any():
+        seen, which = np.unique(np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)[beyond], return_inverse=True)
+        c[beyond] = np.array([_letter(int(x)) for x in seen], np.uint32)[which]
     c = np.where(c == 0, 32, c)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
@@ -115,9 +128,10 @@ class Model:
         return lang, np.where(letters > 0, score, 0.0)
 
 
-def train(texts: list[bytes], labels: list[str], bits: int = BITS, rounds: int = 30, seed: int = 3) -> Model:
+def train(texts: list[bytes], labels: list[str], bits: int | None = None, rounds: int = 30, seed: int = 3) -> Model:
     """Logistic classifiers for all bits at once, by mini-batch Adam; two thirds learn, one third weighs the bits."""
     languages = sorted(set(labels))
+    bits = bits or code_bits(len(languages))
     code = code_matrix(max(1, len(languages)), bits)
     w, b = np.zeros((FEATURES, bits), np.float32), np.zeros(bits, np.float32)
     if len(languages) < 2:
@@ -144,17 +158,18 @@ def train(texts: list[bytes], labels: list[str], bits: int = BITS, rounds: int =
     return Model(languages, code, w, b, trust / trust.sum() * 5)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST) -> list[tuple[bytes, str]]:
-    """(text, label) of at most `most` documents of each label, those with the least hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> list[tuple[bytes, str]]:
+    """(text, label) of at most `most` documents of each label, those with the least hash of the id; none of over `longest` code points.
 
     labels: doc_id, label. Ids are chosen first, those with small hashes only, about four times as many as needed; texts are read
     for the chosen ones alone."""
-    there = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    fits = F.length(F.col("text").cast("string")) <= longest
+    there = docs.where(fits & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
     marked = there.join(labels.where("label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label")), "doc_id").withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
     sizes = marked.groupBy("label").agg(F.count("*").alias("n"))  # a row per label
     near = marked.join(F.broadcast(sizes), "label").where(F.col("h") / 2.0**64 + 0.5 <= F.lit(4.0 * most) / F.col("n"))
     chosen = near.select("label", "doc_id", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fits)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", "h").collect()
     return [(r.text.encode(), r.label) for r in sorted(rows, key=lambda r: (r.h, r.label, r.text))]
 
