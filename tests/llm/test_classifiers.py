@@ -10,7 +10,7 @@ from cairnlake.llm import language_id, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
-HARD = [(1, None), (2, ""), (3, "123 !? \n"), (4, "x"), (5, "é" * 30_000), (6, "漢字"), (None, "the and of"), (7, "a"), (7, "a")]
+HARD = [(1, None), (2, ""), (3, "123 !? \n"), (4, "x"), (5, "é" * 30_000), (6, "漢字"), (8, "😀😀"), (9, "🀄 🎲"), (10, "𝟙𝟚𝟛 𝟜 ٣"), (11, "𝐚𝐛 😀"), (12, "the " * 20_000), (None, "the and of"), (7, "a"), (7, "a")]
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,38 @@ def test_codewords_differ():
         assert (abs(code.sum(0)) < n).all()
 
 
+def test_codes_grow_with_the_languages():
+    import time
+
+    began = time.time()
+    code = language_id.code_matrix(50, language_id.code_bits(50))
+    assert time.time() - began < 2
+    assert min(int((code[i] != code[j]).sum()) for i in range(50) for j in range(i)) >= 7
+
+
+def test_decoding_equals_a_plain_loop():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    texts = [(" ".join(rng.choice(["aa", "bee", "cé", "dada", "eu"], 8)) + f" {lang * 3}").encode() for lang in "xyz" for _ in range(20)]
+    model = language_id.train(texts, ["x"] * 20 + ["y"] * 20 + ["z"] * 20, rounds=3)
+    got, score = model.predict(texts)
+    x, _ = language_id.features(texts)
+    for i in range(len(texts)):
+        margin = [sum(float(x[i, f]) * float(model.weights[f, b]) for f in np.flatnonzero(x[i])) + float(model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * c)) * t for m, c, t in zip(margin, word, model.trust)) for word in model.code]
+        best = min(range(3), key=loss.__getitem__)
+        assert got[i] == model.languages[best]
+        assert abs(score[i] - math.exp(-loss[best]) / sum(math.exp(-v) for v in loss)) < 1e-4
+
+
+def test_clashing_columns_are_ignored(spark, languages):
+    docs = spark.createDataFrame([(1, "the and of", "fr", 0.5), (1, "the and of", "fr", 0.5)], SCHEMA + ", lang_pred string, score double")
+    assert [r.lang_pred for r in language_id.identified(docs, languages).collect()] == ["en", "en"]
+
+
 def test_wrong_bits_are_corrected(languages):
     """With one classifier's bit turned round, texts still decode to their language."""
     import dataclasses
@@ -72,17 +104,80 @@ def test_samples_are_bounded_and_the_same_again(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
-    got = queries.op7(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = queries.op7(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(docs, "doc_id").where("held_out").toPandas()
     assert (got.predicted == (got.score >= 0.3)).all()
-    true = ((got.predicted == 1) & (got.toxic == 1)).sum()
-    assert true / got.toxic.sum() > 0.8 and true / got.predicted.sum() > 0.85
+    true = (got.predicted == 1) & (got.toxic == 1)
+    assert true.sum() / got.toxic.sum() > 0.85 and true.sum() / got.predicted.sum() > 0.9
+    for lang in ("en", "de", "fr", "es"):
+        own = got.lang == lang
+        assert true[own].sum() / got.toxic[own].sum() >= 0.8
+
+
+def test_gradients_equal_differences():
+    """Each gradient against the loss at two nearby values, in double precision; pooling and windows are plain loops."""
+    import dataclasses
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    start = toxicity._started(rng)
+    model = dataclasses.replace(start, embed=start.embed.astype(np.float64), filters=[f.astype(np.float64) for f in start.filters], bias=[rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], out=start.out.astype(np.float64))
+    sizes = [1, 2, 7, 12]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    ids, y = rng.integers(0, 5, (bounds[-1], 3)), np.array([0, 1, 1, 0], np.float32)
+
+    def loss():
+        total = 0
+        for r in range(len(y)):
+            own = ids[bounds[r] : bounds[r + 1]]
+            e = [sum(model.embed[k][w[k]] for k in range(3)) for w in own]
+            act = [max(0, max(sum(e[p + j] @ model.filters[w][j][:, f] for j in range(width) if p + j < len(e)) for p in range(len(e))) + model.bias[w][f]) for w, width in enumerate(toxicity.WIDTHS) for f in range(toxicity.FILTERS)]
+            z = np.dot(act, model.out) + model.out_bias
+            total += np.logaddexp(0, z) - y[r] * z
+        return total / len(y)
+
+    score, by_filter, by_bias, by_out, by_out_bias, by_embed = toxicity.gradients(model, ids, bounds, y)
+    assert score.shape == (4,)
+
+    def check(array, at, want):
+        was, h = array[at], 1e-5
+        array[at] = was + h
+        up = loss()
+        array[at] = was - h
+        down = loss()
+        array[at] = was
+        assert abs((up - down) / (2 * h) - want) < 1e-4
+
+    for _ in range(6):
+        w = int(rng.integers(3))
+        at = tuple(int(rng.integers(n)) for n in model.filters[w].shape)
+        check(model.filters[w], at, by_filter[w][at])
+        f = int(rng.integers(toxicity.FILTERS))
+        check(model.bias[w], f, by_bias[w][f])
+        check(model.out, f, by_out[f])
+        k = int(rng.integers(3))
+        seen, grad = by_embed[k]
+        i, d = int(rng.integers(len(seen))), int(rng.integers(toxicity.DIM))
+        check(model.embed[k], (seen[i], d), grad[i, d])
+
+
+def test_the_mean_of_networks_is_one_model():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    models = [toxicity._started(rng) for _ in range(3)]
+    one = toxicity.merged(models)
+    column = pa.array(["some words of a text", "x", "", "more words here"])
+    want = np.mean([m.logits(column, m.tables()) for m in models], 0)
+    assert np.allclose(one.logits(column, one.tables()), want, atol=1e-4)
 
 
 def test_pooling_equals_a_plain_loop():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    model = toxicity.train([b"good words here", b"bad bad words", b"", b"bad"] * 6, [0, 1, 0, 1] * 6, rounds=2)
+    model = toxicity.train([b"good words here", b"bad bad words", b"", b"bad"] * 6, [0, 1, 0, 1] * 6, rounds=2, members=1)
     texts = [" ".join(rng.choice(["good", "bad", "words", "longerword"], rng.integers(0, 9))) for _ in range(20)]
     buckets, first = toxicity.hashed(pa.array(texts))
     got = model.pooled(buckets, first, model.tables())
@@ -104,6 +199,6 @@ def test_toxicity_edge_cases(spark):
     blank = toxicity.train([b"a"], [0])
     assert {r.score for r in toxicity.scored(spark.createDataFrame(HARD, SCHEMA), blank).collect()} == {0.0}
     assert toxicity.scored(spark.createDataFrame([], SCHEMA), model).count() == 0
-    docs = spark.createDataFrame([(1, "idiot", 0.5), (2, "nice", None), (3, None, 1.0)], SCHEMA + ", score double")
+    docs = spark.createDataFrame([(1, "idiot", 0.5), (2, "nice", None), (3, None, 1.0)], SCHEMA + ", score double").withColumn("_text", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("a.b", F.lit(3))
     kept = toxicity.without_toxic(docs, model)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+    assert kept.columns == docs.columns and {(r.doc_id, r["a.b"], r._row) for r in kept.collect()} == {(2, 3, 2), (3, 3, 2)}
