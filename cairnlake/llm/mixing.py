@@ -7,11 +7,13 @@ less than one block from its share a t / P. The schedule repeats every P slots:
 steps, and every block finds its slot by its number, with no further sequence. When a source is used up its slots stay empty, so
 the others keep their ratio; positions count existing documents only.
 
-No task holds a source: ranks come from a range sort by (source, doc_id), whose partitions are counted. On the driver is a row per
-source (weights need them); schedule and counts, P x sources numbers, are broadcast.
+No task holds a source: ranks come from a range sort by (source, doc_id), whose partitions are counted, and so does the order of
+the blocks, a row for every `block` documents. On the driver is a row per source (weights need them) and one period of the schedule,
+P rows, where P is at most twice the number of sources (PERIOD at least); what is broadcast is counted before.
 
 Cases: a null source is a source of its own; null ids come first in their source; rows that repeat an id follow one another; an
-empty table gives an empty result; a source without a weight gets the least one.
+empty table gives an empty result; a source without a weight gets the least one; texts aren't read by `mixed`; extra columns,
+whatever their names, are ignored by it and stay in `in_mixed_order`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_memory, written
+from .common import carried, in_memory, uncarried, written
 
 PERIOD = 1000
 BLOCK = 32
@@ -41,16 +43,29 @@ def shares(counts: list[tuple[str, int]], weights: dict[str, float] | None = Non
 
 
 def schedule(spark, a: list[int], period: int) -> DataFrame:
-    """(s, nth, slot, before: blocks that each source has had before the slot) of one period."""
+    """(s, nth: of the source's blocks in the period, slot) of one period, found by P steps over the sources."""
     w = f"array({', '.join(f'{x}L' for x in a)})"
     pick = f"""array_min(filter(transform({w}, (w, j) -> if(st.served[j] * {period}L div w <= t, named_struct('due', ((st.served[j] + 1) * {period}L + w - 1) div w, 's', j), null)), x -> x is not null)).s"""
     steps = spark.sql(f"""select aggregate(sequence(0L, {period - 1}L), named_struct('served', transform({w}, x -> 0L), 'picked', cast(array() as array<int>)),
         (st, t) -> transform(array({pick}), p -> named_struct('served', transform(st.served, (v, j) -> v + if(j = p, 1L, 0L)), 'picked', concat(st.picked, array(p))))[0]).picked as picked""")
-    slots = steps.select(F.posexplode("picked").alias("slot", "s"))
-    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    had = [F.coalesce(F.sum((F.col("s") == k).cast("long")).over(before), F.lit(0).cast("long")) for k in range(len(a))]
-    placed = slots.select("s", F.col("slot").cast("long").alias("slot"), F.array(*had).alias("before"))
-    return placed.withColumn("nth", F.element_at("before", F.col("s") + 1))
+    nth = F.row_number().over(Window.partitionBy("s").orderBy("slot")) - 1
+    return steps.select(F.posexplode("picked").alias("slot", "s")).select("s", F.col("slot").cast("long").alias("slot"), nth.cast("long").alias("nth"))
+
+
+def _held(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if in_memory(rows) else df
+
+
+def _numbered(df: DataFrame, group: list[str], value, name: str) -> DataFrame:
+    """df, a written table whose `at` (monotonically_increasing_id) follows its order, with the sum of `value` over the rows of its
+    group before each. A row per group and task is summed up; within a task the sum runs along its rows."""
+    task = df.withColumn("task", F.shiftright("at", 33)).withColumn("_value", value)
+    along = Window.partitionBy(*group, "task").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    pieces = written(task.groupBy(*group, "task").agg(F.sum("_value").alias("_sum")).withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), none)).drop("_sum"))
+    run = task.withColumn("_run", F.coalesce(F.sum("_value").over(along), none))
+    return run.join(_held(pieces, pieces.count()), [*group, "task"]).withColumn(name, F.col("_offset") + F.col("_run")).drop("_value", "_run", "_offset", "task")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
@@ -63,18 +78,19 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, period: int
     if not counts:
         return order.select("doc_id", "source", *[F.lit(0).cast("long").alias(c) for c in ("block", "slot", "position")])
     a, period = shares([(k[1:], n) for k, n in counts], weights, period)
+    number = spark.createDataFrame([(k, i, n, w) for i, ((k, n), w) in enumerate(zip(counts, a, strict=True))], "key string, s int, n long, a long")
+    # ids of a task follow one another, so a rank is what earlier tasks hold of its source and how far it is from the task's first
     pieces = order.withColumn("task", F.shiftright("at", 33)).groupBy("key", "task").agg(F.count("*").alias("rows"), F.min("at").alias("first"))
     earlier = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = written(pieces.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0).cast("long"))).drop("rows"))
-    number = spark.createDataFrame([(k, i, n, w) for i, ((k, n), w) in enumerate(zip(counts, a, strict=True))], "key string, s int, n long, a long")
-    pieces = pieces.join(F.broadcast(number), "key")
-    pieces = F.broadcast(pieces) if in_memory(pieces.count()) else pieces
-    ranked = order.withColumn("task", F.shiftright("at", 33)).join(pieces, ["key", "task"]).withColumn("rank", F.expr("offset + at - first"))
-    turned = ranked.withColumn("block", F.expr(f"rank div {block}")).withColumn("turn", F.expr("block div a")).withColumn("nth", F.expr("block % a"))
-    placed = turned.join(F.broadcast(schedule(spark, a, period)), ["s", "nth"])
-    sizes, ratio = f"array({', '.join(f'{n}L' for _, n in counts)})", f"array({', '.join(f'{x}L' for x in a)})"
-    ahead = f"aggregate(zip_with(zip_with({ratio}, before, (w, b) -> {block}L * (turn * w + b)), {sizes}, (x, n) -> least(x, n)), 0L, (u, v) -> u + v)"
-    return placed.select("doc_id", "source", "block", F.expr(f"turn * {period}L + slot").alias("slot"), F.expr(f"{ahead} + rank % {block}L").alias("position"))
+    pieces = written(pieces.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0).cast("long"))).drop("rows").join(_held(number, len(counts)), "key"))
+    ranked = order.withColumn("task", F.shiftright("at", 33)).join(_held(pieces, pieces.count()), ["key", "task"]).withColumn("rank", F.expr("offset + at - first"))
+    ranked = ranked.withColumn("block", F.expr(f"rank div {block}")).withColumn("inside", F.expr(f"rank % {block}"))
+    # one row per block, in the order of slots
+    blocks = ranked.where("inside = 0").withColumn("nth", F.expr("block % a")).join(_held(schedule(spark, a, period), period), ["s", "nth"])
+    blocks = blocks.select("s", "block", F.expr(f"(block div a) * {period}L + slot").alias("slot"), F.expr(f"least({block}L, n - rank)").alias("size"))
+    blocks = written(blocks.repartitionByRange("slot").sortWithinPartitions("slot").withColumn("at", F.monotonically_increasing_id()))
+    placed = written(_numbered(blocks, [], F.col("size"), "ahead").select("s", "block", "slot", "ahead"))
+    return ranked.join(_held(placed, placed.count()), ["s", "block"]).select("doc_id", "source", "block", "slot", (F.col("ahead") + F.col("inside")).alias("position"))
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block: int = BLOCK) -> DataFrame:
@@ -82,6 +98,6 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, per
 
     doc_id says which row is which: of rows that repeat one, each takes the first of their positions, in any order."""
     places = written(mixed(docs, weights, period, block).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("position").alias("_position")))
-    places = F.broadcast(places) if in_memory(places.count()) else places
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").drop("_position")
+    whole = carried(docs, _id=F.col("doc_id").cast("long"))
+    placed = whole.join(_held(places, places.count()), F.col("_id").eqNullSafe(F.col("_doc")), "left")
+    return placed.repartitionByRange("_position").sortWithinPartitions("_position").transform(uncarried, docs.columns)
