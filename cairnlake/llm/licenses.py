@@ -1,32 +1,41 @@
 """License scans: an exact set-similarity join of text blocks with license templates, with DataFrame operations only.
 
-Texts are lower-cased (A-Z) and split into words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`); a block is a line. A block meets a
-template if it holds at least ceil(threshold x |T|) of the template's |T| distinct words. The join orders words by how often they
-occur in the whole corpus, and takes of each template only its prefix, the |T| - ceil(threshold x |T|) + 1 rarest words: a
-block without any of them can't meet it. A block must also have enough words (length filter), and the first prefix word that it
-holds must leave enough words behind it in the order (positional filter). What is left is verified on full sets.
+Texts are lower-cased (A-Z) and split into words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`). Blocks are windows of BLOCK words, one
+every BLOCK / 2, wherever lines end, so any BLOCK / 2 words in a row (a template's statement is no longer) stand in one block
+together. A block meets a template if it holds at least ceil(threshold x |T|) = need of the template's |T| distinct words. The words
+of all templates have one global order, by how often they occur in the whole corpus, rarest first; blocks and templates are lists of
+such words in this order. The join takes
 
-Templates are a few words each and are broadcast after a check of their number; beyond it they are joined by word. Besides, phrases
-(PHRASES) are found wherever their words stand consecutively.
+- of each template only its prefix, the |T| - need + 1 first words: a block without any of them can't meet it;
+- blocks with at least need words of the order (length filter);
+- pairs whose common word has enough words behind it on either side: 1 + min(|T| - i - 1, |block| - j - 1) >= need, with i and j
+  its places in both lists (positional filter).
 
-Cases: null texts are empty; rows with equal doc_id and text share their result; a text with no license has empty labels and
-score 0; extra columns are ignored.
+What is left is verified on full sets. Of the templates that a block meets, those count as its labels whose MARKS it holds, as
+statements of different licenses share most of their words. Besides, phrases (PHRASES) are found wherever their words stand
+consecutively. Each text is split twice: for the words' counts, and for all else.
+
+Templates are a parameter on the driver; prefixes are broadcast after a check of their number, and joined by word beyond it.
+
+Cases: null texts are empty; each row has its own result, whatever it repeats; an empty table gives an empty result; a text with no
+license has empty labels and score 0; texts of any length are scanned whole; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_text, in_memory, written
 
 THRESHOLD = 0.8
+#: Words of a block; a statement has half as many at most.
+BLOCK = 64
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: The same for texts that aren't lower-cased.
-_IN, _OUT = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Statements by which texts are put under a license.
 TEMPLATES = [
@@ -41,91 +50,104 @@ TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0"),
 ]
+#: Words that a block must hold, and mustn't, to have a label, besides enough of its template.
+MARKS = {
+    "agpl-3": ("affero", ""), "apache-2": ("apache", ""), "bsd-3": ("redistribution", ""), "cc-by-4": ("attribution", ""), "cc-by-nc": ("nc", ""),
+    "cc0": ("cc0", ""), "gpl-3": ("gnu", "affero"), "isc": ("fee", ""), "mit": ("mit", ""), "mpl-2": ("mozilla", ""),
+}
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, as far as words of ASCII are concerned: of other letters only the Kelvin sign has one of these as lower case."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains("\u212a"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-
-
-def global_order(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(word, n: times that it occurs in the corpus), for the words of templates; a row per word and task is shuffled.
-
-    Texts are split as they are; a word that full lower-casing turns into one of the vocabulary is it only if it has as many bytes."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), _OUT, -1)).alias("raw"))
-    same = words.withColumn("word", F.lower("raw")).where(F.col("word").isin(vocabulary) & (F.octet_length("word") == F.octet_length("raw")))
-    return same.groupBy("word").agg(F.count("*").alias("n"))
-
-
-def blocks_with(docs: DataFrame, rare: list[str]) -> DataFrame:
-    """(h: of id and text, block, words: distinct) of every line of the texts that hold one of the rare words."""
-    held = F.arrays_overlap(F.split(F.lower("text"), _OUT, -1), F.array(*map(F.lit, rare)))
-    lines = docs.where(F.col("text").isNotNull() & held).select(F.xxhash64("doc_id", "text").alias("h"), F.posexplode(F.split(lowered(F.col("text")), "\n", -1)).alias("block", "line"))
-    return lines.select("h", "block", F.array_distinct(word_list(F.col("line"))).alias("words"))
-
-
-def containment_join(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(h, block, label, containment) of every block and template that meet."""
-    spark = docs.sparkSession
-    sets = spark.createDataFrame(templates, "label string, statement string").select("label", F.array_distinct(word_list(lowered(F.col("statement")))).alias("words"))
-    sets = sets.withColumn("need", F.ceil(F.lit(threshold) * F.size("words") - 1e-9).cast("int"))
-    vocabulary = sorted({r.w for r in sets.select(F.explode("words").alias("w")).collect()})
-    order = global_order(docs, vocabulary)
-    ranked = sets.select("label", "words", "need", F.explode("words").alias("word")).join(order, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("label", "words").orderBy("n", "word")) - 1)
-    prefix = written(ranked.where(F.col("place") <= F.size("words") - F.col("need")).select("label", F.col("words").alias("template"), "need", "word", "place"))
-    rare = [r.word for r in prefix.select("word").distinct().collect()]  # at most the templates' words
-    blocks = blocks_with(docs, sorted(rare)).withColumn("word", F.explode(F.array_intersect("words", F.array(*map(F.lit, sorted(rare))))))
-    prefix = F.broadcast(prefix) if in_memory(len(rare) * len(templates)) else prefix
-    near = blocks.join(prefix, "word").where((F.size("words") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need")))
-    found = near.withColumn("both", F.size(F.array_intersect("template", "words"))).where("both >= need")
-    return found.groupBy("h", "block", "label").agg(F.max(F.col("both") / F.size("template")).alias("containment"))
-
-
-def phrase_pattern(phrase: str) -> str:
-    return f"(?<!{_IN})" + _OUT.join(f"(?i:{w})" for w in phrase.split()) + f"(?!{_IN})"
-
-
-def based(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, h, n_words, n_base, first_word, last_word, base (labels) by consecutive phrases.
-
-    Only texts that hold every word of a phrase, however cased, are searched for it."""
-    t = F.col("t")
-    src = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("t"))
-    count = lambda c: F.regexp_count(c, F.lit(_IN + "+")).cast("long")
-    src = src.withColumn("n_words", count(t)).withColumn("low", F.lower("t"))
-    total, firsts, lasts, labels = F.lit(0).cast("long"), [], [], []
-    for i, (phrase, label) in enumerate(PHRASES.items()):
-        words = sorted(phrase.split(), key=lambda w: (-len(w), w))
-        here = F.col("low").contains(words[0])
-        for w in words[1:]:
-            here = here & F.col("low").contains(w)
-        pieces = f"pieces{i}"
-        src = src.withColumn(pieces, F.when(here, F.split(t, phrase_pattern(phrase), -1)))
-        p = F.col(pieces)
-        hits = F.coalesce(F.size(p) - 1, F.lit(0))
-        total = total + hits
-        firsts.append(F.when(hits > 0, count(F.element_at(p, 1))))
-        lasts.append(F.when(hits > 0, F.col("n_words") - count(F.element_at(p, -1)) - len(words)))
-        labels.append(F.when(hits > 0, F.lit(label)))
-    return src.select("doc_id", "h", "n_words", total.cast("long").alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"))
-
-
-def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base (labels), labels (of both), blocks (line, label, containment), score."""
-    docs = id_text(docs)
-    met = containment_join(docs, templates, threshold).groupBy("h").agg(F.array_sort(F.collect_set(F.struct("block", "label", "containment"))).alias("blocks"))
-    found = based(docs).join(met, "h", "left")
-    return found.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", "base",
-        F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.col("blocks.label"), F.array().cast("array<string>"))))).alias("labels"),
-        F.coalesce("blocks", F.array().cast("array<struct<block:int,label:string,containment:double>>")).alias("blocks"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
-    )
+    return F.array_remove(F.split(lowered(text), _BETWEEN, -1), "")
+
+
+def statement_words(statement: str) -> list[str]:
+    """Distinct words in order of first place."""
+    return list(dict.fromkeys(re.findall(WORD, statement.lower())))
 
 
 def needed(statement_words: int, threshold: float = THRESHOLD) -> int:
     return math.ceil(threshold * statement_words - 1e-9)
+
+
+def global_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The words of templates, rarest in the corpus first, equal ones by word; a row per word and task is shuffled."""
+    words = docs.select(F.explode(word_list(F.col("text"))).alias("word")).where(F.col("word").isin(vocabulary))
+    seen = {r.word: r.n for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the templates' words
+    return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+
+
+def prefixes(spark, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(word, i, label, template, need): the prefix of each template, its words in the global order."""
+    rank = {w: k for k, w in enumerate(order)}
+    rows = []
+    for label, statement in templates:
+        words = sorted(statement_words(statement), key=rank.__getitem__)
+        need = needed(len(words), threshold)
+        rows += [(words[i], i, label, words, need) for i in range(len(words) - need + 1)]
+    return spark.createDataFrame(rows, "word string, i int, label string, template array<string>, need int")
+
+
+def scanned_words(docs: DataFrame, order: list[str], rare: list[str], least: int, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base (labels) by consecutive phrases, and blocks
+    (number, words: those of the order, in it) that hold one of the rare words and at least `least` of all."""
+    df = docs.select("doc_id", word_list(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    places, labels = [], []
+    for phrase, label in PHRASES.items():
+        words = phrase.split()
+        here = " and ".join(f"element_at(w, i + {k + 1}) = '{x}'" for k, x in enumerate(words))
+        at = F.expr(f"filter(sequence(0, int(n_words) - {len(words)}), i -> {here})").cast("array<bigint>")
+        places.append(F.when(F.array_contains("w", max(words, key=len)) & (F.col("n_words") >= len(words)), at).otherwise(F.array().cast("array<bigint>")))
+        labels.append(label)
+    step = block // 2
+    known = "array(" + ", ".join(f"'{x}'" for x in order) + ")"
+    cut = f"transform(sequence(0, int((n_words - 1) div {step})), b -> struct(b as block, array_intersect({known}, slice(w, b * {step} + 1, {block})) as words))"
+    some = "array(" + ", ".join(f"'{x}'" for x in rare) + ")"
+    blocks = F.when(F.expr(f"arrays_overlap(w, {some})"), F.expr(f"filter({cut}, x -> size(x.words) >= {least} and arrays_overlap(x.words, {some}))"))
+    df = df.select("doc_id", "n_words", *[p.alias(f"at{k}") for k, p in enumerate(places)], blocks.alias("blocks"))
+    every = F.concat(*[f"at{k}" for k in range(len(places))])
+    base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(x)) for k, x in enumerate(labels)]))))
+    return df.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"), base.alias("base"), "blocks")
+
+
+def candidates(blocks: DataFrame, prefix: DataFrame, positional: bool = True) -> DataFrame:
+    """Pairs of a block (its columns, with words in the global order) and a template that share a prefix word and pass the filters."""
+    pairs = blocks.select("*", F.posexplode("words").alias("j", "word")).join(prefix, "word").where("size(words) >= need")
+    return pairs.where("1 + least(size(template) - i - 1, size(words) - j - 1) >= need") if positional else pairs
+
+
+def containment_join(blocks: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(rid, block, label, containment) of every block (rid, block, words) and template that meet."""
+    found = candidates(blocks, prefix).withColumn("both", F.size(F.array_intersect("template", "words"))).where("both >= need")
+    return found.groupBy("rid", "block", "label").agg(F.max(F.col("both") / F.size("template")).alias("containment"), F.first("words").alias("words"))
+
+
+def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, marks: dict[str, tuple[str, str]] = MARKS, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base (labels), labels (of both), blocks (number, label, containment), score."""
+    docs = id_text(docs)
+    sets = [statement_words(s) for _, s in templates]
+    if any(len(re.findall(WORD, s.lower())) > block // 2 for _, s in templates):
+        raise ValueError(f"a statement of more than {block // 2} words needs larger blocks")
+    order = global_order(docs, sorted({w for s in sets for w in s}))
+    prefix = prefixes(docs.sparkSession, order, templates, threshold)
+    rare = sorted({w for (_, s), d in zip(templates, sets, strict=True) for w in sorted(d, key=order.index)[: len(d) - needed(len(d), threshold) + 1]})
+    # a number of each row that stays, as the table is written
+    rows = written(scanned_words(docs, order, rare, min(needed(len(s), threshold) for s in sets), block).withColumn("rid", F.monotonically_increasing_id()))
+    blocks = rows.where(F.size("blocks") > 0).select("rid", F.explode("blocks").alias("x")).select("rid", "x.block", "x.words")
+    met = containment_join(blocks, F.broadcast(prefix) if in_memory(sum(map(len, sets))) else prefix)
+    own = F.lit(False)
+    for label, (must, mustnt) in marks.items():
+        own = own | ((F.col("label") == label) & F.array_contains("words", must) & (~F.array_contains("words", mustnt) if mustnt else F.lit(True)))
+    met = met.where(own | ~F.col("label").isin(list(marks))).groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("block", "label", "containment"))).alias("met"))
+    return rows.drop("blocks").join(met, "rid", "left").select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base",
+        F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.col("met.label"), F.array().cast("array<string>"))))).alias("labels"),
+        F.coalesce("met", F.array().cast("array<struct<block:int,label:string,containment:double>>")).alias("blocks"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("met.containment"), F.lit(0.0))).alias("score"),
+    )

@@ -177,23 +177,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 _STATEMENTS = ", ".join(f"('{label}', regexp_extract_all('{text}', {_WORDS}))" for label, text in licenses.TEMPLATES)
+_MARKS = ", ".join(f"('{label}', '{must}', '{mustnt}')" for label, (must, mustnt) in licenses.MARKS.items())
 _PHRASES = ", ".join(f"('{label}', {text.split()!r})" for text, label in licenses.PHRASES.items())
 
 
 @query(
     "op8_license_set_join",
-    f"""with dw as (select doc_id, regexp_extract_all({_LOWER}, {_WORDS}) w, string_split({_LOWER}, chr(10)) lines from documents),
+    f"""with dw as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER}, {_WORDS}) w from documents),
+    marks(label, must, mustnt) as (values {_MARKS}),
     phrases(label, p) as (values {_PHRASES}),
-    places as (select doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) i from dw, phrases),
-    base as (select doc_id, count(*) n, min(i) f, max(i) l, string_agg(distinct label, ',' order by label) b from places group by doc_id),
+    places as (select rid, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) i from dw, phrases),
+    base as (select rid, count(*) n, min(i) f, max(i) l, string_agg(distinct label, ',' order by label) b from places group by rid),
     templates(label, t) as (select label, list_distinct(t) from (values {_STATEMENTS}) v(label, t)),
-    lines as (select doc_id, list_distinct(regexp_extract_all(unnest(lines), {_WORDS})) x from dw),
-    met as (select doc_id, label, len(list_intersect(x, t)) / len(t) c from lines, templates where len(list_intersect(x, t)) >= ceil(0.8 * len(t) - 1e-9)),
-    every as (select doc_id, label from met union select doc_id, label from places),
-    named as (select doc_id, string_agg(label, ',' order by label) a from every group by doc_id),
-    best as (select doc_id, max(c) c from met group by doc_id)
+    blocks as (select rid, list_distinct(w[32 * b + 1 : 32 * b + 64]) x from (select rid, w, unnest(range(0, (len(w) + 31) // 32)) b from dw)),
+    met as (select rid, label, len(list_intersect(x, t)) / len(t) c from blocks, templates join marks using (label) where len(list_intersect(x, t)) >= ceil(0.8 * len(t) - 1e-9) and list_contains(x, must) and not list_contains(x, mustnt)),
+    every as (select rid, label from met union select rid, label from places),
+    named as (select rid, string_agg(label, ',' order by label) a from every group by rid),
+    best as (select rid, max(c) c from met group by rid)
     select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_base, f first_word, l last_word, coalesce(b, '') base_labels, coalesce(a, '') labels, case when n > 0 then 1.0::double else coalesce(c, 0.0)::double end score
-    from dw d left join base using (doc_id) left join named using (doc_id) left join best using (doc_id)""",
+    from dw d left join base using (rid) left join named using (rid) left join best using (rid)""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents"))

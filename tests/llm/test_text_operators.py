@@ -376,29 +376,71 @@ def test_substring_edge_cases(spark):
 # licenses
 
 
+def brute_blocks(text):
+    w = words(text)
+    return [set(w[i : i + 64]) for i in range(0, len(w), 32)]
+
+
+def brute_licenses(text):
+    """(n_words, n_base, first, last, base labels, all labels, score)."""
+    w, places, labels = words(text), [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    met = []
+    for block in brute_blocks(text):
+        for label, statement in licenses.TEMPLATES:
+            t, (must, mustnt) = set(words(statement)), licenses.MARKS[label]
+            if 10 * len(t & block) >= 8 * len(t) and must in block and mustnt not in block:
+                met.append((label, len(t & block) / len(t)))
+    return len(w), len(places), min(places, default=None), max(places, default=None), sorted(labels), sorted(labels | {x for x, _ in met}), 1.0 if places else max([c for _, c in met], default=0.0)
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [w for _, t in licenses.TEMPLATES for w in words(t)] + ["noise"] * 20
     lines = [t.title() for _, t in licenses.TEMPLATES] + [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
-    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(5)))) for i in range(100, 180)] + [d for d in ODD if d[0] != 7]
-    docs += [(90, "Under  the-MIT license; under the mit license. Underthe mit license"), (91, "CC BY-NC"), (92, "Apache License, Version 2.0"), (93, "Kind under the mit licenseé")]
-    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(docs, SCHEMA)).collect()}
-    sets = [(label, set(words(t))) for label, t in licenses.TEMPLATES]
-    for d, t in docs:
-        w, places, labels = words(t), [], set()
-        for phrase, label in licenses.PHRASES.items():
-            p = phrase.split()
-            at = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
-            places += at
-            labels |= {label} if at else set()
-        met = [(label, len(s & set(words(line))) / len(s)) for line in (t or "").split("\n") for label, s in sets if len(s & set(words(line))) >= licenses.needed(len(s))]
-        r = got[d]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
-        assert list(r.base) == sorted(labels) and list(r.labels) == sorted(labels | {x for x, _ in met})
-        assert r.score == pytest.approx(1.0 if places else max([c for _, c in met], default=0.0))
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(5)))) for i in range(100, 180)] + ODD
+    docs += [(90, "Under  the-MIT license; under the mit license. Underthe mit license"), (91, "CC BY-NC"), (92, "Apache License, Version 2.0"), (93, "Kind under the mit licenseé"), (94, "wor\u212a under the mit license \u0130"), (95, "x " * 40_000 + "under the mit license " + "y " * 40_000)]
+    clash = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as w", "2 as rid", "3 as n_words", "4 as blocks")
+    got = licenses.scanned(clash).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, str(r))
+    mine = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, list(r.base), list(r.labels), round(r.score, 9)) for r in got), key=key)
+    want = sorted(((d, *brute_licenses(t)[:-1], round(brute_licenses(t)[-1], 9)) for d, t in docs), key=key)
+    assert mine == want
     assert licenses.scanned(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_license_statements_in_their_usual_layout(spark):
+    """Headers that wrap, one license each; and statements that differ from a template in the word that matters."""
+    texts = {
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that",
+        "bsd-3": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy",
+        "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
+        "agpl-3": "Licensed under the GNU Affero General\n\nPublic License version 3",
+        "": "Released under the BSD License. Licensed under CC BY 4.0.",
+    }
+    docs = [(i, t) for i, t in enumerate(texts.values())] + [(50 + i, " ".join(["word"] * (31 + 7 * i)) + " " + t) for i, t in enumerate(texts.values())]
+    got = {r.doc_id: ",".join(r.labels) for r in licenses.scanned(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for i, label in enumerate(texts):
+        assert got[i] == label and got[50 + i] == label
+
+
+def test_the_positional_filter_removes_candidates(spark):
+    order = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l"]
+    prefix = licenses.prefixes(spark, order, [("one", "a b c d e f g h i j")], 0.8)  # need 8, prefix a b c
+    rows = [("meets", list("abcdefgh")), ("late", list("cdefghijkl")), ("behind", list("bcdefgkl")), ("few", list("abc"))]
+    blocks = spark.createDataFrame(rows, "rid string, words array<string>").selectExpr("*", "0 as block")
+    loose = {(r.rid, r.word) for r in licenses.candidates(blocks, prefix, positional=False).select("rid", "word").collect()}
+    tight = {(r.rid, r.word) for r in licenses.candidates(blocks, prefix).select("rid", "word").collect()}
+    assert loose == {("meets", "a"), ("meets", "b"), ("meets", "c"), ("late", "c"), ("behind", "b"), ("behind", "c")}
+    assert tight == {("meets", "a"), ("late", "c"), ("behind", "b")}
+    assert {(r.rid, r.containment) for r in licenses.containment_join(blocks, prefix).collect()} == {("meets", 0.8), ("late", 0.8)}
+
+
 # mixing
 
 
