@@ -33,9 +33,9 @@ from .rans import Codec, image, parsed, quantised
 
 BLOCK = 1 << 16
 #: Words whose ids a worker keeps, and places of its table (24 bytes each).
-KEPT_WORDS, SLOTS = 700_000, 1 << 20
+KEPT_WORDS, SLOTS = 1_400_000, 1 << 21
 #: Text bytes that are split into words at once.
-PART = 1 << 20
+PART = 2 << 20
 _BLOCKS = "shard long, block long, place long, tokens long, image binary"
 
 
