@@ -163,8 +163,11 @@ _FOUND_PII = " union all ".join(f"select *, {k} k from ({_placed('d', 't', patte
     together as (select entity, t, count(distinct rid) co from near group by entity, t having count(distinct rid) >= 2),
     df as (select t, count(*) df from (select distinct rid, unnest(list_filter(regexp_extract_all(lower(t), '{_RUN}'), lambda x: length(x) >= 4)) t from d) group by t),
     n as (select count(*) n from d),
-    told as (select entity, t from together join df_e using (entity) join df using (t), n where df_e < n and ln(n * co / (df * df_e)) / ln(n / df_e) >= 0.85),
-    spans as (select rid, s, k, e from base union all select distinct rid, s, 4, e from near join told using (entity, t)),
+    told as (select distinct t from together join df_e using (entity) join df using (t), n where df_e < n and ln(n * co / (df * df_e)) / ln(n / df_e) >= 0.85),
+    pieces as (select rid, m[i] v, p[i] q, i from (select *, unnest(range(1, len(m) + 1)) i from (select rid, regexp_extract_all(t, '{_RUN}') m, string_split_regex(t, '{_RUN}') p from d where regexp_matches(t, '{_RUN}')))),
+    every as (select rid, lower(v) t, length(v) w, (sum(length(q) + length(v)) over (partition by rid order by i rows unbounded preceding))::bigint e from pieces),
+    marked as (select rid, e - w s, e from every e join told using (t) where w >= 4 and not exists (select 1 from base b where b.rid = e.rid and e.e - e.w < b.e and b.s < e.e)),
+    spans as (select rid, s, k, e from base union all select distinct rid, s, 4, e from marked),
     lists as (select rid, count(*) filter (k = 0) n_email, count(*) filter (k = 1) n_ip, count(*) filter (k = 2) n_card, count(*) filter (k = 3) n_phone,
         string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) filter (k < 4) b, string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e) a from spans group by rid)
     select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone, sha256(coalesce(b, '')) base_sha256, coalesce(a, '') spans from d left join lists using (rid)""",

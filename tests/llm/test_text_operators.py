@@ -222,6 +222,55 @@ def test_disclosing_terms(spark):
     assert one.spans == "email:0:8"
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    """Far from the entity, in texts without it, in any case; not where a word touches a base span."""
+    near = [(i, f"write zorblax at me@x.org {i}") for i in range(9)]
+    far = [(20, "me@x.org " + "far " * 100 + "and Zorblax"), (21, "ZORBLAX alone, zorblaxian not"), (22, "zorblax@y.org"), (22, "zorblax@y.org")]
+    docs = near + far + [(100 + i, f"some words number{i}") for i in range(400)]
+    got = {}
+    for r in pii.report(spark.createDataFrame(docs, SCHEMA)).collect():
+        got.setdefault(r.doc_id, set()).add(r.spans)
+    assert got[20] == {f"email:0:8,term:{9 + 400 + 4}:{9 + 400 + 11}"}
+    assert got[21] == {"term:0:7"}
+    assert got[22] == {"email:0:13"}
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert clean[21].lower() in (" alone, zorblaxian not", "[term] alone, zorblaxian not") and clean[22] == "[EMAIL]"
+    assert clean[100] == docs[13][1]
+
+
+def test_many_spans_in_one_text_take_linear_work(spark):
+    """20,000 addresses, and one text of a million code points."""
+    import time
+
+    text = " ".join(f"word{i % 7} user{i}@host.org" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 500_000 + " 1.2.3.4 " + "é " * 250_000), (3, None)], SCHEMA + "").selectExpr("*", "'t' as h", "'u' as base", "1 as rid")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert (got[1].n_email, got[2].n_ip, got[3].spans) == (20_000, 1, "")
+    assert time.time() - began < 240
+
+
+def test_very_long_texts_are_sanitised(spark):
+    long = "x" * 500_000 + " 1.2.3.4 " + "é " * 250_000
+    docs = spark.createDataFrame([(1, " ".join(f"user{i}@host.org" for i in range(3000))), (2, long)], SCHEMA)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 3000) and clean[2] == long.replace("1.2.3.4", "[IP]")
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="0123456789a@.+- é\n", max_size=1500), min_size=5, max_size=12))
+def test_sanitised_equals_a_plain_loop(spark, texts):
+    got = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(list(enumerate(texts)), SCHEMA), support=10**6).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for span in filter(None, brute_spans(text).split(",")):
+            kind, start, end = span.split(":")
+            if int(start) >= at:
+                out += text[at : int(start)] + f"[{kind.upper()}]"
+            at = max(at, int(end))
+        assert got[i] == out + text[at:]
+
+
 # fingerprints
 
 
