@@ -233,6 +233,13 @@ def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
 
+def ranges(docs: DataFrame, each: int = 64 << 20) -> int:
+    """How many ranges to sort docs into: as many as shuffles have partitions, and more if one would hold over `each` bytes of what is read."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // each if size < 1 << 60 else 0)
+
+
 def in_memory(n_rows: int, most: int = 2_000_000) -> bool:
     """Whether a table of so many ids (16 bytes each) is small enough to be broadcast."""
     return n_rows <= most

@@ -5,12 +5,14 @@ sequence; none: the empty set, linked with nothing). Two documents are linked if
 
 Steps: (1) one Python pass makes, per document, a hash of the set, a signature of 256 bins and its band keys; (2) equal sets
 become one class, found by partial aggregation, so a group of copies of any size costs one row; (3) classes that share a band
-form a bucket, whose hub is the member with most bucket companions; hub-member edges are confirmed on full sets; (4) members
-that their hub didn't confirm are compared by size and signatures with the rest of the bucket, in blocks of bounded size, and pairs
-that may reach the threshold (five standard deviations of slack) are confirmed on full sets; (5) components of confirmed edges.
+form a bucket, whose hub is the member with most bucket companions; hub-member edges are confirmed on full sets; (4) so that stars
+lose no link, members that their hub didn't confirm are compared by size and signatures with the rest of the bucket, in blocks of
+bounded size, and pairs that may reach the threshold (five standard deviations of slack) are confirmed on full sets; a bucket of n
+members with u unconfirmed ones costs u x n such comparisons, and its rows are copied u / BLOCK times; (5) components of confirmed edges.
 
 Cases: null ids are linked with nothing (component_id null, kept); rows that repeat an id give one result row each, in the
-component of its own text; ties take the smallest id; extra columns are ignored. A class is named by its smallest id; if several
+component of its own text; ties take the smallest id; an empty table gives an empty result; texts of any length are hashed whole, alone
+if they exceed a shard; extra columns, whatever their names, are ignored (near_duplicates) or kept (near_dedup). A class is named by its smallest id; if several
 classes have the same one, each is named by a hash of its set. near_dedup removes by id and text, and leaves one row of a component.
 """
 
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, SPACED, U64, flat, id_text, in_memory, list_column, mix, shards, span_hash, words, written
+from .common import ODD, SPACED, U64, carried, discard, flat, id_text, in_memory, list_column, mix, shards, span_hash, uncarried, words, written
 from .graph import components
 
 BINS = 256
 #: Bins of the signature that pairs are compared by before their full sets are: 2^WIDE_BITS, none filled from another.
 WIDE_BITS = 10
-#: Members of a bucket that one task compares with one another.
-BLOCK = 2048
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 1024
 #: Edges of one hub that one task confirms.
 SALT = 1000
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -136,7 +138,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), list_column(s.view(np.int64), bounds, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary())], names=["node", "shingles", "wide"])
 
     wanted = docs.withColumn("text_h", F.xxhash64("text")).join(F.broadcast(nodes) if in_memory(nodes.count()) else nodes, ["doc_id", "text_h"]).select("node", "text")
-    return written(wanted.mapInArrow(run, "node long, shingles array<long>, wide binary")).dropDuplicates(["node"])
+    return written(wanted.mapInArrow(run, "node long, shingles array<long>, wide binary"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,14 +158,13 @@ def _alike(percent: int):
     least = int(BINS * p - 5.5 * math.sqrt(BINS * p * (1 - p)))
 
     def run(t: pa.Table) -> pa.Table:
-        chunk, node, near, n = (t.column(c).to_numpy() for c in ("chunk", "node", "near", "n"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        asks, node, near, n = (t.column(c).to_numpy() for c in ("asks", "node", "near", "n"))
         sig, wide = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("sig", "wide"))
-        x, y = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
         out_a, out_b = [], []
         for k in x:
-            maybe = y[(node[y] > node[k]) if i == j else (node[y] != node[k])]
-            maybe = maybe[~(near[maybe] & near[k]) & (np.minimum(n[maybe], n[k]) >= p * np.maximum(n[maybe], n[k]) - 1e-9)]
+            maybe = y[(node[y] > node[k]) | (near[y] & (node[y] != node[k]))]  # two that ask meet once
+            maybe = maybe[np.minimum(n[maybe], n[k]) >= p * np.maximum(n[maybe], n[k]) - 1e-9]
             maybe = maybe[(sig[maybe] == sig[k]).sum(1) >= least] if len(maybe) else maybe
             if not len(maybe):
                 continue
@@ -205,18 +206,26 @@ def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, Dat
     degree = written(at.groupBy("node").agg(F.sum("size").alias("degree")))
     hubs = at.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     placed = written(at.join(hubs, ["band", "key"]))
-    sets = full_sets(docs.where("doc_id is not null"), written(heads.select("doc_id", "text_h", "node").join(degree.select("node"), "node", "left_semi")))
+    shingled = full_sets(docs.where("doc_id is not null"), written(heads.select("doc_id", "text_h", "node").join(degree.select("node"), "node", "left_semi")))
+    sets = shingled.dropDuplicates(["node"])
     first = written(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     star = written(confirmed(first, sets, percent))
-    # what the hub didn't confirm meets the rest of its bucket, block by block
+    # what the hub didn't confirm asks all of its bucket, block by block; what it confirmed doesn't ask
     near = placed.join(star.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("ok")), ["hub", "node"], "left")
     near = near.withColumn("near", F.coalesce("ok", F.col("node") == F.col("hub"))).drop("ok")
-    mixed = near.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0 and n > 2").select("band", "key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("chunks"))
+    mixed = near.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0 and n > 2").select("band", "key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("all_blocks"), F.expr(f"cast(ceil(left / {BLOCK}) as int)").alias("asking_blocks"))
     sig = heads.select("node", "sig", F.col("n_shingles").alias("n")).join(sets.select("node", "wide"), "node")
-    rest = near.select("band", "key", "node", "near").join(mixed, ["band", "key"]).join(sig, "node").withColumn("chunk", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    blocks = rest.select("band", "key", "node", "near", "n", "sig", "wide", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
-    more = written(blocks.groupBy("band", "key", "i", "j").applyInArrow(_alike(percent), "a long, b long").distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    return members, star.unionByName(confirmed(more, sets, percent)), classes.select("node", "class")
+    rest = near.select("band", "key", "node", "near").join(mixed, ["band", "key"]).join(sig, "node")
+    own = lambda blocks: F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)")
+    every = lambda blocks: F.explode(F.expr(f"sequence(0, {blocks} - 1)"))
+    sides = ["band", "key", "node", "near", "n", "sig", "wide"]
+    asking = rest.where(~F.col("near")).select(*sides, F.lit(True).alias("asks"), own("asking_blocks").alias("i"), every("all_blocks").alias("j"))
+    asked = rest.select(*sides, F.lit(False).alias("asks"), own("all_blocks").alias("j"), every("asking_blocks").alias("i"))
+    found = asking.unionByName(asked).groupBy("band", "key", "i", "j").applyInArrow(_alike(percent), "a long, b long").distinct()
+    more = written(found.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    edges = written(star.unionByName(confirmed(more, sets, percent)))
+    discard(docs.sparkSession, at, degree, placed, first, star, more, shingled)
+    return members, edges, classes.select("node", "class")
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
@@ -247,12 +256,11 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = rows.where(~F.col("kept")).select("doc_id", "text_h").unionByName(again.where("text_h <> least").select("doc_id", "text_h"))
     gone = written(gone.distinct().toDF("_gone", "_gone_h"))
     equal = written(again.where("text_h = least").groupBy("doc_id", "text_h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone"), F.col("text_h").alias("_gone_h")))
-    same = (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_h"))
-    left = docs.join(held(gone), same, "left_anti")
+    whole = carried(docs, _id=F.col("doc_id").cast("long"), _h=F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("_id") == F.col("_gone")) & (F.col("_h") == F.col("_gone_h"))
+    left = whole.join(held(gone), same, "left_anti")
     if equal.isEmpty():
-        return left
+        return uncarried(left, docs.columns)
     # rows of equal id and text become one, the first by all its columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(held(equal), same, "left_semi").select(F.col("doc_id").alias("_gone"), F.xxhash64(F.col("text").cast("string")).alias("_gone_h"), whole.alias("_row"))
-    one = one.groupBy("_gone", "_gone_h").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
-    return left.join(held(equal), same, "left_anti").unionByName(one)
+    one = whole.join(held(equal), same, "left_semi").groupBy("_id", "_h").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return uncarried(left.join(held(equal), same, "left_anti").select("_row").unionByName(one.select("_row")), docs.columns)

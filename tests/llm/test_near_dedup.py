@@ -91,7 +91,7 @@ def test_edge_cases(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
-    docs = spark.createDataFrame([(1, "a b c d e f", "x", 5), (2, "a b c d e f", None, 6), (3, "other words", "y", 7)], SCHEMA + ", node string, kept int")
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 5), (2, "a b c d e f", None, 6), (3, "other words", "y", 7)], SCHEMA + ", node string, kept int").selectExpr("*", "1 as _gone", "2 as _row", "3 as _id", "4 as `a.b`")
     kept = near_dedup.near_dedup(docs, 80)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 3}
 
@@ -120,6 +120,58 @@ def test_random_small_texts(spark, texts):
     check(spark, list(enumerate(texts)))
 
 
+def exact_join(docs, percent):
+    """Links between different texts by a prefix filter over words sorted by how rare their shingles are: (smallest ids of both texts)."""
+    from collections import Counter, defaultdict
+
+    classes = {}
+    for d, t in sorted(docs):
+        if s := shingles(t):
+            classes.setdefault(s, d)
+    freq = Counter(x for s in classes for x in s)
+    index, links, checked = defaultdict(list), set(), set()
+    for s, d in sorted(classes.items(), key=lambda c: len(c[0])):
+        order = sorted(s, key=lambda x: (freq[x], x))
+        prefix = order[: len(s) - -(-len(s) * percent // 100) + 1]
+        for x in prefix:
+            for o, od in index[x]:
+                if (od, d) not in checked and 100 * len(o) >= percent * len(s):
+                    checked.add((od, d))
+                    if 100 * len(s & o) >= percent * len(s | o):
+                        links.add((min(d, od), max(d, od)))
+        for x in prefix:
+            index[x].append((s, d))
+    return classes, links
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_equal_an_exact_join_over_all_documents(spark, percent):
+    """Recall over sf0.1 (10,000 documents): every component is that of the exact join."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+    classes, links = exact_join(docs, percent)
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in sorted(links):
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    want = {d: find(classes[s]) if (s := shingles(t)) else d for d, t in docs}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, percent).collect()}
+    assert got == want and len(links) > 20
+
+
+def test_words_that_cancel_out_in_polynomials(spark):
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    check(spark, [(1, a), (2, b), (3, f"{a} x y z u v"), (4, f"{b} x y z u v")])
+
+
 def test_no_pair_at_the_threshold_is_missed_by_bands():
     for percent in (80, 85, 90):
         rows, bands = near_dedup.band_shape(percent)
