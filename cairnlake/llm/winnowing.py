@@ -3,7 +3,11 @@
 Every K consecutive code points are hashed by a rolling polynomial; of every WINDOW consecutive hashes the least is chosen, the
 rightmost of equal ones, and kept with its place. Two texts that share WINDOW + K - 1 code points share a chosen hash. A text of
 fewer than K code points has one hash, of all of it; with fewer than WINDOW hashes the least of all is chosen; an empty or null
-text has none. Likeness is the Jaccard similarity of two fingerprints' sets of hashes (1 if both are empty).
+text has none. Likeness is the Jaccard similarity of two fingerprints' sets of hashes (1 if both are empty). Hashes have 31 bits.
+
+Cases: a null text is empty; null ids come after all others in the order of documents; rows that repeat an id follow one another, by
+text; an empty table gives an empty result; texts of any length are hashed whole, alone if they exceed a shard; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, id_text, list_column, mix, shards
+from .common import U64, id_text, list_column, mix, ranges, shards
 
-K = 16
-WINDOW = 48
+#: Texts that share K + WINDOW - 1 = 31 code points share a hash.
+K = 12
+WINDOW = 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -46,7 +51,7 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def fingerprints(texts: list[np.ndarray], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, places, bounds): the chosen 32-bit hashes of text i, in order of place, are hashes[bounds[i]:bounds[i + 1]]. texts: code points."""
+    """(hashes, places, bounds): the chosen 31-bit hashes of text i, in order of place, are hashes[bounds[i]:bounds[i + 1]]. texts: code points."""
     sizes = np.array([len(t) for t in texts], np.int64)
     n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))  # hashes of each text
     codes = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint32)
@@ -148,8 +153,7 @@ def compared(docs: DataFrame, parts: int | None = None, k: int = K, window: int
     The edited text is the document with its last floor(n_chars / 2) code points replaced by the first as many of the next one's.
     One shuffle deals the documents out in order; each task then streams over its range.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or ranges(docs)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last own document so far, whose successor is still to come
