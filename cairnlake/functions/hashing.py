@@ -59,15 +59,20 @@ def prefix(chunk_id: Column) -> Column:
     return F.substring(chunk_id, 1, 2)
 
 
-def hash_streams(chunks: Iterator[bytes], algorithm: str = "sha256") -> str:
-    """The id of bytes that come in pieces."""
+def hasher(algorithm: str = "sha256"):
+    """An object with update(bytes) and hexdigest(), whose memory doesn't grow with the input."""
     if algorithm == "blake3":
         from . import blake3
 
-        return blake3.digest(b"".join(chunks)).hex()
+        return blake3.Hasher()
     import hashlib
 
-    h = hashlib.sha256()
+    return hashlib.sha256()
+
+
+def hash_streams(chunks: Iterator[bytes], algorithm: str = "sha256") -> str:
+    """The id of bytes that come in pieces."""
+    h = hasher(algorithm)
     for c in chunks:
         h.update(c)
     return h.hexdigest()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pathfilter import PathFilter
 from ..schema import ChunkNotFound, ChunkParams
+from ..sources import http
+from . import origin, transfer
 from . import seed as seeds
 from .chunking import blob_payloads, chunk_refs, dedup_counters, with_chunks
-from .listing import LEAVES
+from .listing import LEAVES, union_refs
 from .store import Store
 
 
@@ -83,29 +86,51 @@ def make(blob: DataFrame, store: Store | None, params: ChunkParams | None = None
     return entry, counts | ({"seed_reused": False} if same is not None else {}) | ({"dry_run": True} if dry_run else {})
 
 
-def push(listings: list[DataFrame], local: Store, remote: Store, scope: PathFilter = PathFilter(), dry_run: bool = False) -> dict:
-    """Adds to remote the chunks of the listings that it lacks; what isn't local fails. A dry run counts what would be uploaded."""
-    from . import transfer
-    from .listing import union_refs
-
-    refs = union_refs([e.where(F.col("kind").isin(*LEAVES) & scope.allows(F.col("path"))) for e in listings])
-    outcomes = transfer.push_outcomes(refs, local.ids(), remote.ids())
-    report = transfer.outcome_report(outcomes, "uploaded", len(listings), dry_run).first().asDict()
-    if not dry_run:
-        todo = outcomes.where("outcome = 'uploaded'").select("chunk_id")
-        remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
-    return report
-
-
-def pull(listings: list[DataFrame], local: Store, remote: Store, scope: PathFilter = PathFilter(), dry_run: bool = False) -> dict:
-    """Adds to local the chunks of the listings that it lacks, from remote."""
-    from . import transfer
-    from .listing import union_refs
-
-    refs = union_refs([e.where(F.col("kind").isin(*LEAVES) & scope.allows(F.col("path"))) for e in listings])
-    outcomes = transfer.pull_outcomes(refs, local.ids(), remote.ids())
-    report = transfer.outcome_report(outcomes, "fetched", len(listings), dry_run).first().asDict()
-    if not dry_run:
-        todo = outcomes.where("outcome = 'fetched'").select("chunk_id")
-        local.put(remote.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
-    return report
+def _refs(listings: list[DataFrame], scope: PathFilter) -> DataFrame:
+    return union_refs([e.where(F.col("kind").isin(*LEAVES) & scope.allows(F.col("path"))) for e in listings])
+
+
+def _settled(report: dict, listings: list[DataFrame], at, verify: bool, dry_run: bool, what: str, algorithm: str) -> dict:
+    """report, with `verified`: listings that were read back whole and hashed, however small the scope was; null where nothing was moved or a chunk failed."""
+    if not verify:
+        return report
+    return report | {"verified": origin.check_verified(listings, at, what, algorithm) if report["ok"] and not dry_run else None}
+
+
+def push(listings: list[DataFrame], local: Store, remote: Store | http.Endpoint, scope: PathFilter = PathFilter(), dry_run: bool = False, verify: bool = False, method: str = "PUT") -> dict:
+    """Adds to remote (a store, or an endpoint) the chunks of the listings that it lacks; what isn't local fails. A dry run counts what
+    would be uploaded. verify: after a push without failure, the whole listings are read back from remote (ChunkCorrupt)."""
+    refs = _refs(listings, scope)
+    if isinstance(remote, Store):
+        at = origin.StoreOrigin(remote)
+        outcomes = transfer.push_outcomes(refs, local.ids(), remote.ids()).persist()
+        report = transfer.outcome_report(outcomes, "uploaded", len(listings), dry_run).first().asDict()
+        if not dry_run:
+            todo = outcomes.where("outcome = 'uploaded'").select("chunk_id")
+            remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
+        outcomes.unpersist()
+    else:
+        at = origin.HttpOrigin(remote)
+        if dry_run:
+            report = transfer.outcome_report(transfer.push_outcomes(refs, local.ids(), at.has(refs)), "uploaded", len(listings), True).first().asDict()
+        else:
+            report = origin.upload(listings, local, remote, refs, method)[1].first().asDict()
+    return _settled(report, listings, at, verify, dry_run, "push", local.algorithm)
+
+
+def pull(listings: list[DataFrame], local: Store, remote: Store | http.Endpoint | origin.Origin, scope: PathFilter = PathFilter(), dry_run: bool = False, verify: bool = False) -> dict:
+    """Adds to local the chunks of the listings that it lacks, from remote: a store, an endpoint or any origin. verify: after a pull without
+    failure, the whole listings are read back from local (ChunkCorrupt)."""
+    at = origin.StoreOrigin(remote) if isinstance(remote, Store) else origin.HttpOrigin(remote) if isinstance(remote, http.Endpoint) else remote
+    refs = _refs(listings, scope)
+    if dry_run:
+        there = refs if isinstance(at, origin.HttpOrigin) else at.has(refs)
+        return transfer.outcome_report(transfer.pull_outcomes(refs, local.ids(), there), "fetched", len(listings), True).first().asDict() | ({"verified": None} if verify else {})
+    ids = refs.select("chunk_id").distinct()
+    lacking = ids.join(local.ids().select("chunk_id"), "chunk_id", "left_anti")
+    got = at.read(lacking).persist(StorageLevel.DISK_ONLY)
+    failures = got.select("chunk_id", F.when(F.col("outcome") == "failed_transient", "transient").when(F.col("outcome") == "failed_permanent", "permanent").alias("error_class")).where("error_class is not null")
+    report = transfer.outcome_report(transfer.pull_outcomes(refs, local.ids(), got.where("outcome <> 'missing'"), failures), "fetched", len(listings)).first().asDict()
+    local.put(origin.payloads(got), counted=False)
+    got.unpersist()
+    return _settled(report, listings, origin.StoreOrigin(local), verify, False, "pull", local.algorithm)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_streams
+from ..functions.hashing import hash_streams, hasher
 from ..functions.paths import check_path
 from ..schema import CairnError
 from .chunking import chunk_refs
@@ -19,7 +19,8 @@ from .listing import lookup_file
 def pieces(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """References of files with their payload (null: not stored): path, ord, start_offset, end_offset, length, chunk_id, payload.
 
-    stored: chunk_id, payload. AQE splits a chunk that very many files share."""
+    stored: chunk_id, payload. The payload of a chunk that very many files share is sent once for each; the join is split where its
+    references are skewed (AQE), which sees their number, not the bytes that they turn into."""
     refs = chunk_refs(entries.where("kind = 'file'"))
     return refs.join(stored.select("chunk_id", "payload"), "chunk_id", "left")
 
@@ -29,31 +30,27 @@ def folded(rows: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
     Pieces are dealt out by path and sorted; each task hashes a file as its pieces stream by, so no file has to fit in a row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    schema = pa.schema([("path", pa.string()), ("n_chunks", pa.int64()), ("size", pa.int64()), ("blob_id", pa.string()), ("fault", pa.string())])
 
-        path, n, size, fault, parts, h = None, 0, 0, None, [], hashlib.sha256()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, n, size, fault, h = None, 0, 0, None, hasher(algorithm)
 
         def out() -> pa.RecordBatch:
-            blob = h.hexdigest() if algorithm == "sha256" else hash_streams(iter(parts), algorithm)
-            return pa.RecordBatch.from_pylist([{"path": path, "n_chunks": n, "size": size, "blob_id": blob, "fault": fault}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"path": path, "n_chunks": n, "size": size, "blob_id": h.hexdigest(), "fault": fault}], schema=schema)
 
-        schema = pa.schema([("path", pa.string()), ("n_chunks", pa.int64()), ("size", pa.int64()), ("blob_id", pa.string()), ("fault", pa.string())])
         for b in batches:
-            for r in b.to_pylist():
-                if r["path"] != path:
+            paths, ords, lengths, ids = (b.column(c).to_pylist() for c in ("path", "ord", "length", "chunk_id"))
+            for now, ord_, length, chunk_id, cell in zip(paths, ords, lengths, ids, b.column("payload"), strict=True):
+                if now != path:
                     if path is not None:
                         yield out()
-                    path, n, size, fault, parts, h = r["path"], 0, 0, None, [], hashlib.sha256()
+                    path, n, size, fault, h = now, 0, 0, None, hasher(algorithm)
                 n += 1
-                data = r["payload"]
-                found = "missing chunk" if data is None else "wrong length" if len(data) != r["length"] else "corrupt chunk" if hash_streams(iter([data]), algorithm) != r["chunk_id"] else None
-                fault = fault or (found and f"{r['ord']}: {found}")
+                data = cell.as_py()
+                found = "missing chunk" if data is None else "wrong length" if len(data) != length else "corrupt chunk" if hash_streams(iter([data]), algorithm) != chunk_id else None
+                fault = fault or (found and f"{ord_}: {found}")
                 size += len(data or b"")
-                if algorithm == "sha256":
-                    h.update(data or b"")
-                else:
-                    parts.append(data or b"")
+                h.update(data or b"")
         if path is not None:
             yield out()
 

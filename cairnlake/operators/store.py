@@ -102,25 +102,48 @@ class Store:
     def put(self, chunks: DataFrame, verify: bool = True, counted: bool = True) -> dict[str, int]:
         """Adds (chunk_id, payload) that the store lacks; {written, skipped}. Payloads that don't hash to their id: IdMismatch, nothing is added.
 
-        Each of verify and counted (without which skipped is left out) reads the chunks once more.
-
-        References are made distinct and anti-joined by id before any payload is encoded."""
+        chunks is read twice: references are made distinct and anti-joined by id first, then only payloads that are new are moved.
+        Each of verify and counted (without which skipped is left out) reads it once more."""
         if verify:
             wrong = chunks.where(~content_id(F.col("payload"), self.algorithm).eqNullSafe(F.col("chunk_id"))).select("chunk_id").limit(1).collect()
             if wrong:
                 raise IdMismatch(wrong[0].chunk_id)
-        one = chunks.select("chunk_id", "payload").groupBy("chunk_id").agg(F.first("payload").alias("payload"), F.count("*").alias("n")).withColumn("prefix", prefix(F.col("chunk_id")))
-        new = one.join(self.ids(), ["prefix", "chunk_id"], "left_anti")
+        new = chunks.select("chunk_id").distinct().withColumn("prefix", prefix(F.col("chunk_id"))).join(self.ids(), ["prefix", "chunk_id"], "left_anti").select("chunk_id")
+        # only payloads that are new are shuffled, those of one id once per task
+        one = chunks.select("chunk_id", "payload").join(new, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("payload").alias("payload"))
         disk = codecs.encoded(F.col("payload"), self.compression)
-        rows = new.select("chunk_id", F.octet_length("payload").cast("long").alias("len_plain"), disk.alias("payload"), "prefix").withColumn("len_disk", F.octet_length("payload").cast("long"))
+        rows = one.select("chunk_id", F.octet_length("payload").cast("long").alias("len_plain"), disk.alias("payload")).withColumn("len_disk", F.octet_length("payload").cast("long"))
+        added = self._write(rows)
+        written = sum(added.values())
+        return {"written": written, "skipped": chunks.count() - written} if counted else {"written": written}
+
+    def _write(self, rows: DataFrame, instead: dict[str, list[str]] | None = None) -> dict[str, int]:
+        """Writes rows (chunk_id, len_plain, len_disk, payload) as a new generation and publishes it beside the others, or beside
+        `instead`; chunks by prefix.
+
+        Ids are evenly spread hashes: each task takes a range of them, as many ranges as shuffles have partitions, so a prefix is
+        split over many tasks in a large store and a task writes few folders."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        place = F.floor(F.conv(F.substring("chunk_id", 1, 6), 16, 10).cast("long") * n / (1 << 24)).cast("int")
         generation = uuid.uuid4().hex
         target = f"{self.path}/generation={generation}"
-        rows.select("chunk_id", "len_plain", "len_disk", "payload", "prefix").repartition("prefix").write.partitionBy("prefix").option("compression", "none").parquet(target)
-        added = self.spark.read.schema(STORE).parquet(target).groupBy("prefix").agg(F.count("*").alias("n")).collect()  # at most 256 rows
-        written = sum(r.n for r in added)
-        if written:
-            self._publish(self._manifest() | {generation: sorted(r.prefix for r in added)})
-        return {"written": written, "skipped": chunks.count() - written} if counted else {"written": written}
+        out = rows.select("chunk_id", "len_plain", "len_disk", "payload", prefix(F.col("chunk_id")).alias("prefix"))
+        out.repartitionById(n, place).sortWithinPartitions("prefix").write.partitionBy("prefix").option("compression", "none").parquet(target)
+        added = {r.prefix: r.n for r in self.spark.read.schema(STORE).parquet(target).groupBy("prefix").agg(F.count("*").alias("n")).collect()}  # at most 256 rows
+        base = self._manifest() if instead is None else instead
+        if added or instead is not None:
+            self._publish(base | {generation: sorted(added)})
+        return added
+
+    def compact(self) -> int:
+        """Rewrites all generations into one and deletes the others, so that a store of many small writes opens few files; no reader may be at work.
+
+        The number of chunks."""
+        old = list(self._manifest())
+        added = self._write(self.table(), instead={})
+        for g in old:
+            fs.delete(self.spark, f"{self.path}/generation={g}")
+        return sum(added.values())
 
     def has(self, chunk_id: str) -> bool:
         parse_id(chunk_id)
@@ -158,13 +181,9 @@ class Store:
             return 0
         before = self.table(touched)
         total = before.count()
-        generation = uuid.uuid4().hex
-        target = f"{self.path}/generation={generation}"
-        before.join(ids, ["prefix", "chunk_id"], "left_anti").select("chunk_id", "len_plain", "len_disk", "payload", "prefix").repartition("prefix").write.partitionBy("prefix").option("compression", "none").parquet(target)
-        kept = self.spark.read.schema(STORE).parquet(target).groupBy("prefix").agg(F.count("*").alias("n")).collect()
-        manifest = {g: [p for p in ps if p not in touched] for g, ps in self._manifest().items()}
-        self._publish(manifest | {generation: sorted(r.prefix for r in kept)})
-        return total - sum(r.n for r in kept)
+        left = before.join(ids, ["prefix", "chunk_id"], "left_anti")
+        kept = self._write(left, {g: [p for p in ps if p not in touched] for g, ps in self._manifest().items()})
+        return total - sum(kept.values())
 
     def gc(self, refs: list[DataFrame], apply: bool = False) -> dict[str, int | bool]:
         """What no listing refers to; deleted only with apply. There is no path scope: a smaller keep-set would delete live chunks."""

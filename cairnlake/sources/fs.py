@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or where it is unset in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="cairnlake-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        shared = "file://" + _OWN[0]
+    return f"{shared.rstrip('/')}/s-{uuid.uuid4().hex}"
+
 
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm

@@ -126,6 +126,17 @@ def fetch(ids: DataFrame, endpoint: Endpoint) -> DataFrame:
     return ids.select("chunk_id").distinct().mapInArrow(run, "chunk_id string, payload binary, outcome string, retries long")
 
 
+def present(ids: DataFrame, endpoint: Endpoint) -> DataFrame:
+    """(chunk_id, present) of each id, asked one by one; a failure that isn't absence raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("chunk_id").to_pylist()
+            yield pa.RecordBatch.from_pydict({"chunk_id": ids, "present": [endpoint.has(x) for x in ids]}, schema=pa.schema([("chunk_id", pa.string()), ("present", pa.bool_())]))
+
+    return ids.select("chunk_id").distinct().mapInArrow(run, "chunk_id string, present boolean")
+
+
 def upload(chunks: DataFrame, endpoint: Endpoint, method: str = "PUT", skip_if_exists: bool = True) -> DataFrame:
     """(chunk_id, outcome: uploaded, skipped, failed_transient or failed_permanent, retries) of each (chunk_id, payload)."""
 
