@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pathfilter import PathFilter
 from ..schema import ChunkNotFound, ChunkParams
-from ..sources import http
+from ..sources import fs, http
 from . import origin, transfer
 from . import seed as seeds
 from .chunking import blob_payloads, chunk_refs, dedup_counters, with_chunks
@@ -103,12 +102,11 @@ def push(listings: list[DataFrame], local: Store, remote: Store | http.Endpoint,
     refs = _refs(listings, scope)
     if isinstance(remote, Store):
         at = origin.StoreOrigin(remote)
-        outcomes = transfer.push_outcomes(refs, local.ids(), remote.ids()).persist()
+        outcomes = fs.kept(transfer.push_outcomes(refs, local.ids(), remote.ids()))
         report = transfer.outcome_report(outcomes, "uploaded", len(listings), dry_run).first().asDict()
         if not dry_run:
             todo = outcomes.where("outcome = 'uploaded'").select("chunk_id")
             remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
-        outcomes.unpersist()
     else:
         at = origin.HttpOrigin(remote)
         if dry_run:
@@ -128,9 +126,8 @@ def pull(listings: list[DataFrame], local: Store, remote: Store | http.Endpoint
         return transfer.outcome_report(transfer.pull_outcomes(refs, local.ids(), there), "fetched", len(listings), True).first().asDict() | ({"verified": None} if verify else {})
     ids = refs.select("chunk_id").distinct()
     lacking = ids.join(local.ids().select("chunk_id"), "chunk_id", "left_anti")
-    got = at.read(lacking).persist(StorageLevel.DISK_ONLY)
+    got = fs.kept(at.read(lacking))
     failures = got.select("chunk_id", F.when(F.col("outcome") == "failed_transient", "transient").when(F.col("outcome") == "failed_permanent", "permanent").alias("error_class")).where("error_class is not null")
     report = transfer.outcome_report(transfer.pull_outcomes(refs, local.ids(), got.where("outcome <> 'missing'"), failures), "fetched", len(listings)).first().asDict()
     local.put(origin.payloads(got), counted=False)
-    got.unpersist()
     return _settled(report, listings, origin.StoreOrigin(local), verify, False, "pull", local.algorithm)

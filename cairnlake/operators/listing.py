@@ -91,7 +91,7 @@ def refs_in_scope(entries: DataFrame, scope: PathFilter = PathFilter(), single_b
 
 
 def union_refs(listings: list[DataFrame]) -> DataFrame:
-    """The distinct chunk ids of all listings; each is made distinct by itself first, so repeats stay where they are."""
+    """The distinct chunk ids of all listings; partial aggregation leaves a row per id and task before the shuffle."""
     ids = [chunk_refs(e).select("chunk_id") for e in listings]
     out = ids[0]
     for x in ids[1:]:

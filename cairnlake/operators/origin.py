@@ -2,7 +2,7 @@
 
 An origin answers has(ids) with the ids that it holds, and read(ids) with (chunk_id, payload, outcome): fetched, missing, or
 failed_transient and failed_permanent, whose payload is null. HTTP requests are made by the tasks that hold the ids, one per
-distinct id; their results are persisted, so that no plan that reads them twice asks twice.
+distinct id; their results are written to the shared scratch folder, so that no plan that reads them twice asks twice.
 """
 
 from __future__ import annotations
@@ -10,13 +10,12 @@ from __future__ import annotations
 import dataclasses
 from typing import Protocol
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
 from ..schema import CairnError, ChunkCorrupt
-from ..sources import http
+from ..sources import fs, http
 from ..sources.templates import file_path
 from . import readpath, transfer
 from .chunking import chunk_refs
@@ -63,7 +62,7 @@ class HttpOrigin:
         return http.present(ids, self.endpoint).where("present").select("chunk_id")
 
     def read(self, ids: DataFrame) -> DataFrame:
-        return http.fetch(ids, self.endpoint).select("chunk_id", "payload", "outcome").persist(StorageLevel.DISK_ONLY)
+        return fs.kept(http.fetch(ids, self.endpoint).select("chunk_id", "payload", "outcome"))
 
 
 def _read_frame(chunks: DataFrame, ids: DataFrame, algorithm: str) -> DataFrame:
@@ -122,17 +121,15 @@ def cached_read(origin: Origin, cache: Store, requests: DataFrame, budget: int |
     long as they fit the budget, others are passed on."""
     ids = requests.select("chunk_id").distinct()
     held = cache.ids().select("chunk_id")
-    rows = origin.read(ids.join(held, "chunk_id", "left_anti")).persist(StorageLevel.DISK_ONLY)
+    rows = fs.kept(origin.read(ids.join(held, "chunk_id", "left_anti")))
     got = rows.where("outcome = 'fetched'")
     sizes = cache.table().select("chunk_id", F.col("len_plain").alias("length"))
-    turns = transfer.cached_reads(requests, sizes, got.select("chunk_id", F.octet_length("payload").cast("long").alias("length")), budget).persist(StorageLevel.DISK_ONLY)
-    report = transfer.cache_report(turns).persist()
-    report.count()
-    old = cache.chunks().select("chunk_id", "payload").join(ids, "chunk_id", "left_semi").withColumn("outcome", F.lit("hit")).persist(StorageLevel.DISK_ONLY)
-    old.count()  # as it was before chunks are filled in
+    turns = fs.kept(transfer.cached_reads(requests, sizes, got.select("chunk_id", F.octet_length("payload").cast("long").alias("length")), budget))
+    # as it was before chunks are filled in
+    old = fs.kept(cache.chunks().select("chunk_id", "payload").join(ids, "chunk_id", "left_semi").withColumn("outcome", F.lit("hit")))
     fill = turns.where("outcome = 'miss_fill'").select("chunk_id")
     cache.put(got.join(fill, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
-    return old.unionByName(rows), report
+    return old.unionByName(rows), transfer.cache_report(turns)
 
 
 def payloads(reads: DataFrame) -> DataFrame:
@@ -171,7 +168,7 @@ def doctor(listings: list[DataFrame], origin: Origin, deep: bool = False) -> Dat
         every = refs if every is None else every.unionByName(refs)
     ids = every.groupBy("chunk_id").agg(F.count("*").alias("n"))
     if deep:
-        seen = origin.read(ids).select("chunk_id", "outcome").persist(StorageLevel.DISK_ONLY)
+        seen = fs.kept(origin.read(ids).select("chunk_id", "outcome"))
         bad = seen.where("outcome like 'failed%'").agg(F.min("chunk_id").alias("id")).first().id
         if bad:
             raise CairnError(f"chunk {bad} can't be read")
@@ -216,7 +213,7 @@ def upload(listings: list[DataFrame], local: Store, endpoint: http.Endpoint, sco
     """(outcomes, report) of pushing the references to an endpoint: what isn't local fails, whatever the endpoint has; each other chunk
     is uploaded once, or skipped if it is there, or in the bucket of its failure."""
     ids = scope_refs.select("chunk_id").distinct()
-    sent = http.upload(local.chunks().join(ids, "chunk_id", "left_semi").select("chunk_id", "payload"), endpoint, method).persist(StorageLevel.DISK_ONLY)
+    sent = fs.kept(http.upload(local.chunks().join(ids, "chunk_id", "left_semi").select("chunk_id", "payload"), endpoint, method))
     outcomes = ids.join(sent.select("chunk_id", "outcome"), "chunk_id", "left").select("chunk_id", F.coalesce("outcome", F.lit("failed_permanent")).alias("outcome"))
     return outcomes, transfer.outcome_report(outcomes, "uploaded", len(listings))
 

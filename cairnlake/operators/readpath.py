@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_streams, hasher
 from ..functions.paths import check_path
 from ..schema import CairnError
+from ..sources import fs
 from .chunking import chunk_refs
 from .listing import lookup_file
 
@@ -148,7 +149,8 @@ def plan_report(plan: DataFrame) -> DataFrame:
 def extract(entries: DataFrame, stored: DataFrame, root: str, force: bool = False) -> DataFrame:
     """Writes a listing below root, a folder that all executors mount; (path, kind, done). Files get their mode, not their mtime; nothing else is deleted.
 
-    Directories first, then files, each streamed by one task in the order of its chunks, then symlinks."""
+    Directories first, then files, each streamed by one task in the order of its chunks, then symlinks. The rows of files are a table
+    in the shared scratch folder; directories and symlinks, a row each, are made by the driver."""
     for row in entries.where("kind = 'dir'").select("path", "mode").toLocalIterator():
         at = os.path.join(root, check_path(row.path))
         os.makedirs(at, exist_ok=True)
@@ -184,7 +186,9 @@ def extract(entries: DataFrame, stored: DataFrame, root: str, force: bool = Fals
 
     files = entries.where("kind = 'file'").select("path", "mode")
     rows = files.join(pieces(entries, stored), "path", "left").select("path", "mode", "ord", "length", "payload")
-    wrote = rows.repartition("path").sortWithinPartitions("path", "ord").mapInArrow(write, "path string, kind string, done boolean").collect()
+    spark, report = entries.sparkSession, fs.scratch(entries.sparkSession)
+    rows.repartition("path").sortWithinPartitions("path", "ord").mapInArrow(write, "path string, kind string, done boolean").write.parquet(report)
+    links = []
     for row in entries.where("kind = 'symlink'").select("path", "target").toLocalIterator():
         at = os.path.join(root, check_path(row.path))
         if not row.target or row.target.startswith("/"):
@@ -195,6 +199,6 @@ def extract(entries: DataFrame, stored: DataFrame, root: str, force: bool = Fals
             os.unlink(at)
         os.makedirs(os.path.dirname(at), exist_ok=True)
         os.symlink(row.target, at)
-        wrote.append((row.path, "symlink", True))
-    spark = entries.sparkSession
-    return spark.createDataFrame(wrote, "path string, kind string, done boolean")
+        links.append((row.path, "symlink", True))
+    schema = "path string, kind string, done boolean"
+    return spark.read.schema(schema).parquet(report).unionByName(spark.createDataFrame(links, schema))

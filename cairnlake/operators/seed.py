@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_id
-from ..functions.paths import is_legal
+from ..functions.paths import ancestors, is_legal
 from .chunking import chunk_refs
 
 
@@ -51,11 +51,19 @@ def seed_plan(listing: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def seed_reads(plan: DataFrame, blobs: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """(chunk_id, path, offset, payload) of the first place, by path and offset, whose bytes still hash to the id; each candidate is read and checked.
 
-    blobs: path, content. Short reads and changed bytes are stale and make way for the next place."""
-    at = plan.join(blobs.select("path", "content"), "path")
-    cut = at.select("chunk_id", "path", "offset", "length", F.expr("substring(content, cast(offset + 1 as int), cast(length as int))").alias("payload"))
+    blobs: path, content, and kind where it may hold symlinks: a file below one is never read. Short reads and changed bytes are stale
+    and make way for the next place. Places are checked and chosen where the files are; only the bytes of the chosen ones are moved."""
+    if "kind" in blobs.columns:
+        links = blobs.where("kind = 'symlink'").select(F.col("path").alias("link"))
+        files = plan.select("path").distinct()
+        below = files.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("link")).join(links, "link", "left_semi").select("path").distinct()
+        plan, blobs = plan.join(below, "path", "left_anti"), blobs.where("kind = 'file'")
+    content = blobs.select("path", "content")
+    part = F.expr("substring(content, cast(offset + 1 as int), cast(length as int))")
+    cut = plan.join(content, "path").select("chunk_id", "path", "offset", "length", part.alias("payload"))
     good = cut.where((F.octet_length("payload") == F.col("length")) & (content_id(F.col("payload"), algorithm) == F.col("chunk_id")))
-    return good.groupBy("chunk_id").agg(F.min_by(F.struct("path", "offset", "payload"), F.struct("path", "offset")).alias("x")).select("chunk_id", "x.*")
+    chosen = good.groupBy("chunk_id").agg(F.min(F.struct("path", "offset", "length")).alias("x")).select("chunk_id", "x.*")
+    return chosen.join(content, "path").select("chunk_id", "path", "offset", part.alias("payload"))
 
 
 def seed_stats(wanted: DataFrame, plan: DataFrame, reads: DataFrame) -> DataFrame:

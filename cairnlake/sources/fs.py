@@ -26,6 +26,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/s-{uuid.uuid4().hex}"
 
 
+def kept(df):
+    """df as a table in the shared scratch folder: what it asked of others is asked once, whatever reads it and whoever dies."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _at(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
