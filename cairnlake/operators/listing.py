@@ -56,13 +56,18 @@ def tree(entries: DataFrame, root_mode: int = 0o555) -> DataFrame:
     return every.withColumn("parent", F.when(F.col("path") != "", paths.parent(F.col("path")))).withColumn("name", paths.base_name(F.col("path")))
 
 
+def _at_or_below(entries: DataFrame, path: str) -> DataFrame:
+    """The part of a listing that a lookup needs; the condition reaches the scan."""
+    return entries if path == "" else entries.where((F.col("path") == path) | F.col("path").startswith(path + "/"))
+
+
 def readdir(entries: DataFrame, path: str = "") -> DataFrame:
     """name, kind, mode, size of the children of a directory, by name."""
-    return tree(entries).where(F.col("parent") == path).select("name", "kind", "mode", "size").orderBy("name")
+    return tree(_at_or_below(entries, path)).where(F.col("parent") == path).select("name", "kind", "mode", "size").orderBy("name")
 
 
 def getattr_(entries: DataFrame, path: str) -> DataFrame:
-    return tree(entries).where(F.col("path") == path).select("path", "kind", "mode", "size", "mtime_secs", "target")
+    return tree(_at_or_below(entries, path)).where(F.col("path") == path).select("path", "kind", "mode", "size", "mtime_secs", "target")
 
 
 def readlink(entries: DataFrame, path: str) -> DataFrame:
