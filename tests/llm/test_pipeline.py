@@ -89,10 +89,18 @@ def test_run_equals_its_stages(stages, spark):
 
 def test_stages_bear_odd_documents(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "y"), (2, "", "en", "s", 0, "y"), (None, "no id", "de", "s", 5, None), (9, "w " * 5000, None, "t", 10_000, "z")], "doc_id long, text string, lang string, source string, n_chars long, label string")
+    clash = ("_gone", "_gone_h", "_row", "_doc", "_text", "_position", "_file", "_id", "_h", "_found", "node", "slot")
+    docs = docs.selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(clash)])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, None), (None, "nothing that stands anywhere"), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == docs.columns and kept.where("_gone = 0 and _h = 8").count() == kept.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, written(docs.where("false")), str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE))
