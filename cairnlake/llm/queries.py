@@ -117,8 +117,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the rows outside the held-out fold; documents that are missing from labels, or labelled twice over, add nothing."""
     learn = language_id.fold(4) != 2
     marks = labels.where(learn).select("doc_id", F.col("toxic").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("low")).where("label = low").select("doc_id", "label")
-    languages = language_id.fit(docs, docs.where(learn).select("doc_id", F.col("lang").alias("label")))
-    return toxicity.fit(docs, marks, languages)
+    return toxicity.fit(docs, marks, toxicity.learned_languages(docs.where(learn)))
 
 
 @query("op7_toxicity_cnn")

@@ -1,5 +1,6 @@
 """Held-out accuracy and hard cases of language identification and the toxicity classifier."""
 
+import math
 import zlib
 
 import pyarrow as pa
@@ -202,3 +203,69 @@ def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, "idiot", 0.5), (2, "nice", None), (3, None, 1.0)], SCHEMA + ", score double").withColumn("_text", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("a.b", F.lit(3))
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {(r.doc_id, r["a.b"], r._row) for r in kept.collect()} == {(2, 3, 2), (3, 3, 2)}
+
+
+def _toxic_rows(spark):
+    """3100 toxic rows, of which the 100 with the largest hashes have a word of their own, and 400 others."""
+    last = {r.id for r in spark.range(3100).orderBy(F.xxhash64(F.lit(5), "id").desc()).limit(100).collect()}
+    rows = [(i, f"some {'zyzzy' if i in last else 'alpha'} text {i % 7}", 1) for i in range(3100)]
+    return spark.createDataFrame(rows + [(i, f"some {('plain', 'kind', 'other')[i % 3]} text {i % 7}", 0) for i in range(4000, 4400)], SCHEMA + ", label int")
+
+
+@pytest.mark.parametrize("more", [{}, {"each": 1 << 14}])
+def test_toxicity_learns_from_every_labelled_row(spark, more):
+    rows = _toxic_rows(spark)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"), **more)
+    score = model.score(pa.array(["some alpha text 1", "some zyzzy text 2", "some plain text 3", None]), model.tables())
+    assert (score >= toxicity.CUT).tolist() == [True, True, False, False]
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    calm = "peaceful mornings "
+    rows = spark.createDataFrame([(i, calm * 1200 + "vile " * (i % 2) + f"day {i % 9}" if i % 4 else calm * 3 + f"day {i % 9}", i % 2) for i in range(400)], SCHEMA + ", label int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"))
+    assert not model.blank
+    score = model.score(pa.array([calm * 1200 + "vile day 3", calm * 1200 + "day 3", calm * 3 + "day 3"]), model.tables())
+    assert (score >= toxicity.CUT).tolist() == [True, False, False]
+
+
+def test_languages_are_counted_over_all_rows(spark):
+    """More rows of a language than any sample took, and a text longer than any."""
+    rows = [(i, "der die das", "de") for i in range(900)] + [(1000, "xqxq " + "le la les " * 9000, "fr"), (1001, None, "fr"), (1002, "the", None)]
+    got = toxicity.learned_languages(spark.createDataFrame(rows, SCHEMA + ", lang string"))
+    assert got.names == ["de", "fr"]
+    buckets, first = toxicity.hashed(pa.array(["der", "xqxq", "les la", "", "the"]))
+    counts = {"de": 2700, "fr": 27001}
+    share = [(0.5 + n) / (counts[lang] + 0.5 * toxicity.BUCKETS) for lang, n in (("de", 900), ("fr", 1))]
+    assert abs(got.table[0, buckets[0, -1]] - math.log(share[0])) < 1e-4 and abs(got.table[1, buckets[1, -1]] - math.log(share[1])) < 1e-4
+    assert got.spoken(buckets, first).tolist()[:4] == ["de", "fr", "fr", "und"]
+
+
+def test_a_spell_is_the_mean_over_chunks(spark):
+    """Against a plain mean of what the learners become on each chunk; labels of null, other labels and unknown ids add nothing."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"w{i % 5} word{i % 11} x" if i % 13 else "", i % 3) for i in range(200)], SCHEMA + ", more long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)] + [(150, None), (151, 2), (9999, 1), (None, 1)], "doc_id long, label int")
+    chunks = toxicity._packed(docs, labels, 500)
+    pieces = sorted(chunks.collect(), key=lambda r: r.chunk)
+    assert len({r.chunk for r in pieces}) == len(pieces) > 2
+    held = [(r.chunk, *toxicity._unpacked([tuple(r)[1:]])) for r in pieces]
+    assert sum(len(y) for *_, y, _ in held) == 150 and sum(y.sum() for *_, y, _ in held) == 75
+    base = [toxicity.Learner(toxicity._started(np.random.default_rng(i))) for i in range(toxicity.MEMBERS)]
+    got = toxicity._turned(chunks, base, range(1, 4), 1)
+    for i in range(toxicity.MEMBERS):
+        moved = []
+        for chunk, buckets, first, y, part in held:
+            learn = np.flatnonzero((part != i) & (np.diff(first) > 0))
+            now = base[i].copy()
+            now.turn(buckets, first, y, learn, range(1, 4), np.random.default_rng([1, i, chunk, 1]))
+            moved.append((len(learn), now))
+        total = sum(n for n, _ in moved)
+        assert np.allclose(got[i].dense(), sum(n * m.dense() for n, m in moved) / total, atol=1e-4)
+        for k in range(3):
+            for b in np.flatnonzero((got[i].past[k] != 0).any(1))[:20]:
+                own = [(n, m) for n, m in moved if m.past[k, b].any()]
+                assert np.allclose(got[i].model.embed[k, b], sum(n * m.model.embed[k, b] for n, m in own) / sum(n for n, _ in own), atol=1e-4)
+        still = ~np.any([m.past.any(2) for _, m in moved], 0)
+        assert (got[i].model.embed[still] == base[i].model.embed[still]).all()
