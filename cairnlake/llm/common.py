@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -128,6 +129,30 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Gives back what the driver, Python and JVM, holds without need: garbage, broadcasts that nothing refers to, free pages.
+
+    A JVM lets its heap grow up to its limit before it does so by itself."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def past_driver(spark: SparkSession) -> Iterator[None]:
+    """Joins that are run inside are broadcast only where a hint says so: the driver builds each broadcast table in pages of its own
+    heap, in a thread that then stays for a minute, and a plan of many joins of small tables has many at once."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
 def hold(name: str, drop: Callable[[], None]) -> None:
     _HELD[name] = drop
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, SPACED, U64, carried, discard, flat, id_text, in_memory, list_column, mix, shards, span_hash, uncarried, words, written
+from .common import ODD, SPACED, U64, carried, discard, flat, id_text, in_memory, list_column, mix, past_driver, relieve, shards, span_hash, uncarried, words, written
 from .graph import components
 
 BINS = 256
@@ -186,6 +186,7 @@ def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, Dat
     """(members, edges, classes): every row's doc_id, text_h, n_shingles, class (smallest doc_id with an equal set, null without
     words) and node (the key of its class); confirmed edges between nodes; the class of every node."""
     docs = id_text(docs)
+    relieve(docs.sparkSession)
     made = written(sketches(docs, percent))
     of_set = ["h1", "h2", "n_shingles"]
     counted = written(made.where("doc_id is not null and n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
@@ -198,6 +199,7 @@ def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, Dat
     cold = hot.where("class is null").drop("class", "node").join(classes.where(F.col("copies") * 1000 <= total).drop("copies"), of_set, "left")
     # null ids are in no class; rows without words have a key that is theirs, but no class
     members = hot.where("class is not null").unionByName(cold).select("doc_id", "text_h", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
+    members = written(members)
     key = ["doc_id", *of_set]
     heads = made.join(classes.select(F.col("class").alias("doc_id"), *of_set, "node"), key).dropDuplicates(key)
     keys = heads.select("node", F.posexplode("bands").alias("band", "key"))
@@ -206,32 +208,37 @@ def links(docs: DataFrame, percent: int = 85) -> tuple[DataFrame, DataFrame, Dat
     degree = written(at.groupBy("node").agg(F.sum("size").alias("degree")))
     hubs = at.join(degree, "node").groupBy("band", "key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
     placed = written(at.join(hubs, ["band", "key"]))
-    shingled = full_sets(docs.where("doc_id is not null"), written(heads.select("doc_id", "text_h", "node").join(degree.select("node"), "node", "left_semi")))
+    alone = written(heads.select("doc_id", "text_h", "node", "sig", F.col("n_shingles").alias("n")).join(degree.select("node"), "node", "left_semi"))
+    shingled = full_sets(docs.where("doc_id is not null"), alone.select("doc_id", "text_h", "node"))
     sets = shingled.dropDuplicates(["node"])
     first = written(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    relieve(docs.sparkSession)
     star = written(confirmed(first, sets, percent))
     # what the hub didn't confirm asks all of its bucket, block by block; what it confirmed doesn't ask
     near = placed.join(star.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("ok")), ["hub", "node"], "left")
     near = near.withColumn("near", F.coalesce("ok", F.col("node") == F.col("hub"))).drop("ok")
     mixed = near.groupBy("band", "key").agg(F.count("*").alias("n"), F.count(F.when(~F.col("near"), 1)).alias("left")).where("left > 0 and n > 2").select("band", "key", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("all_blocks"), F.expr(f"cast(ceil(left / {BLOCK}) as int)").alias("asking_blocks"))
-    sig = heads.select("node", "sig", F.col("n_shingles").alias("n")).join(sets.select("node", "wide"), "node")
-    rest = near.select("band", "key", "node", "near").join(mixed, ["band", "key"]).join(sig, "node")
+    open_ = written(near.select("band", "key", "node", "near").join(mixed, ["band", "key"]))
+    rest = open_.join(alone.select("node", "sig", "n").join(sets.select("node", "wide"), "node"), "node")
     own = lambda blocks: F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)")
     every = lambda blocks: F.explode(F.expr(f"sequence(0, {blocks} - 1)"))
     sides = ["band", "key", "node", "near", "n", "sig", "wide"]
     asking = rest.where(~F.col("near")).select(*sides, F.lit(True).alias("asks"), own("asking_blocks").alias("i"), every("all_blocks").alias("j"))
     asked = rest.select(*sides, F.lit(False).alias("asks"), own("all_blocks").alias("j"), every("asking_blocks").alias("i"))
     found = asking.unionByName(asked).groupBy("band", "key", "i", "j").applyInArrow(_alike(percent), "a long, b long").distinct()
+    relieve(docs.sparkSession)
     more = written(found.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     edges = written(star.unionByName(confirmed(more, sets, percent)))
-    discard(docs.sparkSession, at, degree, placed, first, star, more, shingled)
+    discard(docs.sparkSession, at, alone, degree, placed, first, star, open_, more, shingled)
+    relieve(docs.sparkSession)
     return members, edges, classes.select("node", "class")
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """members of links() with component (its key), component_id (its smallest doc_id) and kept."""
-    members, edges, classes = links(docs, percent)
-    found = components(edges)
+    with past_driver(docs.sparkSession):
+        members, edges, classes = links(docs, percent)
+        found = written(components(edges))
     least = found.join(classes, "node").groupBy("component").agg(F.min("class").alias("least"))
     placed = members.join(found.join(least, "component"), "node", "left")
     own = F.col("class").isNotNull()
@@ -249,7 +256,9 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows without an id or words are in no component and stay."""
     held = lambda df: F.broadcast(df) if in_memory(df.count()) else df
-    rows = written(_grouped(docs, percent).select("doc_id", "text_h", "component", "kept"))
+    grouped = _grouped(docs, percent).select("doc_id", "text_h", "component", "kept")
+    with past_driver(docs.sparkSession):
+        rows = written(grouped)
     first = rows.where("kept and component is not null")
     repeats = written(first.groupBy("component").agg(F.count("*").alias("n"), F.min("text_h").alias("least")).where("n > 1").drop("n"))
     again = first.join(held(repeats), "component")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, bounded, carried, discard, flat, id_text, in_memory, mix, shards, span_hash, uncarried, words, written
+from .common import ALNUM, U64, bounded, carried, discard, flat, id_text, in_memory, mix, relieve, shards, span_hash, uncarried, words, written
 
 CUT = 0.3
 #: Least distance, in the logit, of any threshold from a text without evidence.
@@ -431,13 +431,13 @@ def _turned(chunks: DataFrame, learners: list[Learner], turns: range, seed: int)
                 yield pa.RecordBatch.from_pylist([r | {"member": i, "chunk": least}], schema)
 
     schema = pa.schema([("member", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("chunk", pa.int64()), ("at", pa.binary()), ("weight", pa.binary()), ("moved", pa.binary())])
-    rows = chunks.mapInArrow(run, _MOVES).groupBy("member", "kind", "block").applyInArrow(_summed, _MOVES).collect()
+    moves = written(chunks.mapInArrow(run, _MOVES).groupBy("member", "kind", "block").applyInArrow(_summed, _MOVES))
     shared.destroy()
     out = []
     for i, base in enumerate(learners):
         dense, embed, past = base.dense(), base.model.embed.copy(), base.past.copy()
-        for r in rows:
-            if r.member != i or not r.at:
+        for r in moves.where(F.col("member") == i).collect():  # the driver gets the moves of one network at a time
+            if not r.at:
                 continue
             weight = np.frombuffer(r.weight, np.float64)[:, None]
             if r.kind < 0:
@@ -448,6 +448,8 @@ def _turned(chunks: DataFrame, learners: list[Learner], turns: range, seed: int)
             embed[r.kind, at] += mean[:, :DIM]
             past[r.kind, at] += mean[:, DIM:]
         out.append(base.moved(dense, embed, past))
+    discard(chunks.sparkSession, moves)
+    relieve(chunks.sparkSession)
     return out
 
 

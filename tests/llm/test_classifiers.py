@@ -269,3 +269,19 @@ def test_a_spell_is_the_mean_over_chunks(spark):
                 assert np.allclose(got[i].model.embed[k, b], sum(n * m.model.embed[k, b] for n, m in own) / sum(n for n, _ in own), atol=1e-4)
         still = ~np.any([m.past.any(2) for _, m in moved], 0)
         assert (got[i].model.embed[still] == base[i].model.embed[still]).all()
+
+
+def test_the_driver_gets_the_moves_of_one_network_at_a_time(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"word{i % 5} " + "bad" * (i % 2), i % 2) for i in range(24)], "doc_id long, text string, label int")
+    kind, seen = type(rows), []
+    plain = kind.collect
+
+    def spied(df):
+        got = plain(df)
+        if "moved" in df.columns:
+            seen.append({r.member for r in got})
+        return got
+
+    monkeypatch.setattr(kind, "collect", spied)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "label"))
+    assert not model.blank and seen and max(map(len, seen)) == 1

@@ -185,3 +185,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
     star = spark.range(1, 500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert {r.component for r in graph.components(star).collect()} == {0}
+
+
+def test_joins_are_broadcast_only_where_a_hint_says_so(spark, monkeypatch):
+    plain, over = near_dedup.written, []
+
+    def spied(df, *more):
+        df.collect()
+        run = df._jdf.queryExecution()
+        final = run.executedPlan().toString().split("== Initial Plan ==")[0]
+        made = sum("BroadcastExchange" in line and "ReusedExchange" not in line for line in final.split("\n"))
+        over.append(made - run.optimizedPlan().toString().count("strategy=broadcast"))
+        return plain(df, *more)
+
+    monkeypatch.setattr(near_dedup, "written", spied)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs = [(i, " ".join(f"w{i % 7}x{j}" for j in range(40)) + f" {i % 3}") for i in range(60)]
+    got = near_dedup.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == sorted({c for _, c in brute(docs, 80).values()})
+    assert len(over) > 5 and max(over) <= 0
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
