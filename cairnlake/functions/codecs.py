@@ -23,7 +23,7 @@ def zstd_encode(payload: pa.Array) -> pa.Array:
     import zstandard
 
     c = zstandard.ZstdCompressor(level=LEVEL)
-    return pa.array([None if x is None else c.compress(x) for x in payload.to_pylist()], pa.binary())
+    return pa.array((None if x.as_buffer() is None else c.compress(x.as_buffer()) for x in payload), pa.binary())
 
 
 @F.arrow_udf(T.BinaryType())
@@ -33,13 +33,13 @@ def zstd_decode(payload: pa.Array) -> pa.Array:
 
     d = zstandard.ZstdDecompressor()
 
-    def one(x: bytes | None) -> bytes | None:
+    def one(x: pa.Buffer | None) -> bytes | None:
         try:
             return None if x is None else d.decompressobj().decompress(x)
         except zstandard.ZstdError:
             return None
 
-    return pa.array([one(x) for x in payload.to_pylist()], pa.binary())
+    return pa.array((one(x.as_buffer()) for x in payload), pa.binary())
 
 
 def encoded(payload: Column, compression: str) -> Column:

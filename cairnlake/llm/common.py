@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded  # noqa: F401
+
 U64 = np.uint64
 _OWN: list[str] = []
 _WRITTEN: list[str] = []
@@ -25,9 +27,6 @@ _WRITTEN: list[str] = []
 #: Rows and text bytes handled at once by a Python worker; one longer text is handled alone.
 SHARD_BYTES = 2 << 20
 SHARD_ROWS = 4096
-#: Bytes of an Arrow batch between Spark and a worker.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df; from now on Arrow batches of its session hold at most about BATCH_BYTES, however long texts are."""
-    conf = df.sparkSession.conf
-    now = conf.get(_BATCH).removesuffix("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        conf.set(_BATCH, str(BATCH_BYTES))
-    return df
-
-
 def new_folder(spark: SparkSession, kind: str = "t") -> str:
     """A path in the shared folder that nothing has used; drop_written() deletes it."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import blake3, cdc
+from ..functions.batches import bounded
 from ..functions.hashing import content_id
 from ..schema import ChunkParams
 
@@ -67,7 +68,7 @@ def with_chunks(blobs: DataFrame, size: int | None = None, params: ChunkParams |
     """blobs (path, content, ...) as listing entries: blob_id and chunks in place of content; only files have them."""
     content = F.when(F.col("kind") == "file", F.col("content")) if "kind" in blobs.columns else F.col("content")
     array = fixed_chunk_array(content, size, algorithm) if size else cdc_chunk_array(content, params, algorithm)
-    return blobs.withColumn("blob_id", content_id(content, algorithm)).withColumn("chunks", F.when(content.isNotNull(), array)).drop("content")
+    return bounded(blobs).withColumn("blob_id", content_id(content, algorithm)).withColumn("chunks", F.when(content.isNotNull(), array)).drop("content")
 
 
 def _spans(chunks: Column) -> Column:
@@ -107,7 +108,7 @@ def blob_payloads(blobs: DataFrame, size: int | None = None, params: ChunkParams
     files = blobs.where(F.octet_length("content") > 0) if "kind" not in blobs.columns else blobs.where((F.col("kind") == "file") & (F.octet_length("content") > 0))
     array = fixed_chunk_array(F.col("content"), size, algorithm) if size else cdc_chunk_array(F.col("content"), params, algorithm)
     cut = F.transform(_spans(F.col("chunks")), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.substring(F.col("content"), (c["start_offset"] + 1).cast("int"), c["length"].cast("int")).alias("payload")))
-    return files.select("content", array.alias("chunks")).select(F.explode(cut).alias("c")).select("c.*")
+    return bounded(files).select("content", array.alias("chunks")).select(F.explode(cut).alias("c")).select("c.*")
 
 
 def dedup_counters(refs: DataFrame, stored: DataFrame | None = None) -> DataFrame:

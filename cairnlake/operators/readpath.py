@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..functions.hashing import hash_streams, hasher
 from ..functions.paths import check_path
 from ..schema import CairnError
@@ -55,7 +56,7 @@ def folded(rows: DataFrame, algorithm: str = "sha256") -> DataFrame:
         if path is not None:
             yield out()
 
-    src = rows.select("path", "ord", "length", "chunk_id", "payload").repartition("path").sortWithinPartitions("path", "ord")
+    src = bounded(rows).select("path", "ord", "length", "chunk_id", "payload").repartition("path").sortWithinPartitions("path", "ord")
     return src.mapInArrow(run, "path string, n_chunks long, size long, blob_id string, fault string")
 
 
@@ -187,7 +188,7 @@ def extract(entries: DataFrame, stored: DataFrame, root: str, force: bool = Fals
     files = entries.where("kind = 'file'").select("path", "mode")
     rows = files.join(pieces(entries, stored), "path", "left").select("path", "mode", "ord", "length", "payload")
     spark, report = entries.sparkSession, fs.scratch(entries.sparkSession)
-    rows.repartition("path").sortWithinPartitions("path", "ord").mapInArrow(write, "path string, kind string, done boolean").write.parquet(report)
+    bounded(rows).repartition("path").sortWithinPartitions("path", "ord").mapInArrow(write, "path string, kind string, done boolean").write.parquet(report)
     links = []
     for row in entries.where("kind = 'symlink'").select("path", "target").toLocalIterator():
         at = os.path.join(root, check_path(row.path))

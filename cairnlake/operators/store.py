@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..functions.batches import bounded
 from ..functions.hashing import content_id, parse_id, prefix
 from ..schema import STORE, ChunkCorrupt, ChunkNotFound, IdMismatch, StoreError
 from ..sources import fs
@@ -90,7 +91,7 @@ class Store:
         if not folders:
             return self.spark.createDataFrame([], STORE)
         read = self.spark.read.schema("chunk_id string, len_plain long, len_disk long, payload binary, generation string, prefix string").option("basePath", self.path)
-        return read.parquet(*folders).drop("generation")
+        return bounded(read.parquet(*folders)).drop("generation")
 
     def ids(self) -> DataFrame:
         return self.table().select("chunk_id", "prefix")
@@ -104,6 +105,7 @@ class Store:
 
         chunks is read twice: references are made distinct and anti-joined by id first, then only payloads that are new are moved.
         Each of verify and counted (without which skipped is left out) reads it once more."""
+        bounded(chunks)
         if verify:
             wrong = chunks.where(~content_id(F.col("payload"), self.algorithm).eqNullSafe(F.col("chunk_id"))).select("chunk_id").limit(1).collect()
             if wrong:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import bounded
 from ..operators.chunking import chunk_refs, with_chunks
 
 CHUNK = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    return bounded(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
 
 
 def blobs(docs: DataFrame) -> DataFrame:

@@ -42,3 +42,33 @@ def test_verify_origin_without_chunks(spark, odd):
 @pytest.mark.parametrize("name", ["verify_report", "validate_listing"])
 def test_reports_without_chunks(spark, odd, name):
     same(spark, odd, name)
+
+
+def test_batches_of_long_texts_are_small(spark, tmp_path):
+    from cairnlake.plans import trees
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    spark.range(24, numPartitions=1).selectExpr("id doc_id", "'s' source", "'en' lang", "repeat('x', 1 << 20) text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(map(len, b.column("content").to_pylist()))]})
+
+    try:
+        got = [r.n for r in trees.tree(spark, str(tmp_path)).select("content").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(got) == 24 << 20 and max(got) <= 6 << 20
+
+
+def test_zstd_of_empty_and_null(spark):
+    from pyspark.sql import functions as F
+
+    from cairnlake.functions import codecs
+
+    at = spark.createDataFrame([(b"",), (None,), (b"abc" * 999,)], "x binary").select("x", codecs.encoded(F.col("x"), "zstd").alias("p"))
+    assert [(r.x, r.y) for r in at.select("x", codecs.decoded(F.col("p"), "zstd").alias("y")).collect()] == [(b"", b""), (None, None), (b"abc" * 999, b"abc" * 999)]
