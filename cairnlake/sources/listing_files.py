@@ -6,15 +6,19 @@ must be equal; a cfdir is written as version 2 only if it holds a symlink.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import blake3
+from ..functions.batches import bounded
 from ..functions.paths import check_path
 from ..schema import ENTRIES, BadMagic, ChunkParams, InvalidStructure, TrailerMismatch, Truncated, UnsupportedFormatVersion, UnsupportedMajor
+from . import fs
 
 #: Fixed values of the formats.
 INDEX_MAGIC = b"CFIDX\0\0\x01"
@@ -23,6 +27,8 @@ FILE, DIR, SYMLINK = 1, 2, 3
 _INDEX_HEAD = struct.Struct("<8sHHIQQQQQ32s")
 _DIR_HEAD = struct.Struct("<8sHHIQ")
 _MOST = (1 << 63) - 1
+#: Bytes of a piece of a cfdir in a table; an entry isn't split, so a piece may be longer by one.
+PIECE = 1 << 20
 
 
 def kind_of(data: bytes) -> str:
@@ -107,24 +113,30 @@ def _text(s: str, what: str) -> bytes:
 
 def encode_entries(entries: Iterator[Row], flags: int = 0) -> bytes:
     """The cfdir of entries, in their order."""
-    parts, n, version, seen = [], 0, 1, set()
+    parts, version, seen = [], 1, set()
     for r in entries:
-        check_path(r["path"])
         if r["path"] in seen:
             raise InvalidStructure(f"duplicate path {r['path']!r}")
         seen.add(r["path"])
-        n += 1
-        parts.append(_text(r["path"], "path"))
-        if r["kind"] == "file":
-            chunks = [(c["end_offset"], c["chunk_id"]) for c in r["chunks"] or ()]
-            check_chunks(r["size"], chunks)
-            parts.append(struct.pack("<BIQQ", FILE, r["mode"], r["size"], max(r["mtime_secs"] or 0, 0)) + bytes.fromhex(r["blob_id"]) + struct.pack("<Q", len(chunks)) + _table(chunks))
-        elif r["kind"] == "dir":
-            parts.append(struct.pack("<BI", DIR, r["mode"]))
-        else:
-            version = 2
-            parts.append(struct.pack("<BI", SYMLINK, r["mode"]) + _text(r["target"] or "", "target"))
-    return _sealed(_DIR_HEAD.pack(DIR_MAGIC, version, flags, 0, n) + b"".join(parts))
+        parts.append(_entry(r))
+        version = max(version, _version(r))
+    return _sealed(_DIR_HEAD.pack(DIR_MAGIC, version, flags, 0, len(parts)) + b"".join(parts))
+
+
+def _version(r: Row | dict) -> int:
+    return 1 if r["kind"] in ("file", "dir") else 2
+
+
+def _entry(r: Row | dict) -> bytes:
+    check_path(r["path"])
+    path = _text(r["path"], "path")
+    if r["kind"] == "file":
+        chunks = [(c["end_offset"], c["chunk_id"]) for c in r["chunks"] or ()]
+        check_chunks(r["size"], chunks)
+        return path + struct.pack("<BIQQ", FILE, r["mode"], r["size"], max(r["mtime_secs"] or 0, 0)) + bytes.fromhex(r["blob_id"]) + struct.pack("<Q", len(chunks)) + _table(chunks)
+    if r["kind"] == "dir":
+        return path + struct.pack("<BI", DIR, r["mode"])
+    return path + struct.pack("<BI", SYMLINK, r["mode"]) + _text(r["target"] or "", "target")
 
 
 def decode_dir(data: bytes) -> Iterator[dict]:
@@ -134,7 +146,21 @@ def decode_dir(data: bytes) -> Iterator[dict]:
     if version not in (1, 2):
         raise UnsupportedFormatVersion(f"cfdir: {version}")
     _seal_holds(data)
-    end, at, seen = len(data) - 32, _DIR_HEAD.size, set()
+    end, at, seen, n = len(data) - 32, _DIR_HEAD.size, set(), 0
+    for row, at in itertools.islice(_decoded(data, at, end, version), count):
+        if row["path"] in seen:
+            raise InvalidStructure(f"duplicate path {row['path']!r}")
+        seen.add(row["path"])
+        n += 1
+        yield row
+    if n < count:
+        raise Truncated(f"cfdir: at byte {at}")
+    if at != end:
+        raise InvalidStructure(f"{end - at} bytes left over")
+
+
+def _decoded(data: bytes, at: int, end: int, version: int) -> Iterator[tuple[dict, int]]:
+    """The entries of data[at:end], each with the place after it."""
 
     def take(n: int) -> bytes:
         nonlocal at
@@ -149,12 +175,9 @@ def decode_dir(data: bytes) -> Iterator[dict]:
         except UnicodeDecodeError as e:
             raise InvalidStructure("text isn't UTF-8") from e
 
-    for _ in range(count):
+    while at < end:
         row = dict.fromkeys(ENTRIES.names)
         row["path"] = check_path(text())
-        if row["path"] in seen:
-            raise InvalidStructure(f"duplicate path {row['path']!r}")
-        seen.add(row["path"])
         tag, row["mode"] = struct.unpack("<BI", take(5))
         if tag == FILE:
             size, mtime = struct.unpack("<QQ", take(16))
@@ -173,9 +196,151 @@ def decode_dir(data: bytes) -> Iterator[dict]:
                 raise InvalidStructure("empty target")
         else:
             raise InvalidStructure(f"entry kind {tag} in version {version}")
-        yield row
-    if at != end:
-        raise InvalidStructure(f"{end - at} bytes left over")
+        yield row, at
+
+
+def _head(data: bytes) -> tuple:
+    return _DIR_HEAD.unpack_from(data)
+
+
+def _entry_end(data: bytes, at: int, end: int) -> int | None:
+    """Where the entry at a place ends, without a look into it; None if that is beyond `end`."""
+    if at + 2 > end:
+        return None
+    at += 2 + struct.unpack_from("<H", data, at)[0]
+    if at + 5 > end:
+        return None
+    tag, at = data[at], at + 5
+    if tag == FILE:
+        if at + 56 > end:
+            return None
+        at += 56 + 40 * struct.unpack_from("<Q", data, at + 48)[0]
+    elif tag == SYMLINK:
+        if at + 2 > end:
+            return None
+        at += 2 + struct.unpack_from("<H", data, at)[0]
+    elif tag != DIR:
+        raise InvalidStructure(f"entry kind {tag}")
+    return at if at <= end else None
+
+
+_PIECES = "ord long, n long, version int, data binary"
+
+
+def encode_pieces(entries: DataFrame, flags: int = 0) -> DataFrame:
+    """(ord, data): the same bytes as encode_dir, in pieces in the shared scratch folder. Executors encode the entries, ranges of paths
+    at once; one of them then reads the pieces in order for the trailer; the driver gets counts and the hash."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    schema = pa.schema([("ord", pa.int64()), ("n", pa.int64()), ("version", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ord_, before, held, size, version = (TaskContext.get().partitionId() + 1) << 32, None, [], 0, 1
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"ord": ord_, "n": len(held), "version": version, "data": b"".join(held)}], schema=schema)
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["path"] == before:  # equal paths lie in one range, side by side
+                    raise InvalidStructure(f"duplicate path {before!r}")
+                before = r["path"]
+                held.append(_entry(r))
+                version = max(version, _version(r))
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield out()
+                    ord_, held, size = ord_ + 1, [], 0
+        if held:
+            yield out()
+
+    spark = entries.sparkSession
+    sorted_ = bounded(entries).select(*ENTRIES.names).repartitionByRange("path").sortWithinPartitions("path")
+    pieces = fs.kept(sorted_.mapInArrow(run, _PIECES))
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("version"), F.lit(1)).alias("version")).first()
+    head = _DIR_HEAD.pack(DIR_MAGIC, total.version, flags, 0, total.n)
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = blake3.Hasher()
+        h.update(head)
+        for b in batches:
+            for x in b.column("data"):
+                h.update(x.as_py())
+        yield pa.RecordBatch.from_pydict({"seal": [h.hexdigest()]})
+
+    seals = _in_order(pieces).mapInArrow(seal, "seal string").collect()  # a row, or none where there are no entries
+    ends = [(0, head), (_MOST, bytes.fromhex(seals[0].seal) if seals else blake3.digest(head))]
+    return pieces.select("ord", "data").unionByName(spark.createDataFrame(ends, "ord long, data binary"))
+
+
+def _in_order(pieces: DataFrame) -> DataFrame:
+    """All pieces in one task, by their number; it streams them, so they needn't fit its memory."""
+    return pieces.select("ord", "data").repartition(1).sortWithinPartitions("ord")
+
+
+def decode_pieces(pieces: DataFrame) -> DataFrame:
+    """The entries of a cfdir in pieces (ord, data), cut anywhere. One task finds where entries end and checks the trailer; all decode.
+
+    Faults are the same as of decode_dir, in the text of the error of the task that finds them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if pieces.isEmpty():
+        raise Truncated("cfdir: 0 bytes")
+    size = _DIR_HEAD.size
+    blocks_of = pa.schema([("ord", pa.int64()), ("n", pa.int64()), ("version", pa.int32()), ("data", pa.binary())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, h, head, found, ord_ = bytearray(), blake3.Hasher(), None, 0, 0
+        for b in batches:
+            for cell in b.column("data"):
+                held += cell.as_py()
+                if head is None:
+                    if len(held) < size + 32:
+                        continue
+                    if kind_of(bytes(held[:8])) != "cfdir":
+                        raise BadMagic("not a cfdir")
+                    head = _head(held)
+                    if head[1] not in (1, 2):
+                        raise UnsupportedFormatVersion(f"cfdir: {head[1]}")
+                    h.update(bytes(held[:size]))
+                    del held[:size]
+                n, at, end = 0, 0, len(held) - 32  # the last bytes may be the trailer
+                while found + n < head[4] and (after := _entry_end(held, at, end)) is not None:
+                    n, at = n + 1, after
+                if n:
+                    block = bytes(held[:at])
+                    h.update(block)
+                    del held[:at]
+                    yield pa.RecordBatch.from_pylist([{"ord": ord_, "n": n, "version": head[1], "data": block}], schema=blocks_of)
+                    found, ord_ = found + n, ord_ + 1
+        if head is None:
+            raise Truncated(f"cfdir: {len(held)} bytes")
+        h.update(bytes(held[:-32]))
+        if bytes.fromhex(h.hexdigest()) != held[-32:]:
+            raise TrailerMismatch("trailer checksum differs")
+        if found < head[4]:
+            raise Truncated(f"cfdir: {found} of {head[4]} entries")
+        if len(held) > 32:
+            raise InvalidStructure(f"{len(held) - 32} bytes left over")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                rows = [row for row, _ in _decoded(r["data"], 0, len(r["data"]), r["version"])]
+                yield pa.RecordBatch.from_pylist(rows, schema=entries_of)
+
+    entries_of = to_arrow_schema(ENTRIES)
+    blocks = fs.kept(_in_order(bounded(pieces)).mapInArrow(split, _PIECES))
+    back = fs.kept(blocks.repartition(_tasks(pieces.sparkSession)).mapInArrow(decode, ENTRIES))
+    for twice in back.groupBy("path").count().where("count > 1").limit(1).collect():
+        raise InvalidStructure(f"duplicate path {twice.path!r}")
+    return back
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def encode_dir(entries: DataFrame, flags: int = 0) -> bytes:

@@ -72,3 +72,53 @@ def test_zstd_of_empty_and_null(spark):
 
     at = spark.createDataFrame([(b"",), (None,), (b"abc" * 999,)], "x binary").select("x", codecs.encoded(F.col("x"), "zstd").alias("p"))
     assert [(r.x, r.y) for r in at.select("x", codecs.decoded(F.col("p"), "zstd").alias("y")).collect()] == [(b"", b""), (None, None), (b"abc" * 999, b"abc" * 999)]
+
+
+def _pieces_made(spark):
+    from cairnlake.plans import catalog as c
+
+    made = c._entries(spark, SF).drop("doc_id")
+    return made, c.listing_files.encode_dir(made)
+
+
+def test_cfdir_in_pieces_has_the_same_bytes(spark, monkeypatch):
+    from cairnlake.sources import listing_files
+
+    monkeypatch.setattr(listing_files, "PIECE", 999)
+    made, data = _pieces_made(spark)
+    pieces = listing_files.encode_pieces(made)
+    assert b"".join(bytes(r.data) for r in pieces.orderBy("ord").collect()) == data
+    assert sorted(map(str, listing_files.decode_pieces(pieces).collect())) == sorted(map(str, listing_files.decode_dir_frame(spark, data).collect()))
+    none = listing_files.encode_pieces(made.where("false"))
+    assert listing_files.decode_pieces(none).count() == 0
+    with pytest.raises(Exception, match="duplicate path"):
+        listing_files.encode_pieces(made.unionByName(made.limit(1)))
+
+
+def test_cfdir_in_pieces_is_checked(spark):
+    from cairnlake.sources import listing_files
+    from cairnlake.sources.listing_files import _sealed
+
+    _, data = _pieces_made(spark)
+
+    def read(b, step=777):
+        rows = [(k, b[k : k + step]) for k in range(0, len(b), step)]
+        return listing_files.decode_pieces(spark.createDataFrame(rows, "ord long, data binary"))
+
+    assert read(data).count() == len(list(listing_files.decode_dir(data)))
+    body, head = data[:-32], listing_files._DIR_HEAD.size
+    n = listing_files._entry_end(body, head, len(body))
+    one = bytes(body[:16]) + (1).to_bytes(8, "little") + body[head:n]
+    for fault, bad in (
+        ("trailer checksum", body + bytes(32)), ("left over", _sealed(one + b"x")), ("of 2 entries", _sealed(one[:16] + (2).to_bytes(8, "little") + one[24:])),
+        ("duplicate path", _sealed(one[:16] + (2).to_bytes(8, "little") + one[24:] + one[24:])), ("not a cfdir|BadMagic", b"nonsense" * 99),
+    ):
+        with pytest.raises(Exception, match=fault):
+            read(bad)
+
+
+def test_codec_roundtrip_sends_no_entries_to_the_driver(spark, odd, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    same(spark, odd, "codec_roundtrip")
