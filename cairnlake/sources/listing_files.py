@@ -76,19 +76,58 @@ def _table(chunks: list[tuple[int, str]]) -> bytes:
 
 
 def encode_index(size: int, blob_id: str, chunks: list[tuple[int, str]], params: ChunkParams = ChunkParams(), flags: int = 0) -> bytes:
+    return _sealed(_index_body(size, blob_id, chunks, params, flags))
+
+
+def encode_indexes(blobs: list[tuple[int, str, list[tuple[int, str]]]], params: ChunkParams = ChunkParams(), flags: int = 0) -> list[bytes]:
+    """The cfidx of each (size, blob_id, chunks); many small ones are hashed together."""
+    bodies = [_index_body(*x, params, flags) for x in blobs]
+    return [b + h for b, h in zip(bodies, _digests(bodies), strict=True)]
+
+
+def _digests(bodies: list[bytes]) -> Iterator[bytes]:
+    """Hashes of bodies, of about PIECE bytes at a time."""
+    held, size = [], 0
+    for b in bodies:
+        held.append(b)
+        size += max(len(b), blake3.LEAF)
+        if size >= PIECE:
+            yield from blake3.digests(held)
+            held, size = [], 0
+    yield from blake3.digests(held)
+
+
+def _index_body(size: int, blob_id: str, chunks: list[tuple[int, str]], params: ChunkParams, flags: int) -> bytes:
     check_chunks(size, chunks)
-    return _sealed(_INDEX_HEAD.pack(INDEX_MAGIC, 1, flags, 0, params.min, params.avg, params.max, size, len(chunks), bytes.fromhex(blob_id)) + _table(chunks))
+    return _INDEX_HEAD.pack(INDEX_MAGIC, 1, flags, 0, params.min, params.avg, params.max, size, len(chunks), bytes.fromhex(blob_id)) + _table(chunks)
 
 
 def decode_index(data: bytes) -> dict:
     """size, blob_id, chunks [(end_offset, id)], params, flags."""
+    return decode_indexes([data])[0]
+
+
+def decode_indexes(datas: list[bytes]) -> list[dict]:
+    """decode_index of each; many small ones are hashed together."""
+    for data in datas:
+        _index_opened(data)
+    for data, seal in zip(datas, _digests([d[:-32] for d in datas]), strict=True):
+        if seal != data[-32:]:
+            raise TrailerMismatch("trailer checksum differs")
+    return [_index_of(data) for data in datas]
+
+
+def _index_opened(data: bytes) -> None:
     _opened(data, "cfidx", _INDEX_HEAD.size)
-    _, version, flags, _, least, avg, most, size, count, blob = _INDEX_HEAD.unpack_from(data)
+    version, count = (_INDEX_HEAD.unpack_from(data)[k] for k in (1, 8))
     if version != 1:
         raise UnsupportedFormatVersion(f"cfidx: {version}")
     if len(data) != _INDEX_HEAD.size + 40 * count + 32:
         raise Truncated(f"cfidx: {len(data)} bytes for {count} chunks")
-    _seal_holds(data)
+
+
+def _index_of(data: bytes) -> dict:
+    _, _, flags, _, least, avg, most, size, count, blob = _INDEX_HEAD.unpack_from(data)
     try:
         params = ChunkParams(least, avg, most)
     except ValueError as e:

@@ -122,3 +122,20 @@ def test_codec_roundtrip_sends_no_entries_to_the_driver(spark, odd, monkeypatch)
 
     monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
     same(spark, odd, "codec_roundtrip")
+
+
+def test_indexes_are_hashed_together(monkeypatch):
+    from cairnlake.functions import blake3
+    from cairnlake.schema import TrailerMismatch
+    from cairnlake.sources import listing_files as lf
+
+    blobs = [(n, "ab" * 32, [(e, f"{e:064x}") for e in [*range(10, n, 10), *([n] if n else [])]]) for n in [*range(500), 30_000]]
+    one = [lf.encode_index(*b) for b in blobs]
+    calls, plain_ = [], blake3.digests
+    monkeypatch.setattr(blake3, "digests", lambda x: calls.append(len(x)) or plain_(x))
+    assert lf.encode_indexes(blobs) == one
+    assert [(g["size"], g["blob_id"], g["chunks"]) for g in lf.decode_indexes(one)] == blobs
+    assert len(calls) < 12
+    with pytest.raises(TrailerMismatch):
+        lf.decode_indexes([*one[:7], one[7][:-1] + bytes([one[7][-1] ^ 1]), *one[8:]])
+    assert lf.encode_indexes([]) == lf.decode_indexes([]) == []
