@@ -12,7 +12,7 @@ from . import origin, transfer
 from . import seed as seeds
 from .chunking import blob_payloads, chunk_refs, dedup_counters, with_chunks
 from .listing import LEAVES, union_refs
-from .store import Store
+from .store import Store, likely
 
 
 def archive(blobs: DataFrame, store: Store | None, scope: PathFilter = PathFilter(), params: ChunkParams | None = None, fixed: int | None = None, prior: DataFrame | None = None, trust_mtime: bool = False, dry_run: bool = False) -> tuple[DataFrame, dict]:
@@ -106,7 +106,8 @@ def push(listings: list[DataFrame], local: Store, remote: Store | http.Endpoint,
         report = transfer.outcome_report(outcomes, "uploaded", len(listings), dry_run).first().asDict()
         if not dry_run:
             todo = outcomes.where("outcome = 'uploaded'").select("chunk_id")
-            remote.put(local.chunks().join(todo, "chunk_id", "left_semi").select("chunk_id", "payload"), counted=False)
+            moved = likely(local.chunks().select("chunk_id", "payload"), todo).join(todo, "chunk_id", "left_semi")
+            remote.put(fs.kept(moved), counted=False)  # read up to three times
     else:
         at = origin.HttpOrigin(remote)
         if dry_run:

@@ -25,6 +25,8 @@ from ..sources import fs
 #: Fixed values of the metadata format.
 MAGIC = "CFSTORE"
 VERSION = 1
+#: Ids that are broadcast at most, to keep payloads of others where they lie.
+MOST = 2_000_000
 
 
 def meta_text(compression: str) -> str:
@@ -103,34 +105,54 @@ class Store:
     def put(self, chunks: DataFrame, verify: bool = True, counted: bool = True) -> dict[str, int]:
         """Adds (chunk_id, payload) that the store lacks; {written, skipped}. Payloads that don't hash to their id: IdMismatch, nothing is added.
 
-        chunks is read twice: references are made distinct and anti-joined by id first, then only payloads that are new are moved.
-        Each of verify and counted (without which skipped is left out) reads it once more."""
+        Payloads are moved once, dealt out as they are written. A store that has chunks already is asked by id first, so that only
+        payloads that are new are moved (all, if more than MOST are new); chunks is then read twice. Each of verify and counted
+        (without which skipped is left out) reads it once more."""
         bounded(chunks)
         if verify:
             wrong = chunks.where(~content_id(F.col("payload"), self.algorithm).eqNullSafe(F.col("chunk_id"))).select("chunk_id").limit(1).collect()
             if wrong:
                 raise IdMismatch(wrong[0].chunk_id)
-        new = chunks.select("chunk_id").distinct().withColumn("prefix", prefix(F.col("chunk_id"))).join(self.ids(), ["prefix", "chunk_id"], "left_anti").select("chunk_id")
-        # only payloads that are new are shuffled, those of one id once per task
-        one = chunks.select("chunk_id", "payload").join(new, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.first("payload").alias("payload"))
+        rows, held = chunks.select("chunk_id", "payload"), None
+        if self._manifest():
+            held = self.ids().select("chunk_id")
+            rows = likely(rows, fs.kept(rows.select("chunk_id").distinct().join(held, "chunk_id", "left_anti")))
+        one = self._one_each(rows, held)
         disk = codecs.encoded(F.col("payload"), self.compression)
-        rows = one.select("chunk_id", F.octet_length("payload").cast("long").alias("len_plain"), disk.alias("payload")).withColumn("len_disk", F.octet_length("payload").cast("long"))
-        added = self._write(rows)
+        sized = one.select("chunk_id", "prefix", F.octet_length("payload").cast("long").alias("len_plain"), disk.alias("payload")).withColumn("len_disk", F.octet_length("payload").cast("long"))
+        added = self._write(sized)
         written = sum(added.values())
         return {"written": written, "skipped": chunks.count() - written} if counted else {"written": written}
 
-    def _write(self, rows: DataFrame, instead: dict[str, list[str]] | None = None) -> dict[str, int]:
-        """Writes rows (chunk_id, len_plain, len_disk, payload) as a new generation and publishes it beside the others, or beside
-        `instead`; chunks by prefix.
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """rows with prefix and place, dealt out by both.
 
-        Ids are evenly spread hashes: each task takes a range of them, as many ranges as shuffles have partitions, so a prefix is
-        split over many tasks in a large store and a task writes few folders."""
+        Ids are evenly spread hashes: a place is a range of them inside a prefix, about two for each partition of a shuffle (256 at
+        least), so a prefix is split over many tasks in a large store and a task writes few folders."""
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        place = F.floor(F.conv(F.substring("chunk_id", 1, 6), 16, 10).cast("long") * n / (1 << 24)).cast("int")
+        parts = -(-2 * n // 256)
+        place = F.floor(F.conv(F.substring("chunk_id", 3, 4), 16, 10).cast("long") * parts / (1 << 16)).cast("int")
+        return rows.withColumn("prefix", prefix(F.col("chunk_id"))).withColumn("place", place).repartition(n, "prefix", "place")
+
+    def _one_each(self, rows: DataFrame, without: DataFrame | None = None) -> DataFrame:
+        """One of the rows (chunk_id and others) of each id but the ids of `without`, with prefix, dealt out as they are written.
+
+        Both are summed up by id after one move: a join would move payloads by id, and writing once more."""
+        names = [c for c in rows.columns if c != "chunk_id"]
+        rows = rows.select("chunk_id", F.struct(*names).alias("row"))
+        if without is not None:
+            rows = rows.unionByName(without.select("chunk_id", F.lit(None).cast(rows.schema["row"].dataType).alias("row")))
+        one = self._placed(rows).groupBy("prefix", "place", "chunk_id").agg(F.first("row", ignorenulls=True).alias("row"), F.count(F.when(F.col("row").isNull(), 1)).alias("gone"))
+        return one.where("gone = 0").select("chunk_id", "prefix", *(F.col("row")[c].alias(c) for c in names))
+
+    def _write(self, rows: DataFrame, instead: dict[str, list[str]] | None = None) -> dict[str, int]:
+        """Writes rows (chunk_id, len_plain, len_disk, payload, prefix), dealt out by _placed, as a new generation and publishes it
+        beside the others, or beside `instead`; chunks by prefix. The files of plain payloads are compressed as Parquet does; what
+        compression stands for, and len_disk, is the payload."""
         generation = uuid.uuid4().hex
         target = f"{self.path}/generation={generation}"
-        out = rows.select("chunk_id", "len_plain", "len_disk", "payload", prefix(F.col("chunk_id")).alias("prefix"))
-        out.repartitionById(n, place).sortWithinPartitions("prefix").write.partitionBy("prefix").option("compression", "none").parquet(target)
+        out = rows.select("chunk_id", "len_plain", "len_disk", "payload", "prefix")
+        out.sortWithinPartitions("prefix").write.partitionBy("prefix").option("compression", "zstd" if self.compression == "none" else "none").parquet(target)
         added = {r.prefix: r.n for r in self.spark.read.schema(STORE).parquet(target).groupBy("prefix").agg(F.count("*").alias("n")).collect()}  # at most 256 rows
         base = self._manifest() if instead is None else instead
         if added or instead is not None:
@@ -142,7 +164,7 @@ class Store:
 
         The number of chunks."""
         old = list(self._manifest())
-        added = self._write(self.table(), instead={})
+        added = self._write(self._placed(self.table()), instead={})
         for g in old:
             fs.delete(self.spark, f"{self.path}/generation={g}")
         return sum(added.values())
@@ -183,7 +205,7 @@ class Store:
             return 0
         before = self.table(touched)
         total = before.count()
-        left = before.join(ids, ["prefix", "chunk_id"], "left_anti")
+        left = self._one_each(before.drop("prefix"), ids.where(F.col("prefix").isin(touched)))
         kept = self._write(left, {g: [p for p in ps if p not in touched] for g, ps in self._manifest().items()})
         return total - sum(kept.values())
 
@@ -203,6 +225,15 @@ class Store:
         return scrub_status(self.chunks().select("chunk_id", "payload"), refs, self.algorithm)
 
 
+def likely(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """chunks without most of those whose id isn't one of `ids`, which should be a table. Nothing is moved but the ids' 64-bit hashes,
+    to every task; all chunks where there are more than MOST ids. What stays must be compared by id."""
+    if ids.count() > MOST:
+        return chunks
+    hashes = ids.select(F.xxhash64("chunk_id").alias("_hash"))
+    return chunks.withColumn("_hash", F.xxhash64("chunk_id")).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash")
+
+
 def store_stats(stored: DataFrame, plain, compression: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return stored.agg(F.count("*").alias("chunks"), zero(F.sum("len_disk")).alias("bytes_on_disk"), (zero(plain) if compression == "none" else plain.cast("long")).alias("bytes_plaintext")).withColumn("compression", F.lit(compression))

@@ -139,3 +139,35 @@ def test_indexes_are_hashed_together(monkeypatch):
     with pytest.raises(TrailerMismatch):
         lf.decode_indexes([*one[:7], one[7][:-1] + bytes([one[7][-1] ^ 1]), *one[8:]])
     assert lf.encode_indexes([]) == lf.decode_indexes([]) == []
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_payloads_are_moved_once(spark, tmp_path, monkeypatch):
+    from cairnlake.operators import chunking, store
+    from cairnlake.plans import trees
+
+    plans, write = [], store.Store._write
+    monkeypatch.setattr(store.Store, "_write", lambda self, rows, *a, **k: plans.append(_exchanges(rows)) or write(self, rows, *a, **k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = store.Store.create(spark, f"file://{tmp_path}/s")
+        first = s.put(chunking.blob_payloads(trees.v1(spark, SF), trees.CHUNK))
+        again = s.put(chunking.blob_payloads(trees.v1(spark, SF), trees.CHUNK))
+        assert again["written"] == 0 and again["skipped"] == first["written"] + first["skipped"]
+        monkeypatch.setattr(store, "MOST", 3)  # more are new than are broadcast
+        second = s.put(chunking.blob_payloads(trees.v2(spark, SF), trees.CHUNK))
+        ids = {r.chunk_id for r in s.ids().collect()}
+        assert s.ids().count() == len(ids) == first["written"] + second["written"]
+        gone = s.list().where("chunk_id like '%0'")
+        n = gone.count()
+        assert s.remove(gone) == n and {r.chunk_id for r in s.ids().collect()} == {i for i in ids if i[-1] != "0"}
+        assert {r.status for r in s.scrub().collect()} == {"ok"}
+        assert s.compact() == len(ids) - n and s.compact() == len(ids) - n
+        assert set(s.chunks().columns) == {"chunk_id", "prefix", "payload"} and {r.status for r in s.scrub().collect()} == {"ok"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # put, put, put and remove move ids for the part that is not to be written as often as they like, payloads once
+    assert plans[0] == 1 and plans[1] == 1 and plans[2] == 1 and plans[-1] == 1, plans
