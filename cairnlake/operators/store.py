@@ -162,8 +162,10 @@ class Store:
     def compact(self) -> int:
         """Rewrites all generations into one and deletes the others, so that a store of many small writes opens few files; no reader may be at work.
 
-        The number of chunks."""
+        The number of chunks. A store of one generation stays as it is."""
         old = list(self._manifest())
+        if len(old) == 1:
+            return self.table().count()
         added = self._write(self._placed(self.table()), instead={})
         for g in old:
             fs.delete(self.spark, f"{self.path}/generation={g}")
